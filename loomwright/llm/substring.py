@@ -223,7 +223,7 @@ def cut_repeated_passages(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns: where words went, text is the rest, joined by one space, and
     n_chars (if there is one) its length. Texts that lose nothing stay as they are."""
     cut = _cut_texts(docs).where("n_removed > 0").select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.decode("kept", F.lit("utf-8")).alias("__kept")
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.decode("kept", "utf-8").alias("__kept")
     ).dropDuplicates(["__id", "__key"])
     own = docs.withColumns(
         {
