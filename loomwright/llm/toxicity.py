@@ -35,11 +35,13 @@ from loomwright.session import Workspace
 FIT_ROWS = 40_000
 MOST_TERMS = 20_000
 MIN_DOCS = 3
+MIN_SHARE = 0.005
 MIN_CONTEXTS = 3
 MIN_PRECISION = 0.85
 STEM_SIZES = (4, 8)
 STEM_WORDS = 3
-#: Allowed edits by length of a term: up to 4 letters none, up to 9 one, else two. Stems take none.
+#: Allowed edits by length of a term: up to 4 letters none, up to 9 one, else two. Stems take none,
+#: and a term fewer if words at that distance are no sign of toxicity in the sample.
 EDITS = ((4, 0), (9, 1))
 MOST_EDITS = 2
 EDIT_FACTOR = 0.6
@@ -60,7 +62,7 @@ def edits_for(term: str) -> int:
 class Lexicon:
     """Terms and stems with weights, as a trie whose automaton is built while it is used."""
 
-    terms: list[tuple[str, bool, float]]  # text, is a stem, weight
+    terms: list[tuple[str, bool, float, int]]  # text, is a stem, weight, allowed edits
     slope: float = 1.0
     shift: float = -3.0
     made: bool = field(default=False, repr=False)
@@ -70,8 +72,8 @@ class Lexicon:
         self.word_at: list[int] = [-1]
         self.stem_at: list[int] = [-1]
         self.allowed: list[int] = [0]
-        for number, (text, stem, _) in enumerate(self.terms):
-            limit, node = 0 if stem else edits_for(text), 0
+        for number, (text, stem, _, limit) in enumerate(self.terms):
+            node = 0
             self.allowed[0] = max(self.allowed[0], limit)
             for ch in text:
                 if ch not in self.children[node]:
@@ -145,7 +147,7 @@ class Lexicon:
             nodes, found = self.sets[state]
             for node, edits in nodes.items():
                 term = self.word_at[node]
-                if term >= 0 and edits <= edits_for(self.terms[term][0]) and (found is None or (edits, term) < found[::-1]):
+                if term >= 0 and edits <= self.terms[term][3] and (found is None or (edits, term) < found[::-1]):
                     found = (term, edits)
         self.known[token] = found
         return found
@@ -244,8 +246,8 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows: int,
     return work.put(texts.join(marked.where(drawn), "doc_id").select("text", "toxic", (of("mine") % 4 != 0).alias("mine")), "sample")
 
 
-def mine_terms(mine: DataFrame, work: Workspace, most: int = MOST_TERMS) -> list[tuple[str, bool, float]]:
-    """Terms and stems from (text, toxic)."""
+def mine_terms(mine: DataFrame, work: Workspace, most: int = MOST_TERMS) -> list[tuple[str, bool, float, int]]:
+    """Terms and stems from (text, toxic), with as many edits as a term's length allows."""
     sizes = {r["toxic"]: r["n"] for r in mine.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     rows = mine.select("text", "toxic").mapInArrow(_evidence, "word string, context bigint, toxic bigint, clean bigint")
@@ -268,16 +270,43 @@ def mine_terms(mine: DataFrame, work: Workspace, most: int = MOST_TERMS) -> list
     both = words.withColumn("stem", F.lit(False)).unionByName(stems.withColumn("stem", F.lit(True)))
     good = both.where(
         (F.length("word") >= 3)
-        & (F.col("toxic") >= MIN_DOCS)
+        & (F.col("toxic") >= max(MIN_DOCS, MIN_SHARE * toxic))
         & (F.col("contexts") >= F.greatest(F.lit(MIN_CONTEXTS), 0.1 * F.col("toxic")))
         & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean")))
     )
-    rows = good.select("word", "stem", F.least(weight, F.lit(6.0)).alias("weight"), "contexts")
+    rows = good.select("word", "stem", weight.alias("weight"), "contexts")
     found = rows.orderBy(F.desc("contexts"), "word", "stem").limit(most).collect()
     stems_found = {r["word"] for r in found if r["stem"]}
     beginnings = lambda w: (w[:n] for n in range(STEM_SIZES[0], len(w)))
-    kept = [(r["word"], r["stem"], r["weight"]) for r in found if not any(b in stems_found for b in beginnings(r["word"]))]
-    return sorted(kept)
+    own = [r for r in found if not any(b in stems_found for b in beginnings(r["word"]))]
+    return sorted((r["word"], r["stem"], r["weight"], 0 if r["stem"] else edits_for(r["word"])) for r in own)
+
+
+def checked_edits(mine: DataFrame, terms: list[tuple[str, bool, float, int]]) -> list[tuple[str, bool, float, int]]:
+    """``terms`` with fewer edits where words so far from a term are common in clean documents."""
+    sent = mine.sparkSession.sparkContext.broadcast(Lexicon(terms))  # MOST_TERMS terms at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = sent.value
+        if not lexicon.made:
+            lexicon.prepare()
+        for batch in batches:
+            counts: dict[tuple[int, int, int], int] = {}
+            for data, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hits = {lexicon.match(t) for t in set(TOKEN.findall(data.decode("utf-8", "replace").lower()))}
+                for term, edits in hits - {None}:
+                    if edits:
+                        counts[term, edits, label] = counts.get((term, edits, label), 0) + 1
+            cols = [*zip(*counts)] if counts else [(), (), ()]
+            arrays = [pa.array(c, pa.int64()) for c in (*cols, list(counts.values()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["term", "edits", "toxic", "n"])
+
+    rows = mine.select("text", "toxic").mapInArrow(run, "term bigint, edits bigint, toxic bigint, n bigint")
+    sums = rows.groupBy("term", "edits").agg(
+        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum("n").alias("n")
+    )
+    limit = {r["term"]: r["edits"] - 1 for r in sums.where(F.col("toxic") < MIN_PRECISION * F.col("n")).orderBy(F.desc("edits")).collect()}
+    return [(text, stem, weight, min(edits, limit.get(i, edits))) for i, (text, stem, weight, edits) in enumerate(terms)]
 
 
 def _weights(sent):
@@ -318,7 +347,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, rows:
     spark = docs.sparkSession
     work = Workspace(spark, "toxicity")
     drawn = sample(docs, labels, folds, held, rows, work)
-    lexicon = Lexicon(mine_terms(drawn.where("mine"), work))
+    mine = drawn.where("mine")
+    lexicon = Lexicon(checked_edits(mine, mine_terms(mine, work)))
     sent = spark.sparkContext.broadcast(lexicon)  # MOST_TERMS terms at most
     weights = drawn.where("not mine").select("text", "toxic").mapInArrow(_weights(sent), "toxic int, weight double")
     counts = weights.groupBy(F.round("weight", 1).alias("weight"), "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy("weight", "toxic")
