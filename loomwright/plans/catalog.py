@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "leaderboard"
+from loomwright.plans import content_queries, registry, retrieval_queries, social_queries, task_queries, text_queries  # noqa: F401
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict:
-    return QUERIES
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict:
-    return ORACLES
+    return registry.ORACLES
