@@ -55,7 +55,7 @@ def vector_topk_blocked(queries: DataFrame, memories: DataFrame, k: int, salts:
     its ``k`` best per query, and a second round over these few rows keeps the best overall.
     """
     mine = active(memories).select("user_id", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"), F.col("id").alias("memory_id"), "embedding")
-    asked = queries.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint").alias("salt"), "query_id", "embedding")
+    asked = queries.select("user_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"), "query_id", "embedding")
 
     def matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         lists = column.to_pylist()

@@ -21,8 +21,8 @@ def cosine(a: str, b: str) -> str:
 
 
 def bigrams(text: str) -> str:
-    runs = f"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '\\s+'), r -> length(r) > 1)"
-    return f"flatten(list_transform({runs}, r -> list_transform(range(1, length(r)), i -> substring(r, CAST(i AS INT), 2))))"
+    runs = f"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '\\s+'), lambda r: length(r) > 1)"
+    return f"flatten(list_transform({runs}, lambda r: list_transform(range(1, length(r)), lambda i: substring(r, CAST(i AS INT), 2))))"
 
 
 def best(rows: str, k: str) -> str:
@@ -54,7 +54,8 @@ FUSED = f"""
         LEFT JOIN ({KEYWORD}) k ON k.query_id = f.query_id AND k.memory_id = f.memory_id
         LEFT JOIN (SELECT DISTINCT query_id FROM ({KEYWORD})) s ON s.query_id = f.query_id
         WHERE m.content IS NOT NULL) WHERE score IS NOT NULL"""
-SEARCH = best(f"SELECT query_id, memory_id, score FROM ({FUSED})", "5")
+ASKED = "query_id IN (SELECT query_id FROM memory_query WHERE trim(coalesce(text, '')) <> '')"
+SEARCH = best(f"SELECT query_id, memory_id, score FROM ({FUSED}) WHERE {ASKED}", "5")
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -163,7 +164,7 @@ SAMPLES = "SELECT user_id % 10 AS run, CAST(epoch_ms(ts) AS BIGINT) AS started_m
 
 
 def _samples(events):
-    return events.select((F.col("user_id") % 10).alias("run"), F.unix_millis("ts").alias("started_ms"), (F.col("event_id") * 37 % 1999).alias("elapsed_ms"), (F.col("event_id") % 50 > 0).alias("ok"))
+    return events.select((F.col("user_id") % 10).alias("run"), F.unix_millis(F.col("ts").cast("timestamp")).alias("started_ms"), (F.col("event_id") * 37 % 1999).alias("elapsed_ms"), (F.col("event_id") % 50 > 0).alias("ok"))
 
 
 SUMMARY = f"""

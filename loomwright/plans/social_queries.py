@@ -16,7 +16,7 @@ COUNTS = """SELECT article_id, CAST(sum(l) AS BIGINT) AS likes, CAST(sum(f) AS B
 LAST = """SELECT article_id, user_id, kind, arg_max(verb, (ts, event_id)) AS verb FROM (
         SELECT *, CASE WHEN verb IN ('LIKE', 'UNLIKE') THEN 'like' WHEN verb IN ('FAVORITE', 'UNFAVORITE') THEN 'favorite' END AS kind FROM interaction)
     WHERE kind IS NOT NULL GROUP BY article_id, user_id, kind"""
-TAGS = "SELECT article_id, view_count, unnest(list_distinct(list_transform(string_split(tags, ','), x -> lower(trim(x))))) AS tag FROM article_meta"
+TAGS = "SELECT article_id, view_count, unnest(list_distinct(list_transform(string_split(tags, ','), lambda x: lower(trim(x))))) AS tag FROM article_meta"
 TOP_TAGS = f"""SELECT user_id, tag, uses, place FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY uses DESC, tag) AS place FROM (
             SELECT user_id, tag, count(*) AS uses FROM ({EDGES}) e JOIN ({TAGS}) t USING (article_id) GROUP BY 1, 2)) WHERE place <= 5"""

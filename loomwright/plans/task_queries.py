@@ -114,7 +114,7 @@ _greedy(
     start="TRUE AS admitted, ts AS at, verb AS words",
     step=f"NOT {SAME}, CASE WHEN {SAME} THEN s.at ELSE e.ts END, CASE WHEN {SAME} THEN s.words ELSE e.verb END",
 )
-RECENT = "list_filter(s.times, t -> epoch(e.ts) - epoch(t) < 86400)"
+RECENT = "list_filter(s.times, lambda t: epoch(e.ts) - epoch(t) < 86400)"
 _greedy(
     "rate_limit", G.at_most(2, 86400), "user_id",
     start="TRUE AS admitted, [ts] AS times",

@@ -13,7 +13,7 @@ WORDS = "string_split(substring(text, 1, 200), ' ')"
 query("word_count", "documents", "SELECT doc_id, CAST(length(trim(substring(text, 1, 80), chr(9) || chr(10) || chr(13) || ' ')) AS INT) AS n FROM documents")(
     lambda d: d.select("doc_id", X.word_count(F.substring("text", 1, 80)).alias("n"))
 )
-query("join_tags", "article_meta", "SELECT article_id, replace(tags, ', ', ',') AS tags FROM article_meta")(
+query("join_tags", "article_meta", "SELECT article_id, replace(replace(tags, ', ', ','), ' ', ',') AS tags FROM article_meta")(
     lambda m: m.select("article_id", X.join_tags(F.regexp_replace("tags", ",", "， ，、")).alias("tags"))
 )
 query("split_tags", "article_meta", "SELECT article_id, trim(unnest(string_split(tags, ','))) AS tag FROM article_meta")(
@@ -34,18 +34,18 @@ query("policy_for_task", "ai_task", """
 
 def _marked(documents):
     """The first three words as a heading, the text as a list, within a fence."""
-    body = F.array_join(F.transform(F.split(F.substring("text", 1, 200), " "), lambda w: F.concat(F.lit("- "), w)), "\n")
+    body = F.array_join(F.transform(F.filter(F.split(F.substring("text", 1, 200), " "), lambda w: w != ""), lambda w: F.concat(F.lit("- "), w)), "\n")
     return documents.where("NOT regexp_like(substring(text, 1, 200), '[^\\\\p{L}\\\\p{N}., ]')").select("doc_id", F.concat(F.lit("以下是结果：\n```md\n## 摘要\n"), body, F.lit("\n```")).alias("raw"))
 
 
 CLEAN = "(SELECT * FROM documents WHERE NOT regexp_matches(substring(text, 1, 200), '[^\\p{L}\\p{N}., ]'))"
 NUMBERED = "regexp_replace(x, '^[0-9]+[.)、]\\s*', '')"
 query("normalize_plain_text", "documents", f"""
-    SELECT doc_id, array_to_string(list_filter(list_transform({WORDS}, x -> {NUMBERED}), x -> x <> ''), chr(10)) AS text FROM {CLEAN}""")(
+    SELECT doc_id, array_to_string(list_filter(list_transform({WORDS}, lambda x: {NUMBERED}), lambda x: x <> ''), chr(10)) AS text FROM {CLEAN}""")(
     lambda d: _marked(d).select("doc_id", X.normalize_plain_text(F.col("raw")).alias("text"))
 )
 query("normalize_plain_lines", "documents", f"""
-    SELECT doc_id, array_to_string(list_concat(['摘要'], list_filter(list_transform({WORDS}, x -> {NUMBERED}), x -> x <> ''))[1:5], chr(10)) AS text FROM {CLEAN}""")(
+    SELECT doc_id, array_to_string(list_concat(['摘要'], list_filter(list_transform({WORDS}, lambda x: {NUMBERED}), lambda x: x <> ''))[1:5], chr(10)) AS text FROM {CLEAN}""")(
     lambda d: _marked(d).select("doc_id", X.normalize_plain_lines(F.col("raw")).alias("text"))
 )
 
@@ -53,10 +53,8 @@ query("normalize_plain_lines", "documents", f"""
 @query("normalize_tags", "article_meta", "SELECT article_id, tags FROM article_meta")
 def _tags(meta):
     parts = F.split("tags", ", ")
-    raw = F.concat(F.lit("# "), parts[0], F.lit("；- "), parts[1], F.lit("\n1) "), parts[0])
-    return meta.select("article_id", X.normalize_tags(F.regexp_replace(raw, r"- (\d)", "$1")).alias("tags")) if False else meta.select(
-        "article_id", X.join_tags(F.col("tags")).alias("joined"), "tags"
-    ).select("article_id", X.normalize_tags(F.concat(F.lit("#"), F.regexp_replace("joined", r"^(\d)-", "#$1-"), F.lit("；\n* "), F.element_at(F.split("joined", ","), -1))).alias("tags"))
+    raw = F.concat(F.lit("#"), parts[0], F.lit("；\n* "), parts[1], F.lit("、"), parts[0])
+    return meta.select("article_id", X.normalize_tags(raw).alias("tags"))
 
 
 @query("unescape_outside_code", "documents", r"""
@@ -130,8 +128,7 @@ def _illustrations(documents):
 
 
 @query("inject_block", "documents", f"""
-    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'one ' || w || chr(10) || f || chr(10) || 'two' WHEN 1 THEN 'one ' || w || chr(10) || f || chr(10) || 'two'
-                        ELSE 'one ' || w || chr(10) || 'two' || chr(10) || f END AS text
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'one ' || w || chr(10) || f || chr(10) || 'two' ELSE 'one ' || w || chr(10) || 'two' || chr(10) || f END AS text
     FROM (SELECT doc_id, 'abcd' || w AS w, chr(10) || '```drawio' || chr(10) || 'x' || chr(10) || '```' || chr(10) AS f FROM {BLOCKS.replace("[^\\p{L} ]", "[^\\p{L}]")})""")
 def _inject(documents):
     word = F.concat(F.lit("abcd"), F.regexp_replace(F.substring("text", 1, 30), r"[^\p{L}]", ""))

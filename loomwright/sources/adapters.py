@@ -147,4 +147,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(query: str, *names: str) -> str:
     """DuckDB SQL: ``query`` over the named views."""
-    return "WITH " + ", ".join(f"{n} AS ({sql(n)})" for n in names) + "\n" + query
+    views = "WITH " + ", ".join(f"{n} AS ({sql(n)})" for n in names)
+    own = query.strip()
+    return f"{views}, {own[5:]}" if own.startswith("WITH ") else f"{views}\n{own}"

@@ -59,7 +59,7 @@ def spaced(seconds: float = 5.0, first_free: bool = False) -> Kernel:
 
 def admit(events: DataFrame, keys: list[str], kernel: Kernel, at: str = "ts", text: str | None = None, tie: str = "event_id") -> DataFrame:
     """``events`` with ``admitted``, decided per key in the order of ``at`` and ``tie``."""
-    rows = events.withColumns({"__at": F.unix_micros(at) / 1e6, "__text": F.col(text) if text else F.lit("")})
+    rows = events.withColumns({"__at": F.unix_micros(F.col(at).cast("timestamp")) / 1e6, "__text": F.col(text) if text else F.lit("")})
     schema = events.schema.add("admitted", "boolean")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,7 +82,7 @@ def admit_stream(events: DataFrame, keys: list[str], kernel: Kernel, at: str = "
     Events of a key are ordered within a batch; the state of a key goes after an hour without any."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, tie]) + ", admitted boolean"
-    rows = events.withColumns({"__at": F.unix_micros(at) / 1e6, "__text": F.col(text) if text else F.lit("")})
+    rows = events.withColumns({"__at": F.unix_micros(F.col(at).cast("timestamp")) / 1e6, "__text": F.col(text) if text else F.lit("")})
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
