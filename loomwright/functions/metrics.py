@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomwright.functions.windows import numbered
+
 #: Weights of task quality and personal accuracy by task type; fixed values.
 QUALITY_WEIGHTS = {"personalized": (0.4, 0.6), "tech_writing": (0.6, 0.4), "generic_qa": (0.8, 0.2)}
 
@@ -50,7 +52,7 @@ def latency_summary(samples: DataFrame) -> DataFrame:
     ranks of the sorted samples, and requests per second from first start to last."""
     mine = W.partitionBy("run")
     ranked = samples.withColumns(
-        {"at": F.row_number().over(mine.orderBy("elapsed_ms", "started_ms")) - 1, "n": F.count(F.lit(1)).over(mine)}
+        {"at": numbered(mine.orderBy("elapsed_ms", "started_ms")) - 1, "n": F.count(F.lit(1)).over(mine)}
     )
     at = lambda rank: F.max(F.when(F.col("at") == rank, F.col("elapsed_ms")))
     seconds = (F.max("started_ms") - F.min("started_ms")) / 1000

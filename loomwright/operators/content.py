@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import join_tags, java_trim, word_count
+from loomwright.functions.windows import numbered
 
 #: Codes of the status columns; fixed values.
 DRAFT_STATUS = {0: "EDITING", 1: "PUBLISHED", 2: "DISCARDED"}
@@ -69,7 +70,7 @@ def article_page_cursor(article: DataFrame, cursor: int | None, size: int) -> Da
 def draft_list(draft: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
     """Per user a page of drafts not deleted and not published, newest first, with the user's total."""
     mine = W.partitionBy("user_id")
-    place = F.row_number().over(mine.orderBy(F.desc("update_time"), F.desc("id")))
+    place = numbered(mine.orderBy(F.desc("update_time"), F.desc("id")))
     rows = draft.where("is_deleted = 0 AND status <> 1").withColumns({"place": place, "total": F.count(F.lit(1)).over(mine)})
     return rows.where(F.col("place").between((page - 1) * size + 1, page * size)).select("user_id", "id", "title", "place", "total")
 
@@ -126,7 +127,7 @@ def running_number(rows: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
     sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
     upto = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.select("__range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    own = F.row_number().over(W.partitionBy("__range").orderBy(key))
+    own = numbered(W.partitionBy("__range").orderBy(key))
     return placed.join(F.broadcast(before), "__range").withColumn("number", F.col("before") + own).drop("__range", "before")
 
 

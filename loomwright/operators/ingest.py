@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomwright.functions.windows import numbered
 from loomwright.operators.retrieval import active, vector_topk
 
 MEMORY_TYPES = ("fact", "preference", "knowledge", "event")
@@ -78,7 +79,7 @@ def new_by_hash(candidates: DataFrame, memories: DataFrame) -> DataFrame:
     hashed = candidates.withColumn("content_hash", F.md5("content"))
     known = memories.select("user_id", "content_hash")
     fresh = hashed.join(known, ["user_id", "content_hash"], "left_anti")
-    first = F.row_number().over(W.partitionBy("user_id", "content_hash").orderBy("candidate_id"))
+    first = numbered(W.partitionBy("user_id", "content_hash").orderBy("candidate_id"))
     return fresh.withColumn("__n", first).where("__n = 1").drop("__n")
 
 

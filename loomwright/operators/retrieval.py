@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomwright.functions.windows import numbered
+
 #: Scoring constants; fixed values.
 PROFILE_SCORE = 0.85
 LEAST_SEMANTIC = 0.1
@@ -36,7 +38,7 @@ def active(memories: DataFrame) -> DataFrame:
 
 def top_per_query(scored: DataFrame, k: Column | int) -> DataFrame:
     """Rows with the ``k`` best scores of each query (ties: smaller memory id)."""
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))
+    place = numbered(W.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
 
@@ -124,7 +126,7 @@ def recency_boost(last_accessed: Column, as_of: str) -> Column:
 
 def user_profile(memories: DataFrame, n: int = 20) -> DataFrame:
     """Per user the newest ``n`` memories, with the fixed profile score."""
-    place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("create_time"), F.desc("id")))
+    place = numbered(W.partitionBy("user_id").orderBy(F.desc("create_time"), F.desc("id")))
     newest = active(memories).withColumn("place", place).where(F.col("place") <= n)
     return newest.select("user_id", F.col("id").alias("memory_id"), F.lit(PROFILE_SCORE).alias("score"), "place")
 
@@ -169,14 +171,14 @@ def rerank_blend(fused: DataFrame, rerank: DataFrame | None = None, keep: int =
     if rerank is None:
         rows = rows.withColumn("relevance", F.lit(None).cast("double"))
     else:
-        at = F.row_number().over(mine.orderBy(F.desc("relevance"), "memory_id"))
+        at = numbered(mine.orderBy(F.desc("relevance"), "memory_id"))
         best = rerank.withColumn("at", at).where(F.col("at") <= keep).select("query_id", "memory_id", "relevance")
         rows = rows.join(best, ["query_id", "memory_id"], "left")
     rows = rows.withColumn("judged", F.count("relevance").over(mine))
     blended = RERANK_WEIGHT * F.col("relevance") + (1 - RERANK_WEIGHT) * F.col("score")
     use = (F.col("n") > keep) & (F.col("judged") > 0)
     scored = rows.where(~use | F.col("relevance").isNotNull()).withColumn("score", F.when(use, blended).otherwise(F.col("score")))
-    place = F.row_number().over(mine.orderBy(F.desc("score"), "memory_id"))
+    place = numbered(mine.orderBy(F.desc("score"), "memory_id"))
     return scored.withColumn("place", place).where(F.col("place") <= keep).select("query_id", "memory_id", "score", "place")
 
 
@@ -219,7 +221,7 @@ def apply_access_hits(memories: DataFrame, hits: DataFrame, as_of: str) -> DataF
 
 
 def most_accessed(memories: DataFrame, n: int) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("access_count"), "id"))
+    place = numbered(W.partitionBy("user_id").orderBy(F.desc("access_count"), "id"))
     return active(memories).withColumn("place", place).where(F.col("place") <= n).select("user_id", "id", "access_count", "place")
 
 

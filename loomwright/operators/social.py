@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import split_tags
+from loomwright.functions.windows import numbered
 
 #: What an interaction adds to an article's heat of the day; an unlike takes nothing away.
 HEAT = {"VIEW": 1, "LIKE": 3}
@@ -136,7 +137,7 @@ def heat(events: DataFrame) -> DataFrame:
 
 def leaderboard(events: DataFrame, article: DataFrame, n: int = 10) -> DataFrame:
     """Per day the ``n`` hottest articles (ties: larger id); those gone are left out after the cut."""
-    place = F.row_number().over(W.partitionBy("day").orderBy(F.desc("heat"), F.desc("article_id")))
+    place = numbered(W.partitionBy("day").orderBy(F.desc("heat"), F.desc("article_id")))
     top = heat(events).withColumn("place", place).where(F.col("place") <= n)
     there = article.where("is_deleted = 0").select(F.col("id").alias("article_id"), "title", "summary")
     return top.join(there, "article_id").select("day", "place", "article_id", "heat", "title", "summary")
@@ -148,7 +149,7 @@ def notification_unread(notifications: DataFrame) -> DataFrame:
 
 def page_per_user(rows: DataFrame, page: int, size: int, at: str = "create_time") -> DataFrame:
     """Per user page ``page`` of ``size``, newest first (ties: larger id)."""
-    place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc(at), F.desc("id")))
+    place = numbered(W.partitionBy("user_id").orderBy(F.desc(at), F.desc("id")))
     return rows.withColumn("place", place).where(F.col("place").between((page - 1) * size + 1, page * size))
 
 
@@ -192,7 +193,7 @@ def top_tags_per_user(likes: DataFrame, favorites: DataFrame, meta: DataFrame, n
     """(user_id, tag, uses, place): the user's most frequent tags; ties by the tag."""
     tags = meta.select("article_id", F.explode(F.transform(split_tags(F.col("tags")), F.lower)).alias("tag"))
     counts = interacted(likes, favorites).join(tags, "article_id").groupBy("user_id", "tag").agg(F.count(F.lit(1)).alias("uses"))
-    place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("uses"), "tag"))
+    place = numbered(W.partitionBy("user_id").orderBy(F.desc("uses"), "tag"))
     return counts.withColumn("place", place).where(F.col("place") <= n)
 
 
@@ -206,20 +207,20 @@ def recommend(likes: DataFrame, favorites: DataFrame, meta: DataFrame, article:
     seen = interacted(likes, favorites)
     most_seen = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.max("c"), F.lit(0)).alias("most_seen"))
     tagged = meta.select("article_id", "view_count", F.explode(F.array_distinct(F.transform(split_tags(F.col("tags")), F.lower))).alias("tag"))
-    in_tag = F.row_number().over(W.partitionBy("tag").orderBy(F.desc("view_count"), F.desc("article_id")))
+    in_tag = numbered(W.partitionBy("tag").orderBy(F.desc("view_count"), F.desc("article_id")))
     best = tagged.withColumn("in_tag", in_tag).join(F.broadcast(most_seen)).where(F.col("in_tag") <= F.col("most_seen") + n)
     wanted = top_tags_per_user(likes, favorites, meta).select("user_id", "tag")
     pool = exclude_seen(wanted.join(best, "tag").select("user_id", "article_id", "view_count").distinct(), seen)
     mine = W.partitionBy("user_id")
-    first = pool.withColumn("place", F.row_number().over(mine.orderBy(F.desc("view_count"), F.desc("article_id")))).where(F.col("place") <= n)
+    first = pool.withColumn("place", numbered(mine.orderBy(F.desc("view_count"), F.desc("article_id")))).where(F.col("place") <= n)
     hot = heat(events).where(F.col("day") == F.to_date(F.lit(day))).orderBy(F.desc("heat"), F.desc("article_id")).limit(2 * n)
     hot = hot.select("article_id", "heat")
     # The hot list has 2n rows and every user is to be offered each of them.
     offered = wanted.select("user_id").distinct().join(F.broadcast(hot))
     more = exclude_seen(offered, seen).join(first.select("user_id", "article_id"), ["user_id", "article_id"], "left_anti")
-    more = more.withColumn("place", n + F.row_number().over(mine.orderBy(F.desc("heat"), F.desc("article_id"))))
+    more = more.withColumn("place", n + numbered(mine.orderBy(F.desc("heat"), F.desc("article_id"))))
     both = first.select("user_id", "article_id", "place").unionByName(more.select("user_id", "article_id", "place"))
-    kept = both.withColumn("rank", F.row_number().over(mine.orderBy("place"))).where(F.col("rank") <= n)
+    kept = both.withColumn("rank", numbered(mine.orderBy("place"))).where(F.col("rank") <= n)
     there = article.where("is_deleted = 0").select(F.col("id").alias("article_id"), "publish_time")
     return kept.join(there, "article_id").select("user_id", "article_id", F.col("rank").alias("place"), "publish_time")
 
@@ -229,10 +230,10 @@ def comment_threads(comments: DataFrame, comment_likes: DataFrame, users: DataFr
     The page as a whole has at most ``replies`` replies. Authors, likes and the viewer's own likes
     are joined after both cuts."""
     live = comments.where("is_deleted = 0")
-    newest = F.row_number().over(W.partitionBy("article_id").orderBy(F.desc("create_time"), F.desc("id")))
+    newest = numbered(W.partitionBy("article_id").orderBy(F.desc("create_time"), F.desc("id")))
     parents = live.where("parent_id IS NULL").withColumn("place", newest).where(F.col("place").between((page - 1) * size + 1, page * size))
     answers = live.where("parent_id IS NOT NULL").join(parents.select(F.col("id").alias("parent_id"), F.col("place").alias("parent_place")), "parent_id")
-    oldest = F.row_number().over(W.partitionBy("article_id").orderBy("create_time", "id"))
+    oldest = numbered(W.partitionBy("article_id").orderBy("create_time", "id"))
     answers = answers.withColumn("place", oldest).where(F.col("place") <= replies)
     shown = parents.select("id", "article_id", "user_id", "content", "place", F.lit(None).cast("bigint").alias("parent_id"))
     shown = shown.unionByName(answers.select("id", "article_id", "user_id", "content", "place", "parent_id"))

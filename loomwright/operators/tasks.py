@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomwright.functions.windows import numbered
+
 RUNNING, SUCCESS, FAILED, PENDING, RETRYING = range(5)
 WAITING = ("NEW", "RETRYING")
 OPEN = ("NEW", "RETRYING", "SENDING")
@@ -95,7 +97,7 @@ def recover_sending(events: DataFrame, as_of: str) -> DataFrame:
 
 def latest(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first ``n`` rows per key in ``order``, with their place."""
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
+    return rows.withColumn("place", numbered(W.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
 
 
 def latest_tasks_per_draft(tasks: DataFrame, n: int) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.functions.windows import numbered
+
 #: Fixed schemas of the tables, as DDL.
 SCHEMAS = {
     "user": "id bigint, username string, nickname string, avatar_url string, is_deleted int, create_time timestamp, update_time timestamp",
@@ -67,7 +69,7 @@ def task_message_stream(spark: SparkSession, folder: str | None = None, kafka: d
 def upsert_daily_stats(current: DataFrame, updates: DataFrame) -> DataFrame:
     """Rows of ``current`` with those of ``updates`` put in or over, by (article_id, date)."""
     both = current.withColumn("__new", F.lit(0)).unionByName(updates.withColumn("__new", F.lit(1)))
-    place = F.row_number().over(W.partitionBy("article_id", "date").orderBy(F.desc("__new")))
+    place = numbered(W.partitionBy("article_id", "date").orderBy(F.desc("__new")))
     return both.withColumn("__n", place).where("__n = 1").drop("__n", "__new")
 
 

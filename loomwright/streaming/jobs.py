@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomwright.functions.windows import numbered
 from loomwright.operators.social import HEAT, current_reactions
 
 #: Phase by author; others are thinking. Fixed values.
@@ -29,7 +30,7 @@ def stream_leaderboard(events: DataFrame) -> DataFrame:
 
 
 def top_of_day(totals: DataFrame, n: int) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("day").orderBy(F.desc("heat"), F.desc("article_id")))
+    place = numbered(W.partitionBy("day").orderBy(F.desc("heat"), F.desc("article_id")))
     return totals.withColumn("place", place).where(F.col("place") <= n)
 
 
@@ -136,7 +137,7 @@ def reassemble_lines(chunks: DataFrame) -> DataFrame:
 def resume_stream(chunks: DataFrame, cursors: DataFrame, n: int = MOST_RESUMED) -> DataFrame:
     """Events of the asked tasks (task_id, last_seq; null from the start) after the last one seen, ``n`` at most."""
     after = chunks.join(cursors, "task_id").where(F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq")))
-    place = F.row_number().over(W.partitionBy("task_id").orderBy("seq"))
+    place = numbered(W.partitionBy("task_id").orderBy("seq"))
     return after.withColumn("place", place).where(F.col("place") <= n).drop("last_seq")
 
 
