@@ -77,9 +77,10 @@ def admit(events: DataFrame, keys: list[str], kernel: Kernel, at: str = "ts", te
     return dealt.mapInPandas(run, schema)
 
 
-def admit_stream(events: DataFrame, keys: list[str], kernel: Kernel, at: str = "ts", text: str | None = None, tie: str = "event_id") -> DataFrame:
+def admit_stream(events: DataFrame, keys: list[str], kernel: Kernel, at: str = "ts", text: str | None = None, tie: str = "event_id", lateness: str = "1 hour") -> DataFrame:
     """The same on a stream: (keys, tie, admitted) for each event, with state kept from batch to batch.
-    Events of a key are ordered within a batch; the state of a key goes after an hour without any."""
+    Events of a key are ordered within a batch; those later than ``lateness`` are dropped, and the state
+    of a key goes once the watermark is an hour past its last event."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, tie]) + ", admitted boolean"
     rows = events.withColumns({"__at": F.unix_micros(F.col(at).cast("timestamp")) / 1e6, "__text": F.col(text) if text else F.lit("")})
@@ -95,7 +96,8 @@ def admit_stream(events: DataFrame, keys: list[str], kernel: Kernel, at: str = "
             ok, own = kernel(own, when, words)
             out.append(ok)
         state.update((json.dumps(own),))
-        state.setTimeoutDuration(IDLE_MS)
+        state.setTimeoutTimestamp(max(int(batch["__at"].max() * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
         yield batch[[*keys, tie]].assign(admitted=out)
 
-    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = rows.withWatermark(at, lateness)
+    return timed.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)

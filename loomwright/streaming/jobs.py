@@ -98,14 +98,15 @@ def assemble_task_stream(chunks: DataFrame) -> DataFrame:
     return rows.select("task_id", text.alias("text"), F.element_at(F.array(F.lit("open"), F.lit("done"), F.lit("error")), F.col("end") + 1).alias("state"))
 
 
-def assemble_stream(chunks: DataFrame, idle: str = "30 minutes") -> DataFrame:
-    """The same on a stream: a row when a task ends (done, error) or has been idle (state open)."""
-    wait = {"30 minutes": 1_800_000}.get(idle, 1_800_000)
+def assemble_stream(chunks: DataFrame, idle_ms: int = 1_800_000, lateness: str = "10 minutes") -> DataFrame:
+    """The same on a stream with event time ``ts``: a row when a task ends (done, error), or with state
+    open once the watermark is ``idle_ms`` past its last chunk."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         text, final, end = state.get if state.exists else ("", None, 0)
         if not state.hasTimedOut:
-            for row in pd.concat(list(parts)).sort_values("seq").itertuples():
+            batch = pd.concat(list(parts)).sort_values("seq")
+            for row in batch.itertuples():
                 said = bool(row.content and row.content.strip())
                 if row.type == "text" and said and row.author != "analyst":
                     text += row.content
@@ -114,14 +115,15 @@ def assemble_stream(chunks: DataFrame, idle: str = "30 minutes") -> DataFrame:
                 end = max(end, {"error": 2, "done": 1}.get(row.type, 0))
             if not end:
                 state.update((text, final, end))
-                state.setTimeoutDuration(wait)
+                last = int(batch["ts"].max().timestamp() * 1000)
+                state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
                 return
         if state.exists:
             state.remove()
         yield pd.DataFrame({"task_id": [key[0]], "text": [final if final is not None else text], "state": [("open", "done", "error")[end]]})
 
-    return chunks.groupBy("task_id").applyInPandasWithState(
-        run, "task_id bigint, text string, state string", "text string, final string, end int", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return chunks.withWatermark("ts", lateness).groupBy("task_id").applyInPandasWithState(
+        run, "task_id bigint, text string, state string", "text string, final string, end int", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

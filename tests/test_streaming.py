@@ -77,6 +77,7 @@ def test_consume_once(spark, tmp_path):
 def test_assemble(spark, tmp_path):
     rows = [(1, 1, "analyst", "text", "no"), (1, 2, "generator", "text", "a"), (1, 3, "reviewer", "text", "b"), (1, 4, "x", "done", None), (2, 1, "g", "text", "c"), (2, 2, "g", "result", "R"), (2, 3, "g", "error", "")]
     chunks = spark.createDataFrame(rows, "task_id long, seq long, author string, type string, content string")
+    chunks = chunks.withColumn("ts", F.timestamp_seconds(F.lit(1714521600) + F.col("seq")))
     chunks.coalesce(1).write.parquet(str(tmp_path / "in"))
     got = drain(spark, J.assemble_stream(spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "in"))), tmp_path)
     want = J.assemble_task_stream(chunks)
