@@ -276,7 +276,7 @@ def test_toxicity(spark):
         words = [rng.choice(vocabulary) for _ in range(60)]
         bad = i % 6 == 0
         if bad:
-            for _ in range(4):
+            for _ in range(8):
                 words.insert(rng.randrange(60), rng.choice(rude))
         rows.append((i, " ".join(words)))
         labels.append((i, 1, int(bad)))
