@@ -139,17 +139,18 @@ def fuse_scores(queries: DataFrame, semantic: DataFrame, keyword: DataFrame, pro
     keyword rows keep the sigmoid itself.
     """
     own = queries.select("query_id", "user_id", (F.size(F.coalesce("embedding", F.array().cast("array<float>"))) > 0).alias("has_vector"))
-    kw = bm25_sigmoid(keyword).select("query_id", "memory_id", "keyword")
+    none = F.lit(None).cast("double")
     rows = own.join(profile.select("user_id", "memory_id"), "user_id").select(
-        "query_id", "memory_id", F.lit(0).alias("rank"), F.lit(None).cast("double").alias("semantic")
+        "query_id", "memory_id", F.lit(0).alias("rank"), none.alias("semantic"), none.alias("keyword")
     )
-    rows = rows.unionByName(semantic.select("query_id", "memory_id", F.lit(1).alias("rank"), F.col("score").alias("semantic")))
-    rows = rows.unionByName(kw.select("query_id", "memory_id", F.lit(2).alias("rank"), F.lit(None).cast("double").alias("semantic")))
-    first = rows.groupBy("query_id", "memory_id").agg(F.min_by(F.struct("rank", "semantic"), "rank").alias("of")).select("query_id", "memory_id", "of.*")
+    rows = rows.unionByName(semantic.select("query_id", "memory_id", F.lit(1).alias("rank"), F.col("score").alias("semantic"), none.alias("keyword")))
+    rows = rows.unionByName(bm25_sigmoid(keyword).select("query_id", "memory_id", F.lit(2).alias("rank"), none.alias("semantic"), "keyword"))
+    # One pass over the three lists: each list is made once, and its scores stay with the memory.
+    first = rows.groupBy("query_id", "memory_id").agg(*[f(c).alias(c) for f, c in ((F.min, "rank"), (F.max, "semantic"), (F.max, "keyword"))])
+    first = first.withColumn("some", (F.count("keyword").over(W.partitionBy("query_id")) > 0).cast("double"))
     facts = active(memories).where("content IS NOT NULL").select(F.col("id").alias("memory_id"), "importance", "last_accessed_at")
-    any_keyword = kw.select("query_id").distinct().withColumn("some", F.lit(1.0))
-    joined = first.join(kw, ["query_id", "memory_id"], "left").join(facts, "memory_id").join(own.drop("user_id"), "query_id").join(any_keyword, "query_id", "left")
-    most = F.when(F.col("has_vector"), 1 + F.coalesce("some", F.lit(0.0)) + RECENCY + IMPORTANCE).otherwise(F.lit(1.0))
+    joined = first.join(facts, "memory_id").join(own.drop("user_id"), "query_id")
+    most = F.when(F.col("has_vector"), 1 + F.col("some") + RECENCY + IMPORTANCE).otherwise(F.lit(1.0))
     word = F.coalesce("keyword", F.lit(0.0))
     boost = recency_boost(F.col("last_accessed_at"), as_of) + IMPORTANCE * F.coalesce("importance", F.lit(NO_IMPORTANCE))
     score = (
