@@ -77,9 +77,6 @@ def _glued(documents):
     return documents.select("doc_id", F.concat(F.lit("```markdown\n"), word, F.lit("##2.1"), word, F.lit("\n-"), word, F.lit(" [粗体]<br/>end\n```")).alias("raw"), word.alias("word"))
 
 
-GLUED = "'{h}' || chr(10) || chr(10) || '{m} 2.1' || {h} || chr(10) || '- ' || {h} || chr(10) || 'end'"
-
-
 def _glued_sql(marks: str) -> str:
     return f"SELECT doc_id, h || chr(10) || chr(10) || '{marks} 2.1' || h || chr(10) || '- ' || h || chr(10) || 'end' AS text FROM (SELECT doc_id, {HEAD} AS h FROM documents)"
 
