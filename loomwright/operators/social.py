@@ -201,16 +201,19 @@ def recommend(likes: DataFrame, favorites: DataFrame, meta: DataFrame, article:
     """(user_id, article_id, publish_time): unseen articles with one of the user's top tags by views,
     filled up from the day's leaderboard.
 
-    A tag's list is cut before users meet it: a user has seen at most ``most_seen`` articles, so its
-    best n + most_seen articles hold the user's best n unseen ones. The cut is exact.
+    A tag's list is cut twice before the anti join, exactly: once at n plus the most articles that
+    anybody has seen, and per user at n plus those the user has seen, as its best n unseen articles
+    lie within that many.
     """
     seen = interacted(likes, favorites)
-    most_seen = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.max("c"), F.lit(0)).alias("most_seen"))
+    own = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("own"))
+    most_seen = own.agg(F.coalesce(F.max("own"), F.lit(0)).alias("most_seen"))
     tagged = meta.select("article_id", "view_count", F.explode(F.array_distinct(F.transform(split_tags(F.col("tags")), F.lower))).alias("tag"))
     in_tag = numbered(W.partitionBy("tag").orderBy(F.desc("view_count"), F.desc("article_id")))
     best = tagged.withColumn("in_tag", in_tag).join(F.broadcast(most_seen)).where(F.col("in_tag") <= F.col("most_seen") + n)
     wanted = top_tags_per_user(likes, favorites, meta).select("user_id", "tag")
-    pool = exclude_seen(wanted.join(best, "tag").select("user_id", "article_id", "view_count").distinct(), seen)
+    near = wanted.join(own, "user_id").join(best, "tag").where(F.col("in_tag") <= F.col("own") + n)
+    pool = exclude_seen(near.select("user_id", "article_id", "view_count").distinct(), seen)
     mine = W.partitionBy("user_id")
     first = pool.withColumn("place", numbered(mine.orderBy(F.desc("view_count"), F.desc("article_id")))).where(F.col("place") <= n)
     hot = heat(events).where(F.col("day") == F.to_date(F.lit(day))).orderBy(F.desc("heat"), F.desc("article_id")).limit(2 * n)

@@ -1,6 +1,5 @@
 """Golden strings of text repair and block rendering."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from loomwright.functions import blocks as B
@@ -12,67 +11,64 @@ def one(spark, function, *values):
     return df.select(function(*[F.col(c) for c in df.columns]).alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("policy", ["PLAIN_TEXT", "TAGS", "ARTICLE_LIGHT", None])
-@pytest.mark.parametrize("raw", [None, "", "   "])
-def test_blank_stays(spark, policy, raw):
-    assert one(spark, X.normalize_by_policy, raw, policy) == raw
-
-
-@pytest.mark.parametrize(
-    "policy, raw, want",
-    [
-        ("PLAIN_TEXT", "## 摘要\n\n本文介绍 RocketMQ 的可靠投递机制。", "本文介绍 RocketMQ 的可靠投递机制。"),
-        ("PLAIN_LINES", "1. # 多 Agent 写作系统实践\n2. 从同步生成到异步任务", "多 Agent 写作系统实践\n从同步生成到异步任务"),
-        ("TAGS", "#Java、Spring Boot，RocketMQ\nRedis, Java", "Java, Spring Boot, RocketMQ, Redis"),
-        ("ARTICLE_LIGHT", "## 2.1 任务可靠投递", "## 2.1 任务可靠投递"),
-        ("NONE", "  \\*x ", "  \\*x "),
-    ],
-)
-def test_policies(spark, policy, raw, want):
-    assert one(spark, X.normalize_by_policy, raw, policy) == want
-
-
-@pytest.mark.parametrize(
-    "raw, inside, outside",
-    [
-        ("###标题\n正文", "### 标题", None),
-        ("上一段##新标题", "\n## 新标题", None),
-        ("这是 \\*\\*重点\\*\\* 内容", "**重点**", "\\"),
-        ("```markdown\n# 标题\n正文\n```", "# 标题", "```"),
-        ("\\| a \\| b \\|", "| a | b |", "\\|"),
-        ("### 2.\n\n1作用与原理", "2.1", None),
-        ("\\*x\n```\n\\*y\n```\n\\*z", "\\*y", "\\*z"),
-        ("```javapublic void execute() {}\n```", "```java\npublic", None),
-        ("##一、引言###1.1背景", "## 一、引言", "## \n"),
-        ("## 2.1 小节\n正文", "### 2.1 小节", None),
-    ],
-)
-def test_strict(spark, raw, inside, outside):
-    got = one(spark, X.normalize_article_strict, raw)
-    assert inside in got and (outside is None or outside not in got)
-
-
-@pytest.mark.parametrize(
-    "line, want",
-    [
-        ('{"type":"md_heading","level":2,"text":"标题"}', "## 标题"),
-        ('{"type":"md_heading","level":9,"text":"超深"}', "###### 超深"),
-        ('{"type":"md_paragraph","text":" x "}', "x"),
-        ('{"type":"md_list","items":["a","b"]}', "- a\n- b"),
-        ('{"type":"md_list","ordered":true,"items":["x","y"]}', "1. x\n2. y"),
-        ('{"type":"md_table","headers":["a","b"],"rows":[["1","2|3"]]}', "| a | b |\n| --- | --- |\n| 1 | 2\\|3 |"),
-        ('{"type":"md_table","headers":["a","b","c"],"rows":[["1"]]}', "| a | b | c |\n| --- | --- | --- |\n| 1 |  |  |"),
-        ('{"type":"md_code","lang":"java","text":"int x;\\n"}', "```java\nint x;\n```"),
-        ('{"type":"md_quote","text":"核心\\n结论"}', "> 核心\n> 结论"),
-        ('{"type":"md_divider"}', "---"),
-        ('{"type":"md_done"}', ""),
-        ('{"type":"other"}', None),
-        ("plain", None),
-        (None, None),
-    ],
-)
-def test_blocks(spark, line, want):
-    assert one(spark, B.render_block, line) == want
+POLICY_CASES = [
+    ("PLAIN_TEXT", "## 摘要\n\n本文介绍 RocketMQ 的可靠投递机制。", "本文介绍 RocketMQ 的可靠投递机制。"),
+    ("PLAIN_LINES", "1. # 多 Agent 写作系统实践\n2. 从同步生成到异步任务", "多 Agent 写作系统实践\n从同步生成到异步任务"),
+    ("TAGS", "#Java、Spring Boot，RocketMQ\nRedis, Java", "Java, Spring Boot, RocketMQ, Redis"),
+    ("ARTICLE_LIGHT", "## 2.1 任务可靠投递", "## 2.1 任务可靠投递"),
+    ("NONE", "  \\*x ", "  \\*x "),
+    *[(p, raw, raw) for p in ("PLAIN_TEXT", "TAGS", "ARTICLE_LIGHT", None) for raw in (None, "", "   ")],
+]
+#: What a text must hold after strict repair, and what it must not.
+STRICT_CASES = [
+    ("###标题\n正文", "### 标题", None),
+    ("上一段##新标题", "\n## 新标题", None),
+    ("这是 \\*\\*重点\\*\\* 内容", "**重点**", "\\"),
+    ("```markdown\n# 标题\n正文\n```", "# 标题", "```"),
+    ("\\| a \\| b \\|", "| a | b |", "\\|"),
+    ("### 2.\n\n1作用与原理", "2.1", None),
+    ("\\*x\n```\n\\*y\n```\n\\*z", "\\*y", "\\*z"),
+    ("```javapublic void execute() {}\n```", "```java\npublic", None),
+    ("##一、引言###1.1背景", "## 一、引言", "## \n"),
+    ("## 2.1 小节\n正文", "### 2.1 小节", None),
+]
+BLOCK_CASES = [
+    ('{"type":"md_heading","level":2,"text":"标题"}', "## 标题"),
+    ('{"type":"md_heading","level":9,"text":"超深"}', "###### 超深"),
+    ('{"type":"md_paragraph","text":" x "}', "x"),
+    ('{"type":"md_list","items":["a","b"]}', "- a\n- b"),
+    ('{"type":"md_list","ordered":true,"items":["x","y"]}', "1. x\n2. y"),
+    ('{"type":"md_table","headers":["a","b"],"rows":[["1","2|3"]]}', "| a | b |\n| --- | --- |\n| 1 | 2\\|3 |"),
+    ('{"type":"md_table","headers":["a","b","c"],"rows":[["1"]]}', "| a | b | c |\n| --- | --- | --- |\n| 1 |  |  |"),
+    ('{"type":"md_code","lang":"java","text":"int x;\\n"}', "```java\nint x;\n```"),
+    ('{"type":"md_quote","text":"核心\\n结论"}', "> 核心\n> 结论"),
+    ('{"type":"md_divider"}', "---"),
+    ('{"type":"md_done"}', ""),
+    ('{"type":"other"}', None),
+    ("plain", None),
+    (None, None),
+]
+
+
+def each(spark, function, rows):
+    """The function's value for each row of strings, in order, by one job."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"c{k} string" for k in range(len(rows[0]))))
+    out = df.select("i", function(*[F.col(c) for c in df.columns[1:]]).alias("x")).orderBy("i").collect()
+    return [r["x"] for r in out]
+
+
+def test_policies(spark):
+    got = each(spark, lambda raw, policy: X.normalize_by_policy(raw, policy), [(raw, policy) for policy, raw, _ in POLICY_CASES])
+    assert got == [want for _, _, want in POLICY_CASES]
+
+
+def test_strict(spark):
+    for got, (_, inside, outside) in zip(each(spark, X.normalize_article_strict, [(c[0],) for c in STRICT_CASES]), STRICT_CASES):
+        assert inside in got and (outside is None or outside not in got)
+
+
+def test_blocks(spark):
+    assert each(spark, B.render_block, [(line,) for line, _ in BLOCK_CASES]) == [want for _, want in BLOCK_CASES]
 
 
 def test_document(spark):
