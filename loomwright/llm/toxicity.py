@@ -243,7 +243,8 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows: int,
     drawn = of("toxicity") < int((1 << 30) * rate)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8(F.col("text")).alias("text"))
     texts = texts.where(fold(F.col("doc_id"), folds) != held).where(drawn)
-    return work.put(texts.join(marked.where(drawn), "doc_id").select("text", "toxic", (of("mine") % 4 != 0).alias("mine")), "sample")
+    chosen = F.broadcast(marked.where(drawn))  # about ``rows`` ids, whatever the input; texts need no shuffle
+    return work.put(texts.join(chosen, "doc_id").select("text", "toxic", (of("mine") % 4 != 0).alias("mine")), "sample")
 
 
 def mine_terms(mine: DataFrame, work: Workspace, most: int = MOST_TERMS) -> list[tuple[str, bool, float, int]]:
