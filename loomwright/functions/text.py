@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,13 +95,12 @@ def format_time(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
 
 
-def unescape_outside_code(text: Column) -> Column:
-    """Backslashes before Markdown marks go, except within code fences; a fence line toggles."""
+def outside_code(text: Column, mend: Callable[[Column], Column]) -> Column:
+    """``mend`` on each line that is not within a code fence; a fence line toggles and stays."""
     fence = lambda line: F.startswith(java_trim(line), F.lit("```"))
 
     def step(state: Column, line: Column) -> Column:
-        keep = fence(line) | state["inside"]
-        mended = F.when(keep, line).otherwise(F.regexp_replace(line, ESCAPED, "$1"))
+        mended = F.when(fence(line) | state["inside"], line).otherwise(mend(line))
         # As in the rule itself, a line break follows only once there is some text.
         out = F.when(F.length(state["out"]) == 0, mended).otherwise(F.concat(state["out"], F.lit("\n"), mended))
         return F.struct((state["inside"] != fence(line)).alias("inside"), out.alias("out"))
@@ -108,6 +109,11 @@ def unescape_outside_code(text: Column) -> Column:
     return F.aggregate(F.split(text, "\n"), start, step, lambda s: s["out"])
 
 
+def unescape_outside_code(text: Column) -> Column:
+    """Backslashes before Markdown marks go, except within code fences."""
+    return outside_code(text, lambda line: F.regexp_replace(line, ESCAPED, "$1"))
+
+
 def without_chat(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, CHATTY, ""), OUTER_FENCE, "$1")
 
@@ -151,9 +157,7 @@ def normalize_markdown_light(text: Column) -> Column:
 def normalize_article_strict(text: Column) -> Column:
     """Light repair, then numbered second-level headings ("## 2.1 ...") become third-level ones.
     Text is not re-flowed. A heading of that form within a code fence stays."""
-    fenced = F.regexp_extract_all(normalize_markdown_light(text), F.lit(r"(?s)```.*?(?:```|\z)|(?:[^`]|`(?!``))+"), F.lit(0))
-    raised = lambda part: F.when(F.startswith(part, F.lit("```")), part).otherwise(F.regexp_replace(part, r"(?m)^##(\s+\d+\.\d+)", "###$1"))
-    return F.array_join(F.transform(fenced, raised), "")
+    return outside_code(normalize_markdown_light(text), lambda line: F.regexp_replace(line, r"^##(\s+\d+\.\d+)", "###$1"))
 
 
 def policy_for_task(task_type: Column, payload: Column) -> Column:
