@@ -91,8 +91,10 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Repeated rows of one doc_id with equal text count as one document: one of them stays.
     """
-    verdicts = exact_duplicates(docs).where("kept").select("doc_id", F.col("text_sha256").alias("__digest")).distinct()
-    marked = docs.withColumn("__digest", F.sha2(lower_az(F.coalesce(F.col("text"), F.lit(""))), 256))
-    same = F.col("m.doc_id").cast("bigint").eqNullSafe(F.col("v.doc_id")) & (F.col("m.__digest") == F.col("v.__digest"))
-    kept = marked.alias("m").join(verdicts.alias("v"), same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    least = F.lit(-(1 << 63))
+    keys = ["__id", "__digest"]
+    kept = exact_duplicates(docs).where("kept").select(F.coalesce("doc_id", least).alias("__id"), F.col("text_sha256").alias("__digest"))
+    digest = F.sha2(lower_az(F.coalesce(F.col("text"), F.lit(""))), 256)
+    marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), least), "__digest": digest})
+    # Both steps need the same keys, so that texts are shuffled once.
+    return marked.join(kept.distinct(), keys, "left_semi").dropDuplicates(keys).drop(*keys)
