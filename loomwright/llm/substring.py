@@ -181,25 +181,27 @@ def _cut_texts(docs: DataFrame) -> DataFrame:
     row = ["doc_id", "text_key"]
     places = work.put(texts.mapInArrow(_index, "anchor bigint, block bigint, place int, doc_id bigint, text_key bigint"), "places")
     seen = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("b"), F.max("block").alias("c"))
-    again = seen.where("n > 1").select("anchor", (F.col("b") != F.col("c")).alias("mixed"))
+    # Tables that are joined back are written first: a join of two shuffles may split a hot key, one
+    # that takes over an aggregation's partitions may not.
+    again = work.put(seen.where("n > 1").select("anchor", (F.col("b") != F.col("c")).alias("mixed")), "again")
     known = work.put(places.join(again, "anchor"), "known")
     work.drop("places")
     alike = known.where("not mixed").select(*row, (F.col("place").cast("bigint") * 4 + REPEATED).alias("mark"))
     mixed = known.where("mixed").withColumn("at", F.xxhash64(*row, "place"))
-    groups = mixed.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    groups = work.put(mixed.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")), "groups")
     repeated = F.when(F.col("n") > 1, REPEATED).otherwise(0) + F.when(F.col("at") == F.col("first"), ASKS).otherwise(0)
     unlike = mixed.join(groups, ["anchor", "block"]).select(*row, (F.col("place").cast("bigint") * 4 + repeated).alias("mark"))
     marks = work.put(alike.unionAll(unlike).groupBy(*row).agg(F.collect_set("mark").alias("marks")), "marks")
-    work.drop("known")
+    work.drop("known", "again", "groups")
     asking = marks.where(F.exists("marks", lambda x: x.bitwiseAND(ASKS) > 0))
     asked = texts.join(asking, row).select(*row, "text", "marks").mapInArrow(
         _asked, "key_a bigint, key_b bigint, window int, doc_id bigint, text_key bigint"
     )
     asked = work.put(asked, "asked")
-    double = asked.groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    double = work.put(asked.groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "double")
     found = asked.join(double, ["key_a", "key_b"]).groupBy(*row).agg(F.collect_set(F.col("window").cast("bigint")).alias("windows"))
     spans = work.put(marks.join(found, row, "left"), "spans")
-    work.drop("marks", "asked")
+    work.drop("marks", "asked", "double")
     return texts.join(spans, row, "left").select(*row, "text", "marks", "windows").mapInArrow(
         _cut, "doc_id bigint, text_key bigint, n_words bigint, n_removed bigint, kept binary"
     )
