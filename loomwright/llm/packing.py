@@ -9,6 +9,7 @@ hold the largest room below them, finds that bin in logarithmic time.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,13 +27,18 @@ GROUP = 8192
 SEED = 17
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
+#: Runs of white space (Unicode's White_Space) that are too long for the library's pattern, which
+#: keeps a state for each character of a run and fails at a million.
+LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
+SPECIAL = "<|endoftext|>"
 
 
 def load_encoder(name: str = "byte_bpe_50k"):
     """text -> ids, as ``tokenizers`` gives them for ``name``.json without added special tokens.
 
     The ranks file holds the same vocabulary; its library needs a third of the time. A special
-    token's string in a text becomes its id, as there.
+    token's string in a text becomes its id, as there. Long runs of white space are cut off as the
+    pattern would: all but the last character before a word, all of it before the end.
     """
     import base64
 
@@ -41,8 +47,19 @@ def load_encoder(name: str = "byte_bpe_50k"):
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    made = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-    return lambda text: made.encode(text, allowed_special="all")
+    made = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: 50256})
+    whole = tiktoken.Encoding(f"{name}_whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        ids, at = [], 0
+        for run in LONG_RUN.finditer(text):
+            ends = run.end() == len(text) or text.startswith(SPECIAL, run.end())
+            stop = run.end() if ends else run.end() - 1
+            ids += made.encode(text[at : run.start()], allowed_special="all") + whole.encode_ordinary(text[run.start() : stop])
+            at = stop
+        return ids + made.encode(text[at:], allowed_special="all")
+
+    return encode
 
 
 _encoders: dict = {}

@@ -379,3 +379,16 @@ def test_warc_finds_damage():
 )
 def test_no_rows(spark, run):
     assert run(docs(spark, [])).count() == 0
+
+
+def test_long_runs_of_white_space():
+    import public_tokenizers
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.load_encoder()
+    runs = [" " * 12_000, " \n" * 6000, "\t" * 10_001, "　" * 10_000, "  " * 5001]
+    ends = ["", "x", "é z", "'s", "9 9", "<|endoftext|>  c", "." + " " * 10_500 + "b"]
+    for text in [start + run + end for start in ("", "a", "b\x1c") for run in runs for end in ends]:
+        assert encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert len(encode(" " * 1_500_000 + "x")) == 1_500_000  # the library's pattern alone fails here
