@@ -1,9 +1,10 @@
 """Quality rules: word statistics, then compression bands learned per length.
 
 Repetitive text compresses too well for its length, random text too badly. Each whole text and
-each fixed chunk is compressed with zstandard; a histogram of ratios over all documents gives
+each fixed chunk is compressed with zstandard; a histogram of ratios over all distinct texts gives
 median and spread for every length class (power of two), and a text is rejected outside
-``width`` spreads, or when half its chunks or more are outside theirs.
+``width`` spreads, or when half its chunks or more are outside theirs. A spread is at least that
+of the neighbouring classes, so that texts much alike can't narrow the band of their class.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -56,16 +58,17 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=LEVEL)
     ratio = lambda x: min(2 * STEPS, len(packer.compress(x)) * STEPS // len(x))
     for batch in batches:
-        rows, sizes, whole, chunks = [], [], [], []
+        rows, sizes, whole, chunks, digests = [], [], [], [], []
         for data in batch.column(1).to_pylist():
             rows.append(word_statistics(data))
             sizes.append(len(data).bit_length())
+            digests.append(xxhash.xxh3_128_digest(data))
             whole.append(ratio(data) if data else None)
             parts = (data[i : i + CHUNK] for i in range(0, len(data), CHUNK)) if len(data) >= CHUNK else ()
             chunks.append([ratio(x) for x in parts if len(x) >= LEAST_CHUNK])
         cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
-        more = [pa.array(sizes, pa.int32()), pa.array(whole, pa.int32()), pa.array(chunks, pa.list_(pa.int32()))]
-        names = [x.split()[0] for x in BASE.split(", ")] + ["size_class", "ratio", "chunks"]
+        more = [pa.array(sizes, pa.int32()), pa.array(whole, pa.int32()), pa.array(chunks, pa.list_(pa.int32())), pa.array(digests, pa.binary())]
+        names = [x.split()[0] for x in BASE.split(", ")] + ["size_class", "ratio", "chunks", "digest"]
         yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *more], names)
 
 
@@ -77,7 +80,11 @@ def _median(counts: DataFrame, by: list[str], value: str, name: str) -> DataFram
 
 
 def limits(ratios: DataFrame, width: float = WIDTH) -> DataFrame:
-    """(kind, size_class, low, high) from (kind, size_class, ratio), one row per measured text."""
+    """(kind, size_class, low, high) from (kind, size_class, ratio), one row per measured text.
+
+    The spread is the class's own, but at least LEAST_SPREAD and that of the two neighbouring
+    classes' texts together, each taken from the median of its own class.
+    """
     counts = ratios.groupBy("kind", "size_class", "ratio").agg(F.count(F.lit(1)).alias("n"))
     middle = _median(counts, ["kind", "size_class"], "ratio", "middle")
     away = (
@@ -85,8 +92,10 @@ def limits(ratios: DataFrame, width: float = WIDTH) -> DataFrame:
         .groupBy("kind", "size_class", "middle", F.abs(F.col("ratio") - F.col("middle")).alias("away"))
         .agg(F.sum("n").alias("n"))
     )
-    spread = _median(away, ["kind", "size_class", "middle"], "away", "mad")
-    reach = width * F.greatest(F.col("mad") / STEPS * 1.4826, F.lit(LEAST_SPREAD))
+    around = away.select("kind", F.explode(F.array(F.col("size_class") - 1, F.col("size_class") + 1)).alias("size_class"), "away", "n")
+    around = _median(around.groupBy("kind", "size_class", "away").agg(F.sum("n").alias("n")), ["kind", "size_class"], "away", "near_mad")
+    spread = _median(away, ["kind", "size_class", "middle"], "away", "mad").join(around, ["kind", "size_class"], "left")
+    reach = width * F.greatest(F.greatest("mad", "near_mad") / STEPS * 1.4826, F.lit(LEAST_SPREAD))
     return spread.select(
         "kind", "size_class", (F.col("middle") / STEPS - reach).alias("low"), (F.col("middle") / STEPS + reach).alias("high")
     )
@@ -97,13 +106,14 @@ def judge(docs: DataFrame, width: float = WIDTH) -> DataFrame:
 
     Null text has no words and fails the base rules, as does an empty one. Length classes are
     few (bits of the length), so the limits are a small table whatever the input. A text alone
-    in its class is its own median. Repeated rows count in the limits and come out again.
+    in its class is its own median. Copies of a text count once in the limits; all rows come out again.
     """
     work = Workspace(docs.sparkSession, "bands")
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8(F.col("text")).alias("text"))
-    found = work.put(narrow.mapInArrow(_statistics, f"{BASE}, size_class int, ratio int, chunks array<int>"), "measured")
-    whole = found.where("ratio is not null").select(F.lit("whole").alias("kind"), "size_class", "ratio")
-    parts = found.select(F.lit("chunk").alias("kind"), F.lit(0).alias("size_class"), F.explode("chunks").alias("ratio"))
+    found = work.put(narrow.mapInArrow(_statistics, f"{BASE}, size_class int, ratio int, chunks array<int>, digest binary"), "measured")
+    texts = work.put(found.where("ratio is not null").groupBy("digest").agg(*[F.first(c).alias(c) for c in ("size_class", "ratio", "chunks")]), "texts")
+    whole = texts.select(F.lit("whole").alias("kind"), "size_class", "ratio")
+    parts = texts.select(F.lit("chunk").alias("kind"), F.lit(0).alias("size_class"), F.explode("chunks").alias("ratio"))
     table = work.put(limits(whole.unionAll(parts), width), "limits")
     own = table.where("kind = 'whole'").select("size_class", "low", "high")
     chunk = table.where("kind = 'chunk'").agg(F.max("low").alias("chunk_low"), F.max("high").alias("chunk_high")).first()
