@@ -3,7 +3,8 @@
 The filter is one table of slots; bit l of a slot belongs to language l. An n-gram's slots are
 read once and joined by AND: the bits left are all languages that may hold the n-gram. Counting
 bits per language over a text, and taking off the share that each language's slice would give by
-chance, leaves comparable shares; the largest decides.
+chance, leaves comparable shares; the largest decides. A text of letters that stand alone has no
+n-gram; the languages' shares of its letters decide then.
 """
 
 from __future__ import annotations
@@ -43,10 +44,14 @@ def _letters() -> np.ndarray:
     return table
 
 
-def grams(data: bytes) -> Iterator[np.ndarray]:
-    """Hashes of the text's n-grams, in blocks; those with two spaces on end are left out. Nothing without a letter."""
+def folded(data: bytes) -> np.ndarray:
+    """The text's code points, letters in lower case and all else as spaces."""
     points = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = _letters()[points]
+    return _letters()[points]
+
+
+def grams(points: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of folded code points, in blocks; those with two spaces on end are left out. Nothing without a letter."""
     if not (points != 32).any():
         return
     points = np.concatenate([np.full(1, 32, np.uint32), points, np.full(GRAM, 32, np.uint32)]).astype(np.uint64)
@@ -69,11 +74,13 @@ def grams(data: bytes) -> Iterator[np.ndarray]:
 class LanguageFilter:
     """Bit-sliced Bloom filter: ``slots`` slots of one bit per language (up to 64)."""
 
-    def __init__(self, languages: list[str], gram_sets: list[np.ndarray]):
+    def __init__(self, languages: list[str], gram_sets: list[np.ndarray], letters: dict[int, np.ndarray] | None = None):
         if len(languages) > 64:
             raise ValueError("a slot has 64 bits: give at most 64 languages")
         most = max((len(x) for x in gram_sets), default=0)
         self.languages = languages
+        #: For each letter (code point) its share of every language's letters.
+        self.letters = letters or {}
         self.shift = 64 - max(10, int(most * 16).bit_length())  # 16 to 32 slots for each n-gram
         kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(languages))
         self.slots = np.zeros(1 << (64 - self.shift), kind)
@@ -96,9 +103,11 @@ class LanguageFilter:
         return masks
 
     def shares(self, data: bytes) -> np.ndarray | None:
-        """Per language the share of the text's n-grams beyond chance; None without letters."""
+        """Per language the share of the text's n-grams beyond chance, or where it has none the
+        mean share of its letters; None without letters."""
+        points = folded(data)
         counts, n = np.zeros(len(self.languages), np.int64), 0
-        for found in grams(data):
+        for found in grams(points):
             masks = self.masks(found)
             n += len(masks)
             seen = np.bincount(masks, minlength=1) if masks.dtype.itemsize == 1 else None
@@ -108,7 +117,11 @@ class LanguageFilter:
                 else:
                     counts[b] += int((masks >> masks.dtype.type(b) & masks.dtype.type(1)).sum())
         if not n:
-            return None
+            own, times = np.unique(points[points != 32], return_counts=True)
+            if not len(own):
+                return None
+            none = np.zeros(len(self.languages))
+            return sum(k * self.letters.get(c, none) for c, k in zip(own.tolist(), times.tolist())) / times.sum()
         return np.maximum(0, (counts / n - self.chance) / np.maximum(1e-9, 1 - self.chance))
 
 
@@ -125,16 +138,36 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageFilter:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[str, list[np.ndarray]] = {}
+            by: dict[tuple[str, int], list[np.ndarray]] = {}
             for data, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(lang, []).extend(grams(data))
-            for lang, parts in by.items():
-                if parts:
+                points = folded(data)
+                by.setdefault((lang, GRAM), []).extend(grams(points))
+                by.setdefault((lang, 1), []).append(points[points != 32])
+            for (lang, size), parts in by.items():
+                if not parts:
+                    continue
+                if size == 1:
+                    n = np.bincount(np.concatenate(parts))
+                    gram = np.flatnonzero(n)
+                    n = n[gram]
+                else:
                     gram, n = np.unique(np.concatenate(parts), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"gram": gram.view(np.int64), "lang": [lang] * len(gram), "n": n.astype(np.int64)})
-
-    counts = sample.mapInArrow(run, "gram bigint, lang string, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+                    gram = gram.view(np.int64)
+                cols = {"size": np.full(len(gram), size, np.int32), "gram": gram, "lang": [lang] * len(gram), "n": n.astype(np.int64)}
+                yield pa.RecordBatch.from_pydict(cols)
+
+    both = sample.mapInArrow(run, "size int, gram bigint, lang string, n bigint").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
+    # Each language's number of n-grams, and its letters, which are as many as Unicode has at most.
+    sums = both.groupBy("lang", F.when(F.col("size") == 1, F.col("gram")).alias("letter")).agg(F.sum("n").alias("n")).collect()
+    totals = {r["lang"]: r["n"] for r in sums if r["letter"] is None}
+    letters: dict[int, np.ndarray] = {}
+    for r in sums:
+        if r["letter"] is not None:
+            letters.setdefault(r["letter"], np.zeros(len(languages)))[languages.index(r["lang"])] = r["n"]
+    if letters:
+        of = np.maximum(1, sum(letters.values()))
+        letters = {c: n / of for c, n in letters.items()}
+    counts = both.where(F.col("size") == GRAM).select("gram", "lang", "n")
     total = F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in totals.items()], F.lit(1.0)) if totals else F.lit(1.0)
     shares = counts.withColumn("share", F.col("n") / total)
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
@@ -142,7 +175,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageFilter:
     found: dict[str, list[int]] = {k: [] for k in languages}
     for r in own.select("lang", "gram").toLocalIterator():  # at most 1 / LEAST_SHARE of a language
         found[r["lang"]].append(r["gram"])
-    return LanguageFilter(languages, [np.array(sorted(found[k]), np.int64).view(np.uint64) for k in languages])
+    return LanguageFilter(languages, [np.array(sorted(found[k]), np.int64).view(np.uint64) for k in languages], letters)
 
 
 def predict(docs: DataFrame, model: LanguageFilter, folds: int = 5) -> DataFrame:
