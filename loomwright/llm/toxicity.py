@@ -85,6 +85,12 @@ class Lexicon:
                 node = self.children[node][ch]
                 self.allowed[node] = max(self.allowed[node], limit)
             (self.stem_at if stem else self.word_at)[node] = number
+        # A word counts as the same term as the stem that it begins with.
+        stems = {text: number for number, (text, stem, _, _) in enumerate(self.terms) if stem}
+        self.same = [
+            number if stem else next((stems[text[:n]] for n in range(1, len(text) + 1) if text[:n] in stems), number)
+            for number, (text, stem, _, _) in enumerate(self.terms)
+        ]
         self.known: dict[str, tuple[int, int] | None] = {}
         self._restart()
         self.made = True
@@ -167,7 +173,7 @@ class Lexicon:
             if token in hit:
                 term, edits = self.known.get(token) or self.match(token)
                 weight = self.terms[term][2] * EDIT_FACTOR**edits
-                hits.append((at, term, weight * QUOTE_FACTOR if quoted(text, spans[at].start(), spans[at].end()) else weight))
+                hits.append((at, self.same[term], weight * QUOTE_FACTOR if quoted(text, spans[at].start(), spans[at].end()) else weight))
         # The window slides over the hits; a heap-free maximum: each term's weights within it are few.
         most, low = 0.0, 0
         inside: dict[int, list[float]] = {}
@@ -279,7 +285,8 @@ def mine_terms(mine: DataFrame, work: Workspace, most: int = MOST_TERMS) -> list
     found = rows.orderBy(F.desc("contexts"), "word", "stem").limit(most).collect()
     stems_found = {r["word"] for r in found if r["stem"]}
     beginnings = lambda w: (w[:n] for n in range(STEM_SIZES[0], len(w)))
-    own = [r for r in found if not any(b in stems_found for b in beginnings(r["word"]))]
+    # A word that begins with a stem stays for the sake of its misspellings; a stem within a stem adds nothing.
+    own = [r for r in found if not (r["stem"] and any(b in stems_found for b in beginnings(r["word"])))]
     return sorted((r["word"], r["stem"], r["weight"], 0 if r["stem"] else edits_for(r["word"])) for r in own)
 
 
