@@ -153,7 +153,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageFilter:
                 else:
                     gram, n = np.unique(np.concatenate(parts), return_counts=True)
                     gram = gram.view(np.int64)
-                cols = {"size": np.full(len(gram), size, np.int32), "gram": gram, "lang": [lang] * len(gram), "n": n.astype(np.int64)}
+                cols = {"size": np.full(len(gram), size, np.int32), "gram": gram, "lang": pa.array([lang] * len(gram), pa.string()), "n": n.astype(np.int64)}
                 yield pa.RecordBatch.from_pydict(cols)
 
     both = sample.mapInArrow(run, "size int, gram bigint, lang string, n bigint").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
