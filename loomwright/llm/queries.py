@@ -16,6 +16,10 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def url_given_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.given(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
@@ -54,6 +58,7 @@ QUERIES = {
     for f in (
         op1_toxicity,
         op2_url_rules,
+        url_given_rules,
         op3_warc,
         op4_simhash,
         op5_packing,
@@ -66,6 +71,19 @@ QUERIES = {
 }
 
 ORACLES = {
+    "url_given_rules": r"""
+        WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+        parts AS (
+            SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM rest),
+        rules(given, top, start) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                                            ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        fits AS (
+            SELECT p.*, top || start AS rule, given,
+                   row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(top) + length(start) DESC NULLS LAST) AS k
+            FROM parts p LEFT JOIN rules ON (host = top OR ends_with(host, '.' || top)) AND starts_with(path, start))
+        SELECT page_id, host, path, rule, given FROM fits WHERE k = 1""",
     "op3_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),

@@ -1,19 +1,23 @@
 """URL verdicts: given host and path rules first, then association rules mined from labels.
 
-FP-growth finds the frequent combinations of URL tokens on labelled pages, each page's label
-being one item of its basket. Combinations that imply the block label with enough confidence
-and support become rules; a rule is left out where a part of it is at least as sure. Rules match
-through an inverted index: distinct URLs join the index by token, and a rule fires for the URLs
-that hold all its tokens.
+Labelled pages give baskets of URL tokens. Tokens that occur in just the same URLs are one item, so
+that keys which always come together don't multiply. FP-growth finds the frequent combinations
+among the bad pages, and an inverted index counts each over all labelled pages. A combination
+becomes a rule if the lower bound of its confidence exceeds the share of bad pages; it is left out
+where a part of it is at least as sure. An index entry is a combination's rarest token: URLs
+meet it there, and all its tokens are then looked for.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.texts import lower_az
+from loomwright.session import Workspace
 
 #: Verdict, host, path; a rule's name is host + path.
 RULES = (
@@ -23,20 +27,29 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+#: Support: a share of the bad pages, and a count below which a confidence says nothing.
 MIN_SUPPORT = 0.002
 MIN_COUNT = 5
-MIN_CONFIDENCE = 0.8
-BAD = "label=block"
+#: How far the lower bound of a rule's confidence lies below it, in standard errors (Wilson), and
+#: by how much it must exceed the share of bad pages.
+ERRORS = 1.96
+MIN_LIFT = 1.0
+
+
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty without one, as for null."""
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
 
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
-    return lower_az(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
+    return lower_az(F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0))
 
 
 def path_of(url: Column) -> Column:
     """What follows the host, up to ``?``, ``#`` or the end; else empty."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -60,58 +73,91 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(labels, domain, parts, keys), lambda x: F.length(x) > 2))
 
 
+def _holding(urls: DataFrame, sets: DataFrame) -> DataFrame:
+    """``urls`` (with ``held``, an array) joined to the ``sets`` (``items``, ``rare``) that they hold
+    whole: they meet at the set's rarest item, whose URLs are the fewest, and are then compared."""
+    met = urls.withColumn("rare", F.explode("held")).join(sets, "rare")
+    return met.where(F.size(F.array_except("items", "held")) == 0).drop("rare")
+
+
+def lower_bound(bad: Column, n: Column, errors: float = ERRORS) -> Column:
+    """Wilson's lower bound of the share bad / n."""
+    share, z = bad / n, errors * errors
+    return (share + z / (2 * n) - errors * F.sqrt((share * (1 - share) + z / (4 * n)) / n)) / (1 + z / n)
+
+
 def mine_rules(
-    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE
+    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, errors: float = ERRORS, min_lift: float = MIN_LIFT
 ) -> DataFrame:
-    """(rule_id, tokens, confidence) from ``labelled`` (url, bad boolean)."""
-    baskets = labelled.where("url is not null and bad is not null").select(
-        F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")
+    """(rule_id, tokens, rare, confidence) from ``labelled`` (url, bad boolean), a row per page.
+
+    Rows with a null are not used. Equal URLs are counted together. Without bad pages, or with
+    fewer than ``min_count``, there is no rule.
+    """
+    work = Workspace(labelled.sparkSession, "url-rules")
+    urls = labelled.where("url is not null and bad is not null").groupBy("url").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("bigint")).alias("n_bad")
     )
-    total = baskets.count()
-    if not total:
-        return labelled.sparkSession.createDataFrame([], "rule_id bigint, tokens array<string>, confidence double")
-    support = min(1.0, max(min_support, min_count / total))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = (
-        model.associationRules.where(F.col("consequent")[0] == BAD)
-        .select(F.array_sort("antecedent").alias("tokens"), "confidence")
-        .withColumn("rule_id", F.xxhash64("tokens"))
+    urls = work.put(urls.withColumn("tokens", tokens_of(F.col("url"))), "urls")
+    total, bad = urls.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_bad"), F.lit(0))).first()
+    need = max(min_count, math.ceil(min_support * bad))
+    if bad < need:
+        return labelled.sparkSession.createDataFrame([], "rule_id bigint, tokens array<string>, rare string, confidence double")
+    each = urls.select("url", "n", "n_bad", F.explode("tokens").alias("token"))
+    key = [F.bit_xor(F.xxhash64("url", F.lit(i))).alias(f"set_{i}") for i in range(2)]
+    single = each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"), *key).where(F.col("n_bad") >= need)
+    # Tokens of equal sets of URLs stand in one URL together, so a group is no longer than a URL.
+    groups = single.groupBy("n", "n_bad", "set_0", "set_1").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("members"))
+    groups = work.put(groups.select("item", "members", F.col("n").alias("item_n")), "groups")
+    held = each.join(groups.select("item", F.col("item").alias("token")), "token").groupBy("url", "n", "n_bad").agg(F.collect_list("item").alias("held"))
+    held = work.put(held, "held")
+    baskets = held.where("n_bad > 0").select(F.explode(F.expr("array_repeat(held, cast(n_bad as int))")).alias("items"))
+    frequent = FPGrowth(itemsCol="items", minSupport=min(1.0, (need - 0.5) / bad)).fit(baskets).freqItemsets
+    sets = work.put(frequent.select(F.array_sort("items").alias("items")).withColumn("rule_id", F.xxhash64("items")), "sets")
+    parts = sets.select("rule_id", "items", F.explode("items").alias("item")).join(groups, "item").groupBy("rule_id").agg(
+        F.first("items").alias("items"),
+        F.min_by("item", F.struct("item_n", "item")).alias("rare"),
+        F.sort_array(F.flatten(F.collect_list("members"))).alias("tokens"),
     )
-    # A part with one token less and no less confidence makes a rule superfluous.
-    parts = rules.where(F.size("tokens") > 1).select(
-        "rule_id", F.col("confidence").alias("c"), F.explode("tokens").alias("without"), "tokens"
-    ).select("rule_id", "c", F.array_except("tokens", F.array("without")).alias("tokens"))
-    general = rules.select("tokens", F.col("confidence").alias("general"))
-    weak = parts.join(general, "tokens").where("general >= c").select("rule_id").distinct()
-    return rules.join(weak, "rule_id", "left_anti").select("rule_id", "tokens", "confidence")
+    index = work.put(parts, "index")
+    counted = _holding(held, index.select("rule_id", "items", "rare")).groupBy("rule_id").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+    sure = counted.where(lower_bound(F.col("n_bad"), F.col("n"), errors) > min_lift * bad / total)
+    rules = work.put(index.join(sure.select("rule_id", (F.col("n_bad") / F.col("n")).alias("confidence")), "rule_id"), "rules")
+    # A rule is superfluous if a part of it is a rule of no less confidence.
+    whole = rules.select(F.col("items").alias("held"), F.col("rule_id").alias("whole"), F.col("confidence").alias("own"))
+    weak = _holding(whole, rules.select("items", "rare", "rule_id", "confidence")).where("whole <> rule_id and confidence >= own")
+    return rules.join(weak.select(F.col("whole").alias("rule_id")).distinct(), "rule_id", "left_anti").select("rule_id", "tokens", "rare", "confidence")
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, confidence) of the distinct ``urls`` (url) for which a rule fires, by inverted index."""
-    index = rules.select("rule_id", "confidence", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
-    tokens = urls.select("url").distinct().select("url", F.explode(tokens_of(F.col("url"))).alias("token"))
-    hits = tokens.join(index, "token").groupBy("url", "rule_id", "need", "confidence").agg(F.count(F.lit(1)).alias("n"))
-    return hits.where("n = need").groupBy("url").agg(F.max("confidence").alias("confidence"))
+    held = urls.select("url").where("url is not null").distinct().withColumn("held", tokens_of(F.col("url")))
+    found = _holding(held, rules.select(F.col("tokens").alias("items"), "rare", "confidence"))
+    return found.groupBy("url").agg(F.max("confidence").alias("confidence"))
+
+
+def given(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, url, host, path, rule, given (that rule's verdict, else null) for every row of ``pages``."""
+    judged = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    return judged.select("*", rule.alias("rule"), verdict.alias("given"))
 
 
 def verdicts(pages: DataFrame, labels: DataFrame, rules=RULES, **limits) -> DataFrame:
     """page_id, host, path, rule, verdict, confidence for every row of ``pages`` (page_id, url).
 
     ``labels`` (doc_id, quality, toxic) labels the page of the same number: bad if toxic or of
-    quality 0; a label with nulls in both is not used. A given rule decides; elsewhere a mined
-    rule blocks, with its confidence, and all else is allowed. A null url has empty host and
-    path and is allowed. Repeated pages come out again; without labels no rule is mined.
+    quality 0; a label with nulls in both is not used, and of repeated labels the bad one holds.
+    A given rule decides; elsewhere a mined rule blocks, with its confidence, and all else is
+    allowed. A null url has empty host and path and is allowed. Repeated pages come out again;
+    without labels no rule is mined. Empty ``pages`` give no rows; other columns are ignored.
     """
     bad = F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))
-    known = F.when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), bad)
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url")
-    marks = labels.select(F.col("doc_id").cast("bigint").alias("page_id"), known.alias("bad"))
+    marks = labels.where("toxic is not null or quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("page_id")).agg(F.max(bad).alias("bad"))
     mined = mine_rules(own.join(marks, "page_id").select("url", "bad"), **limits)
-    found = matches(own.where("url is not null"), mined).withColumnRenamed("url", "__url")
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    judged = own.select("page_id", "url", host.alias("host"), path.alias("path"))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = judged.select("*", rule.alias("rule"), verdict.alias("given"))
+    found = matches(own, mined).withColumnRenamed("url", "__url")
+    judged = given(own, rules)
     mined_verdict = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return judged.join(found, F.col("url") == F.col("__url"), "left").select(
         "page_id", "host", "path", "rule", F.coalesce("given", mined_verdict).alias("verdict"), "confidence"
