@@ -1,12 +1,17 @@
 """SimHash near-duplicates: fingerprints, then a binary-trie self-join within an error budget.
 
 The 64 bits fall into six blocks. Four errors leave two blocks whole at least, so each distinct
-fingerprint goes to the 15 pairs of blocks, and a bucket holds fingerprints equal in 21 to 22
-bits: exact at any size, with buckets that stay small. Within a bucket the distinct
-fingerprints form a path-compressed binary trie. Pairs of nodes are walked together; the bits
-in which their known prefixes differ add up, and a pair whose sum exceeds the budget is left
-with everything below it. A pair of nodes that one component covers already adds nothing and is
-left too: a bucket gives at most one link less than it has fingerprints, not all pairs.
+fingerprint goes to the 15 pairs of blocks, and a bucket holds fingerprints equal in 20 to 22
+bits: exact at any size. A bucket of more than SPLIT fingerprints is dealt once more in the same
+way by halves of its other blocks. Within a bucket the distinct fingerprints form a
+path-compressed binary trie. Pairs of nodes are walked together; the bits in which their known
+prefixes differ add up, and a pair whose sum exceeds the budget is left with everything below it;
+pairs of small nodes are compared at once. A pair of nodes that one component covers already adds
+nothing and is left too: a bucket gives at most one link less than it has fingerprints, not all pairs.
+
+``drop_near_duplicates`` goes by similarity of texts instead, where errors are too many for blocks of
+bits: its buckets are pairs out of six minima of hashed shingles, the trie join links within
+budgets that grow step by step, twice with different links, and each is checked on the texts' shingles.
 """
 
 from __future__ import annotations
@@ -27,20 +32,36 @@ from loomwright.session import Workspace
 SHINGLE = 4
 BUDGET = 4
 SEED = 42
+#: Near-duplicates of the pipeline: words of a shingle, least Jaccard similarity, and the bits in which
+#: fingerprints of such texts may differ (a similarity of 0.8 gives 10 on average, with a spread of 3),
+#: in the steps in which links are looked for.
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+WIDE_BUDGETS = (4, 8, 12, 16, 20)
+MINIMA = 6
+#: Least shingle hashes of a text that are kept to compare it: all of a text of up to so many.
+SKETCH = 512
+#: A bucket of more fingerprints is split; nodes of at most so many fingerprints are compared at once.
+SPLIT = 20_000
+LEAF = 128
 #: (shift, width) of the blocks of a fingerprint.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Hashes that are unpacked to bits at once.
 CHUNK = 16384
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of one text (UTF-8); zero without words."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of all words where there are fewer."""
     words = text.translate(LOWER_AZ).split()
     if len(words) < shingle:
         parts = [b" ".join(words)] if words else []
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
@@ -48,6 +69,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of one text (UTF-8); zero without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of each row, fp as a signed 64-bit number."""
 
@@ -60,58 +86,78 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def trie_links(fps: np.ndarray, budget: int = BUDGET) -> list[tuple[int, int]]:
+def trie_links(fps: np.ndarray, budgets: tuple[int, ...] = (BUDGET,), without: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
     """Links (i, j) among distinct fingerprints, sorted as uint64, that join the same ones as
-    all pairs within ``budget`` bits do: one link less than members for each component."""
-    vals = fps.tolist()
-    parent = list(range(len(vals)))
+    all pairs within the last of ``budgets`` bits do: one link less than members for each component.
+    Links within smaller budgets are made first, so that those within larger ones join what is left.
+    ``without`` are links that are not made again."""
+    n = len(fps)
+    barred = np.array(sorted(min(x) * n + max(x) for x in without), np.int64)
+    label = np.arange(n)
+    members: dict[int, np.ndarray] = {}
+    links: list[tuple[int, int]] = []
     whole: set[tuple[int, int]] = set()
-    links = []
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    def union(i: int, j: int) -> None:
+        links.append((i, j))
+        a, b = int(label[i]), int(label[j])
+        own, other = (members.pop(x, np.array([x])) for x in (a, b))
+        if len(own) < len(other):
+            a, own, other = b, other, own
+        label[other] = a
+        members[a] = np.concatenate([own, other])
+
+    def compare(a: int, b: int, c: int, d: int, budget: int) -> None:
+        far = np.bitwise_count(fps[a:b, None] ^ fps[None, c:d])
+        i, j = np.nonzero(far <= budget)
+        i, j, far = i + a, j + c, far[i, j]
+        if len(barred):
+            free = ~np.isin(np.minimum(i, j) * n + np.maximum(i, j), barred)
+            i, j, far = i[free], j[free], far[free]
+        while len(i := i[keep := label[i] != label[j]]):
+            j, far = j[keep], far[keep]
+            k = int(far.argmin())
+            union(int(i[k]), int(j[k]))
 
     def is_whole(lo: int, hi: int) -> bool:
-        return hi - lo == 1 or (lo, hi) in whole
-
-    def mark(lo: int, hi: int) -> None:
-        r = root(lo)
-        if all(root(i) == r for i in range(lo + 1, hi)):
+        if hi - lo == 1 or (lo, hi) in whole:
+            return True
+        if label[lo] == label[hi - 1] and (label[lo:hi] == label[lo]).all():
             whole.add((lo, hi))
+            return True
+        return False
 
     def split(lo: int, hi: int) -> int:
-        """Where the trie node of vals[lo:hi] branches; its values differ first in the top bit
+        """Where the trie node of fps[lo:hi] branches; its values differ first in the top bit
         of the first and last value's difference."""
-        bit = 1 << ((vals[lo] ^ vals[hi - 1]).bit_length() - 1)
-        start = vals[hi - 1] & ~(bit - 1)
+        bit = 1 << ((int(fps[lo]) ^ int(fps[hi - 1])).bit_length() - 1)
+        start = int(fps[hi - 1]) & ~(bit - 1)
         return int(np.searchsorted(fps[lo:hi], np.uint64(start))) + lo
 
-    # A job is a node with itself, or a pair of nodes, or (marked) the check that a node is one component.
-    jobs: list[tuple] = [(0, len(vals))]
-    while jobs:
-        job = jobs.pop()
-        if len(job) == 2:
-            lo, hi = job
-            if hi - lo > 1:
-                mid = split(lo, hi)
-                jobs += [(lo, hi, None), (lo, mid, mid, hi), (mid, hi), (lo, mid)]
-        elif len(job) == 3:
-            mark(job[0], job[1])
-        else:
+    for budget in budgets:
+        # A job is a node with itself, or a pair of nodes.
+        jobs: list[tuple] = [(0, n)]
+        while jobs:
+            job = jobs.pop()
+            if len(job) == 2:
+                lo, hi = job
+                if hi - lo <= LEAF:
+                    if hi - lo > 1 and not is_whole(lo, hi):
+                        compare(lo, hi, lo, hi, budget)
+                elif not is_whole(lo, hi):
+                    mid = split(lo, hi)
+                    jobs += [(lo, mid, mid, hi), (mid, hi), (lo, mid)]
+                continue
             a, b, c, d = job
-            if is_whole(a, b) and is_whole(c, d) and root(a) == root(c):
+            first, second = int(fps[a]), int(fps[c])
+            left, right = (first ^ int(fps[b - 1])).bit_length(), (second ^ int(fps[d - 1])).bit_length()
+            if ((first ^ second) >> max(left, right)).bit_count() > budget:
                 continue
-            left, right = (vals[a] ^ vals[b - 1]).bit_length(), (vals[c] ^ vals[d - 1]).bit_length()
-            if ((vals[a] ^ vals[c]) >> max(left, right)).bit_count() > budget:
+            if label[a] == label[c] and is_whole(a, b) and is_whole(c, d):
                 continue
-            if b - a == 1 and d - c == 1:
-                if (ra := root(a)) != (rc := root(c)):
-                    parent[max(ra, rc)] = min(ra, rc)
-                    links.append((a, c))
-            elif left >= right:
+            if b - a <= LEAF and d - c <= LEAF:
+                compare(a, b, c, d, budget)
+            elif b - a >= d - c:
                 mid = split(a, b)
                 jobs += [(mid, b, c, d), (a, mid, c, d)]
             else:
@@ -127,10 +173,45 @@ def _block_keys(fp: Column) -> Column:
     return F.array(*[F.lit(k << 22).cast("bigint") + F.shiftleft(part[i], 11) + part[j] for k, (i, j) in pairs])
 
 
-def _bucket_links(budget: int):
+def _sub_keys(key: Column, fp: Column) -> Column:
+    """The 15 keys of a fingerprint within its bucket. The other four blocks make eight halves, of
+    which four errors leave two of the first six whole at least."""
+    halves = [half for s, w in BLOCKS for half in ((s, w // 2), (s + w // 2, w - w // 2))]
+    values = F.array(*[F.shiftrightunsigned(fp, s).bitwiseAND((1 << w) - 1) for s, w in halves])
+    free = [[h + 1 for h in range(12) if h // 2 not in pair][:6] for pair in combinations(range(len(BLOCKS)), 2)]
+    own = F.element_at(F.array(*[F.array(*map(F.lit, six)) for six in free]), (F.shiftright(key, 22) + 1).cast("int"))
+    pairs = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j")) for i, j in combinations(range(6), 2)])
+    value = lambda k: F.element_at(values, F.element_at(own, k))
+    return F.transform(pairs, lambda p: F.xxhash64(key, p["i"], p["j"], value(p["i"]), value(p["j"])))
+
+
+def _split_large(buckets: DataFrame, sub_keys, most: int, work: Workspace) -> DataFrame:
+    """``buckets`` (key, fp, rep, ...) with the rows of keys that more than ``most`` rows have dealt by ``sub_keys``."""
+    large = work.put(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "large")
+    if large.isEmpty():
+        return buckets
+    dealt = buckets.join(large, "key").withColumn("key", F.explode(sub_keys))
+    return buckets.join(large, "key", "left_anti").unionByName(dealt)
+
+
+def _linked(buckets: DataFrame, budgets: tuple[int, ...]) -> DataFrame:
+    """(a, b): links of the reps in each bucket (key, fp, rep)."""
+    rows = buckets.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(_bucket_links(budgets), "a bigint, b bigint")
+
+
+def _bucket_links(budgets: tuple[int, ...]):
     def links_of(fps: np.ndarray, reps: np.ndarray) -> list[tuple[int, int]]:
-        order = np.argsort(fps)
-        return [(int(reps[order[i]]), int(reps[order[j]])) for i, j in trie_links(fps[order], budget)]
+        order = np.argsort(fps, kind="stable")
+        fps, reps = fps[order], reps[order]
+        new = np.r_[True, fps[1:] != fps[:-1]]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]  # equal fingerprints are linked to their first
+        same = list(zip(reps[first[~new]].tolist(), reps[~new].tolist()))
+        reps = reps[new].tolist()
+        links = trie_links(fps[new], budgets)
+        if len(budgets) > 1:  # links that are checked later may fail: a second forest stands in for the first
+            links = links + trie_links(fps[new], budgets, links)
+        return same + [(reps[i], reps[j]) for i, j in links]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; a bucket may go on in the next batch."""
@@ -164,21 +245,22 @@ def _bucket_links(budget: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, most: int = SPLIT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``.
 
     component_id is the smallest doc_id that links of at most ``budget`` (0 to 4) differing bits
     reach. Null text counts as empty; texts without words have fingerprint zero and are linked
     like any other. Rows with a null doc_id get the component of their fingerprint, null if no
-    other row has it. Repeated rows come out again; an empty table gives no rows.
+    other row has it. Repeated rows come out again; an empty table gives no rows. Buckets of more
+    than ``most`` fingerprints are split, which changes no result.
     """
     if not 0 <= budget <= 4:
         raise ValueError("six blocks find all links of 0 to 4 differing bits only")
     work = Workspace(docs.sparkSession, "simhash")
     found = work.put(with_fingerprints(docs, shingle), "fingerprints")
     distinct = work.put(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    buckets = distinct.where("rep is not null").select(F.explode(_block_keys(F.col("fp"))).alias("key"), "fp", "rep")
-    links = buckets.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(budget), "a bigint, b bigint")
+    buckets = work.put(distinct.where("rep is not null").select(F.explode(_block_keys(F.col("fp"))).alias("key"), "fp", "rep"), "buckets")
+    links = _linked(_split_large(buckets, _sub_keys(F.col("key"), F.col("fp")), most, work), (budget,))
     joined = connected_components(links, work)
     members = distinct.join(joined, distinct.rep == joined.node, "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
@@ -188,11 +270,94 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     )
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """``docs`` with all its columns, one document of each component: that with the smallest id.
+def minima(hashes: np.ndarray, count: int = MINIMA) -> list[int]:
+    """The least value of each of ``count`` mixings of the hashes, as signed numbers; zeros without hashes."""
+    if not len(hashes):
+        return [0] * count
+    found = []
+    for i in range(count):
+        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        found.append(int((mixed ^ (mixed >> np.uint64(32))).min().view(np.int64)))
+    return found
+
+
+def _sketches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sketches, least = [], [], []
+            for data in batch.column(2).to_pylist():
+                hashes = shingle_hashes(data, shingle)
+                fps.append(majority(hashes))
+                own = np.unique(hashes)
+                least.append(minima(own))
+                sketches.append((own[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+            cols = [batch.column(0), batch.column(1), fp, *(pa.array(c, pa.int64()) for c in (zip(*least) if least else [()] * MINIMA))]
+            names = ["doc_id", "text_key", "fp", *(f"m{i}" for i in range(MINIMA)), "sketch"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sketches, pa.binary())], names)
+
+    return run
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sketches: exact where both hold all hashes, else by the SKETCH least
+    of both together; texts without words are alike."""
+    one, two = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.union1d(one, two)
+    if max(len(one), len(two)) >= SKETCH:
+        both = both[:SKETCH]
+    if not len(both):
+        return 1.0
+    return float((np.isin(both, one) & np.isin(both, two)).sum() / len(both))
+
+
+def _checked(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [similarity(a, b) >= least for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            yield batch.select(["a", "a_key", "b", "b_key"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_links(docs: DataFrame, work: Workspace, shingle: int = WIDE_SHINGLE, least: float = SIMILARITY, most: int = SPLIT) -> DataFrame:
+    """(a, a_key, b, b_key): links of texts (id, hash) that join those of a similarity of ``least`` or more.
+
+    Two texts meet in a bucket if two of their six minima agree: at a similarity of 0.8 with a
+    probability of 0.998. Larger buckets are dealt by a third one of the minima.
+    """
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), utf8(F.col("text")).alias("text"))
+    m = [f"m{i}" for i in range(MINIMA)]
+    columns = f"doc_id bigint, text_key bigint, fp bigint, {', '.join(f'{c} bigint' for c in m)}, sketch binary"
+    found = work.put(ids.mapInArrow(_sketches(shingle), columns), "sketches")
+    groups = work.put(found.groupBy("fp", *m).agg(F.min("doc_id").alias("rep")), "groups")
+    pairs = enumerate(combinations(m, 2))
+    keys = F.array(*[F.xxhash64(F.lit(k), i, j) for k, (i, j) in pairs])
+    buckets = work.put(groups.select(F.explode(keys).alias("key"), "fp", "rep", *m), "buckets")
+    third = F.array(*[F.xxhash64("key", F.lit(k), c) for k, c in enumerate(m)])
+    between = _linked(_split_large(buckets, third, most, work), WIDE_BUDGETS)
+    within = found.join(groups, ["fp", *m]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = work.put(between.unionByName(within).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+    sketch = lambda c: found.select(F.col("doc_id").alias(c), F.col("text_key").alias(f"{c}_key"), F.col("sketch").alias(f"{c}_sketch"))
+    both = links.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "a_key", "b", "b_key", "a_sketch", "b_sketch")
+    links = work.put(both.mapInArrow(_checked(least), "a bigint, a_key bigint, b bigint, b_key bigint"), "similar")
+    work.drop("sketches", "groups", "buckets", "candidates")
+    return links
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = WIDE_SHINGLE, least: float = SIMILARITY, most: int = SPLIT) -> DataFrame:
+    """``docs`` with all its columns, one document of each component of near-duplicates: that with
+    the smallest id.
 
-    Rows with a null doc_id cannot be named by a component and stay. Repeated doc_ids are
-    documents of their own here: all rows of the id that stays stay.
+    Near-duplicates have a Jaccard similarity of ``least`` or more of their ``shingle``-word shingles
+    (A-Z lower-cased). Null text counts as empty; texts without words are alike. Rows with a null
+    doc_id cannot be named by a component and stay. Of a repeated doc_id only the rows whose own
+    text is a near-duplicate go; rows equal in all stay or go together. An empty table gives no rows.
     """
-    gone = near_duplicates(docs, shingle, budget).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    work = Workspace(docs.sparkSession, "near")
+    links = similar_links(docs, work, shingle, least, most)
+    joined = connected_components(links.select("a", "b"), work)
+    ends = links.select("a", "a_key").unionAll(links.select("b", "b_key")).distinct()
+    gone = ends.join(joined, F.col("a") == F.col("node")).where("component < a").select(F.col("a").alias("__id"), F.col("a_key").alias("__key"))
+    own = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__key"))
+    return docs.join(work.put(gone, "gone"), own, "left_anti")
