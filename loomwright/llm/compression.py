@@ -1,10 +1,12 @@
 """Quality rules: word statistics, then compression bands learned per length.
 
 Repetitive text compresses too well for its length, random text too badly. Each whole text and
-each fixed chunk is compressed with zstandard; a histogram of ratios over all distinct texts gives
-median and spread for every length class (power of two), and a text is rejected outside
-``width`` spreads, or when half its chunks or more are outside theirs. A spread is at least that
-of the neighbouring classes, so that texts much alike can't narrow the band of their class.
+each fixed chunk of a text of more than one is compressed with zstandard; what is left of a text
+after its chunks belongs to the last one. A histogram of ratios over all distinct texts gives median
+and spread for every length class (power of two); classes of fewer than LEAST_TEXTS are judged with
+the nearest ones, so that a lone text isn't its own measure. A text is rejected outside ``width``
+spreads, or when half its chunks or more are outside theirs. A spread is at least that of the
+neighbouring classes, so that texts much alike can't narrow the band of their class.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from loomwright.session import Workspace
 
 LEVEL = 3
 CHUNK = 4096
-#: A last chunk of less than this is not judged: its ratio says little.
-LEAST_CHUNK = 2048
+#: Length classes are pooled, nearest first, until they hold so many texts (or chunks).
+LEAST_TEXTS = 200
 #: Ratios are kept in steps of 1/STEPS, so that limits come from counts and not from an order.
 STEPS = 1000
 #: Limits are the median and so many spreads (normalised median deviations) on either side.
@@ -56,7 +58,7 @@ def word_statistics(data: bytes) -> tuple[int, int, int, int, int]:
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=LEVEL)
-    ratio = lambda x: min(2 * STEPS, len(packer.compress(x)) * STEPS // len(x))
+    ratio = lambda x: len(packer.compress(x)) * STEPS // len(x)
     for batch in batches:
         rows, sizes, whole, chunks, digests = [], [], [], [], []
         for data in batch.column(1).to_pylist():
@@ -64,8 +66,9 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(data).bit_length())
             digests.append(xxhash.xxh3_128_digest(data))
             whole.append(ratio(data) if data else None)
-            parts = (data[i : i + CHUNK] for i in range(0, len(data), CHUNK)) if len(data) >= CHUNK else ()
-            chunks.append([ratio(x) for x in parts if len(x) >= LEAST_CHUNK])
+            # A text of less than two chunks is one chunk, and judged as a whole already.
+            starts = range(0, len(data) - CHUNK + 1, CHUNK) if len(data) >= 2 * CHUNK else ()
+            chunks.append([ratio(data[i : i + CHUNK] if i + 2 * CHUNK <= len(data) else data[i:]) for i in starts])
         cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
         more = [pa.array(sizes, pa.int32()), pa.array(whole, pa.int32()), pa.array(chunks, pa.list_(pa.int32())), pa.array(digests, pa.binary())]
         names = [x.split()[0] for x in BASE.split(", ")] + ["size_class", "ratio", "chunks", "digest"]
@@ -79,16 +82,26 @@ def _median(counts: DataFrame, by: list[str], value: str, name: str) -> DataFram
     return ranked.where("2 * upto >= all").groupBy(*by).agg(F.min(value).alias(name))
 
 
-def limits(ratios: DataFrame, width: float = WIDTH) -> DataFrame:
+def limits(ratios: DataFrame, width: float = WIDTH, least: int = LEAST_TEXTS) -> DataFrame:
     """(kind, size_class, low, high) from (kind, size_class, ratio), one row per measured text.
 
-    The spread is the class's own, but at least LEAST_SPREAD and that of the two neighbouring
-    classes' texts together, each taken from the median of its own class.
+    Median and spread are those of the class's pool: all classes nearer than the one with which
+    it holds ``least`` texts, and that one (classes equally near come together). The spread is at
+    least LEAST_SPREAD and that of the two neighbouring classes' texts together, each taken from
+    the median of its own pool.
     """
     counts = ratios.groupBy("kind", "size_class", "ratio").agg(F.count(F.lit(1)).alias("n"))
-    middle = _median(counts, ["kind", "size_class"], "ratio", "middle")
+    sizes = counts.groupBy("kind", "size_class").agg(F.sum("n").alias("n"))
+    classes = F.array_sort(F.collect_list(F.struct("size_class", "n")))  # bits of lengths: 64 at most
+    each = sizes.join(sizes.groupBy("kind").agg(classes.alias("others")), "kind").select("kind", "size_class", F.explode("others").alias("o"))
+    near = each.select("kind", "size_class", F.col("o.size_class").alias("other"), F.abs(F.col("o.size_class") - F.col("size_class")).alias("distance"), F.col("o.n").alias("n"))
+    nearer = W.partitionBy("kind", "size_class").orderBy("distance").rangeBetween(W.unboundedPreceding, -1)
+    pools = near.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).where(F.col("before") < least).select("kind", "size_class", "other")
+    own = counts.withColumnRenamed("size_class", "other")
+    pooled = pools.join(own, ["kind", "other"]).groupBy("kind", "size_class", "ratio").agg(F.sum("n").alias("n"))
+    middle = _median(pooled, ["kind", "size_class"], "ratio", "middle")
     away = (
-        counts.join(middle, ["kind", "size_class"])
+        pooled.join(middle, ["kind", "size_class"])
         .groupBy("kind", "size_class", "middle", F.abs(F.col("ratio") - F.col("middle")).alias("away"))
         .agg(F.sum("n").alias("n"))
     )
@@ -106,7 +119,8 @@ def judge(docs: DataFrame, width: float = WIDTH) -> DataFrame:
 
     Null text has no words and fails the base rules, as does an empty one. Length classes are
     few (bits of the length), so the limits are a small table whatever the input. A text alone
-    in its class is its own median. Copies of a text count once in the limits; all rows come out again.
+    in its class is judged by the nearest classes. Copies of a text count once in the limits; all
+    rows come out again. An empty table gives no rows; other columns are ignored.
     """
     work = Workspace(docs.sparkSession, "bands")
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8(F.col("text")).alias("text"))

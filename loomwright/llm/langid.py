@@ -28,6 +28,8 @@ FIT_ROWS = 4000
 LEAST_SHARE = 2e-5
 LEAST_OF_MOST = 0.2
 UNKNOWN = "und"
+#: Languages of one word of a slot.
+WORD_BITS = 64
 #: Characters of a text that are turned to n-grams at once.
 BLOCK = 1 << 18
 
@@ -72,22 +74,25 @@ def grams(points: np.ndarray) -> Iterator[np.ndarray]:
 
 
 class LanguageFilter:
-    """Bit-sliced Bloom filter: ``slots`` slots of one bit per language (up to 64)."""
+    """Bit-sliced Bloom filter: ``slots`` slots of one bit per language, in words of up to 64."""
 
     def __init__(self, languages: list[str], gram_sets: list[np.ndarray], letters: dict[int, np.ndarray] | None = None):
-        if len(languages) > 64:
-            raise ValueError("a slot has 64 bits: give at most 64 languages")
         most = max((len(x) for x in gram_sets), default=0)
         self.languages = languages
         #: For each letter (code point) its share of every language's letters.
         self.letters = letters or {}
         self.shift = 64 - max(10, int(most * 16).bit_length())  # 16 to 32 slots for each n-gram
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(languages))
-        self.slots = np.zeros(1 << (64 - self.shift), kind)
-        for bit, found in enumerate(gram_sets):
-            for at in self._places(found):
-                self.slots[at] |= kind(1 << bit)
-        fill = [float((self.slots >> kind(b) & kind(1)).mean()) for b in range(len(languages))]
+        self.words: list[np.ndarray] = []
+        fill = []
+        for first in range(0, max(1, len(languages)), WORD_BITS):
+            sets = gram_sets[first : first + WORD_BITS]
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(sets))
+            slots = np.zeros(1 << (64 - self.shift), kind)
+            for bit, found in enumerate(sets):
+                for at in self._places(found):
+                    slots[at] |= kind(1 << bit)
+            self.words.append(slots)
+            fill += [float((slots >> kind(b) & kind(1)).mean()) for b in range(len(sets))]
         self.chance = np.array(fill) ** HASHES
 
     def _places(self, found: np.ndarray) -> Iterator[np.ndarray]:
@@ -95,27 +100,34 @@ class LanguageFilter:
         for i in range(HASHES):
             yield (found + np.uint64(i) * step) >> np.uint64(self.shift)
 
-    def masks(self, found: np.ndarray) -> np.ndarray:
-        """For each n-gram the languages that may hold it, as bits."""
-        masks = None
+    def masks(self, found: np.ndarray) -> list[np.ndarray]:
+        """For each n-gram the languages that may hold it, as bits, word by word."""
+        masks: list[np.ndarray] = []
         for at in self._places(found):
-            masks = self.slots[at] if masks is None else masks & self.slots[at]
+            read = [slots[at] for slots in self.words]
+            masks = [a & b for a, b in zip(masks, read)] if masks else read
         return masks
 
+    def counts(self, found: np.ndarray) -> np.ndarray:
+        """For each language how many of the n-grams it may hold."""
+        counts: list[int] = []
+        for masks in self.masks(found):
+            size = min(WORD_BITS, len(self.languages) - len(counts))
+            if masks.dtype.itemsize == 1:
+                seen = np.bincount(masks, minlength=256)
+                counts += [int(seen[(np.arange(256) >> b & 1) == 1].sum()) for b in range(size)]
+            else:
+                counts += [int((masks >> masks.dtype.type(b) & masks.dtype.type(1)).sum()) for b in range(size)]
+        return np.array(counts, np.int64)
+
     def shares(self, data: bytes) -> np.ndarray | None:
         """Per language the share of the text's n-grams beyond chance, or where it has none the
         mean share of its letters; None without letters."""
         points = folded(data)
         counts, n = np.zeros(len(self.languages), np.int64), 0
         for found in grams(points):
-            masks = self.masks(found)
-            n += len(masks)
-            seen = np.bincount(masks, minlength=1) if masks.dtype.itemsize == 1 else None
-            for b in range(len(counts)):
-                if seen is not None:
-                    counts[b] += seen[(np.arange(len(seen)) >> b & 1) == 1].sum()
-                else:
-                    counts[b] += int((masks >> masks.dtype.type(b) & masks.dtype.type(1)).sum())
+            counts += self.counts(found)
+            n += len(found)
         if not n:
             own, times = np.unique(points[points != 32], return_counts=True)
             if not len(own):
@@ -179,7 +191,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageFilter:
 
 
 def predict(docs: DataFrame, model: LanguageFilter, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text)."""
+    """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text), as ``identify``."""
     spark: SparkSession = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # 1 / LEAST_SHARE n-grams of 32 slots at most, however large the input
 
@@ -211,6 +223,7 @@ def identify(docs: DataFrame, folds: int = 5, rows: int = FIT_ROWS) -> DataFrame
     Fitted on rows with a language whose id's crc32 modulo ``folds`` is not 0; held_out marks the
     others. Null text and text without a letter give ``und`` with score 0, as does every text
     when nothing is learned. Ties go to the language first in order. Repeated rows come out again.
+    Any number of languages is learned. An empty table gives no rows; other columns are ignored.
     """
     model = fit(docs.where(fold(F.col("doc_id"), folds) != 0).select("doc_id", "text", "lang"), rows)
     return predict(docs, model, folds)

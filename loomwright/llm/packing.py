@@ -1,8 +1,9 @@
 """Packing of tokenised documents into sequences: first-fit decreasing, in random groups.
 
-A document's ids and the closing id are cut into full sequences and one remainder. Pieces get a
-random group (a hash of their place), each group of a few thousand pieces is packed on its own,
-and groups need nothing of each other. In a group the remainders come by falling length, and
+A document's ids and the closing id are cut into full sequences and one remainder. Full sequences
+need no packing. Documents get a random group, dealt when their pieces are written: equal rows, too,
+fall apart. Each group of a few thousand documents is packed on its own, and groups need nothing
+of each other. In a group the remainders come by falling length, and
 each goes to the first bin with room: a tournament tree over the bins' free room, whose nodes
 hold the largest room below them, finds that bin in logarithmic time.
 """
@@ -15,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ CLOSING = 0
 GROUP = 8192
 SEED = 17
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+WRITTEN = f"{PIECES}, number bigint, deal bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 #: Runs of white space (Unicode's White_Space) that are too long for the library's pattern, which
 #: keeps a state for each character of a run and fails at a million.
@@ -70,17 +74,22 @@ def _pieces(name: str, length: int):
         if name not in _encoders:
             _encoders[name] = load_encoder(name)
         encode = _encoders[name]
+        # Numbers of pieces and deals of documents go by the partition and by the order in it.
+        task, number, row = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             rows, of = [], []
             for i, data in enumerate(batch.column(1).to_pylist()):
                 ids = np.array([*encode(data.decode("utf-8", "replace")), CLOSING], "<u4")
+                deal = xxhash.xxh64_intdigest(f"{task} {row}", SEED) >> 2
+                row += 1
                 for at in range(0, len(ids), length):
                     part = ids[at : at + length]
-                    rows.append((at, len(part), zlib.crc32(part.tobytes()), len(ids)))
+                    rows.append((at, len(part), zlib.crc32(part.tobytes()), len(ids), task << 40 | number, deal))
+                    number += 1
                     of.append(i)
-            cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6
             ids = batch.column(0).take(pa.array(of, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *cols], [x.split()[0] for x in PIECES.split(", ")])
+            yield pa.RecordBatch.from_arrays([ids, *cols], [x.split()[0] for x in WRITTEN.split(", ")])
 
     return run
 
@@ -108,18 +117,17 @@ def first_fit(lengths: list[int], room: int) -> list[int]:
 
 def _pack(length: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        rows = rows.sort_by([("length", "descending"), ("number", "ascending")])
         sizes = rows.column("length").to_pylist()
-        full = next((i for i, x in enumerate(sizes) if x < length), len(sizes))
-        bins = [*range(full), *(full + x for x in first_fit(sizes[full:], length))]
+        bins = first_fit(sizes, length)
         used: dict[int, int] = {}
         offsets = []
         for size, b in zip(sizes, bins):
             offsets.append(used.get(b, 0))
             used[b] = offsets[-1] + size
-        base = key[0].as_py() << 32
+        base = key[0].as_py() << 33
         out = rows.select([x.split()[0] for x in PIECES.split(", ")])
-        out = out.append_column("sequence_id", pa.array([base + b for b in bins], pa.int64()))
+        out = out.append_column("sequence_id", pa.array([base + 2 * b for b in bins], pa.int64()))
         return out.append_column("offset", pa.array(offsets, pa.int64()))
 
     return run
@@ -133,7 +141,12 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", length: int = LENGTH,
     """
     work = Workspace(docs.sparkSession, "packing")
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8(F.col("text")).alias("text"))
-    pieces = work.put(narrow.mapInArrow(_pieces(tokenizer, length), PIECES), "pieces")
-    groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(SEED)), F.lit(groups)))
-    return dealt.groupBy("group").applyInArrow(_pack(length), PACKED)
+    pieces = work.put(narrow.mapInArrow(_pieces(tokenizer, length), WRITTEN), "pieces")
+    rests = pieces.where(F.col("length") < length)
+    groups = max(1, -(-rests.count() // group))
+    packed = rests.withColumn("group", F.pmod("deal", F.lit(groups))).groupBy("group").applyInArrow(_pack(length), PACKED)
+    # Sequences of groups have even numbers, those that one piece fills have odd ones.
+    full = pieces.where(F.col("length") == length).select(
+        *[x.split()[0] for x in PIECES.split(", ")], (2 * F.col("number") + 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
+    )
+    return packed.unionByName(full)

@@ -19,6 +19,7 @@ make the lexicon, turns the sum into the score.
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from loomwright.llm.texts import fold, utf8
 from loomwright.session import Workspace
 
-#: Labelled documents used for fitting (sampled by a hash of their id) and terms kept at most:
-#: both are bounds of the fitted model and don't depend on the input.
+#: Labelled documents used for fitting (sampled by a hash of their id), whatever the input. They bound
+#: the terms, too: each occurs in MIN_SHARE of the sample's toxic documents at least, so there are no
+#: more than 1 / MIN_SHARE times the distinct words and stems of a toxic document on average.
 FIT_ROWS = 40_000
-MOST_TERMS = 20_000
 MIN_DOCS = 3
 MIN_SHARE = 0.005
 MIN_CONTEXTS = 3
@@ -50,8 +51,12 @@ QUOTE_FACTOR = 0.5
 WINDOW = 50
 THRESHOLD = 0.7
 TOKEN = re.compile(r"\w+")
-OPENING, CLOSING = "“„«", "”»"
-REMEMBERED = 300_000
+#: A quotation opens and closes on one line; one that doesn't close is none.
+QUOTATIONS = ((re.compile('"[^"\n]*["\n]?'), '"'), (re.compile("[“„«][^”»\n]*[”»\n]?"), "”»"))
+#: What a task remembers at most before it forgets all: tokens met, and (node, edits) pairs in the
+#: automaton's states, about 100 bytes each.
+MOST_TOKENS = 200_000
+MOST_NODES = 500_000
 
 
 def edits_for(term: str) -> int:
@@ -99,6 +104,7 @@ class Lexicon:
         self.sets: list[tuple[dict[int, int], tuple[int, int] | None]] = []
         self.numbers: dict = {}
         self.steps: list[dict[str, int]] = []
+        self.size = 0
         self._state({0: 0}, None)
 
     def _state(self, nodes: dict[int, int], stem: tuple[int, int] | None) -> int:
@@ -118,6 +124,7 @@ class Lexicon:
             self.numbers[key] = len(self.sets)
             self.sets.append((nodes, stem))
             self.steps.append({})
+            self.size += 4 + len(nodes)
         return self.numbers[key]
 
     def _step(self, state: int, ch: str) -> int:
@@ -136,9 +143,9 @@ class Lexicon:
         """(number of the term, edits) of the nearest term, or None."""
         if token in self.known:
             return self.known[token]
-        if len(self.sets) > REMEMBERED:
+        if self.size > MOST_NODES:
             self._restart()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > MOST_TOKENS:
             self.known.clear()
         state, steps = 0, self.steps
         for ch in token:
@@ -167,13 +174,15 @@ class Lexicon:
         hit = {t for t in set(tokens) if self.match(t)}
         if not hit:
             return 0.0
-        spans = list(TOKEN.finditer(text))
+        quotes = merged_spans(quotations(text))
+        starts = [begin for begin, _ in quotes]
         hits = []
-        for at, token in enumerate(tokens):
-            if token in hit:
-                term, edits = self.known.get(token) or self.match(token)
+        for at, token in enumerate(TOKEN.finditer(text)):
+            if token[0] in hit:
+                term, edits = self.known.get(token[0]) or self.match(token[0])
                 weight = self.terms[term][2] * EDIT_FACTOR**edits
-                hits.append((at, self.same[term], weight * QUOTE_FACTOR if quoted(text, spans[at].start(), spans[at].end()) else weight))
+                near = bisect_right(starts, token.start())
+                hits.append((at, self.same[term], weight * QUOTE_FACTOR if near and token.end() <= quotes[near - 1][1] else weight))
         # The window slides over the hits; a heap-free maximum: each term's weights within it are few.
         most, low = 0.0, 0
         inside: dict[int, list[float]] = {}
@@ -196,14 +205,24 @@ class Lexicon:
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-def quoted(text: str, begin: int, end: int) -> bool:
-    """Whether a place lies within quotation marks that open and close on its line, close by."""
-    before = text[max(0, begin - 300) : begin].rpartition("\n")[2]
-    after = text[end : end + 300].partition("\n")[0]
-    if before.count('"') % 2 and '"' in after:
-        return True
-    opened = max(map(before.rfind, OPENING))
-    return opened > max(map(before.rfind, CLOSING)) and any(c in after for c in CLOSING)
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Beginnings and ends of the text's quotations, in order: straight marks by turns on each line, an
+    opening mark up to the next closing one. Read once from left to right, however long they are."""
+    found = []
+    for pattern, closing in QUOTATIONS:
+        found += [(m.start(), m.end()) for m in pattern.finditer(text) if m[0][-1] in closing and len(m[0]) > 1]
+    return sorted(found)
+
+
+def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for begin, end in spans:
+        if out and begin < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((begin, end))
+    return out
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +272,7 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, rows: int,
     return work.put(texts.join(chosen, "doc_id").select("text", "toxic", (of("mine") % 4 != 0).alias("mine")), "sample")
 
 
-def mine_terms(mine: DataFrame, work: Workspace, most: int = MOST_TERMS) -> list[tuple[str, bool, float, int]]:
+def mine_terms(mine: DataFrame, work: Workspace) -> list[tuple[str, bool, float, int]]:
     """Terms and stems from (text, toxic), with as many edits as a term's length allows."""
     sizes = {r["toxic"]: r["n"] for r in mine.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -281,8 +300,8 @@ def mine_terms(mine: DataFrame, work: Workspace, most: int = MOST_TERMS) -> list
         & (F.col("contexts") >= F.greatest(F.lit(MIN_CONTEXTS), 0.1 * F.col("toxic")))
         & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean")))
     )
-    rows = good.select("word", "stem", weight.alias("weight"), "contexts")
-    found = rows.orderBy(F.desc("contexts"), "word", "stem").limit(most).collect()
+    rows = good.select("word", "stem", weight.alias("weight"))
+    found = rows.collect()  # bounded by MIN_SHARE, see FIT_ROWS
     stems_found = {r["word"] for r in found if r["stem"]}
     beginnings = lambda w: (w[:n] for n in range(STEM_SIZES[0], len(w)))
     # A word that begins with a stem stays for the sake of its misspellings; a stem within a stem adds nothing.
@@ -292,7 +311,7 @@ def mine_terms(mine: DataFrame, work: Workspace, most: int = MOST_TERMS) -> list
 
 def checked_edits(mine: DataFrame, terms: list[tuple[str, bool, float, int]]) -> list[tuple[str, bool, float, int]]:
     """``terms`` with fewer edits where words so far from a term are common in clean documents."""
-    sent = mine.sparkSession.sparkContext.broadcast(Lexicon(terms))  # MOST_TERMS terms at most
+    sent = mine.sparkSession.sparkContext.broadcast(Lexicon(terms))  # terms are bounded by MIN_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = sent.value
@@ -357,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, rows:
     drawn = sample(docs, labels, folds, held, rows, work)
     mine = drawn.where("mine")
     lexicon = Lexicon(checked_edits(mine, mine_terms(mine, work)))
-    sent = spark.sparkContext.broadcast(lexicon)  # MOST_TERMS terms at most
+    sent = spark.sparkContext.broadcast(lexicon)  # terms are bounded by MIN_SHARE
     weights = drawn.where("not mine").select("text", "toxic").mapInArrow(_weights(sent), "toxic int, weight double")
     counts = weights.groupBy(F.round("weight", 1).alias("weight"), "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy("weight", "toxic")
     lexicon.slope, lexicon.shift = _curve([(r["weight"], r["toxic"], r["n"]) for r in counts.collect()])
@@ -366,7 +385,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, rows:
 
 
 def predict(docs: DataFrame, lexicon: Lexicon, folds: int = 3, held: int = 1, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
+    """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text), as ``score_documents``."""
     sent = docs.sparkSession.sparkContext.broadcast(Lexicon(lexicon.terms, lexicon.slope, lexicon.shift))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,13 +407,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held: in
 
     Null and empty texts have no hits and get the curve's lowest score. Labels with a null in
     doc_id or toxic are not used; where labels of one document differ, toxic holds. Without
-    labels nothing is learned and all scores are low. Repeated rows come out again.
+    labels nothing is learned and all scores are low. Repeated rows come out again. An empty
+    table gives no rows; other columns are ignored.
     """
     return predict(docs, fit(docs, labels, folds, held, rows), folds, held)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, without the rows whose text is predicted to be toxic."""
+    """``docs`` with all its columns, without the rows whose text is predicted to be toxic.
+
+    Null and empty texts stay, as does everything without labels. Repeated rows share their fate;
+    an empty table gives no rows.
+    """
     lexicon = fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(Lexicon(lexicon.terms, lexicon.slope, lexicon.shift))
 

@@ -1,7 +1,9 @@
 """Compression bands with many copies of one text."""
 
+import collections
 import random
 
+import zstandard
 from test_llm_operators import docs
 
 from loomwright.llm import compression
@@ -21,5 +23,55 @@ def test_compression_copies_do_not_narrow_the_band(spark):
 def test_compression_spread_of_neighbours(spark):
     rows = [("whole", 10, 400 + i % 100) for i in range(100)] + [("whole", 11, 450 + i % 2) for i in range(100)]
     rows += [("whole", 12, 400 + i % 100) for i in range(100)] + [("chunk", 0, 300 + i % 2) for i in range(50)]
-    got = {(r["kind"], r["size_class"]): r["high"] - r["low"] for r in compression.limits(spark.createDataFrame(rows, "kind string, size_class int, ratio int")).collect()}
+    got = {(r["kind"], r["size_class"]): r["high"] - r["low"] for r in compression.limits(spark.createDataFrame(rows, "kind string, size_class int, ratio int"), least=100).collect()}
     assert got["whole", 11] > 0.3 and abs(got["chunk", 0] - 0.09) < 1e-9
+
+
+def brute_limits(ratios, least=compression.LEAST_TEXTS):
+    """(low, high) for each class of {class: [ratio]}."""
+    median = lambda x: sorted(x)[(len(x) - 1) // 2]
+    pool, away = {}, {}
+    for c in ratios:
+        own = []
+        for d in range(64):
+            if len(own) < least:
+                own += [x for k in {c - d, c + d} for x in ratios.get(k, [])]
+        pool[c] = median(own)
+        away[c] = [abs(x - pool[c]) for x in own]
+    out = {}
+    for c in ratios:
+        near = away.get(c - 1, []) + away.get(c + 1, [])
+        reach = 4.5 * max(max(median(away[c]), median(near) if near else 0) / 1000 * 1.4826, 0.01)
+        out[c] = (pool[c] / 1000 - reach, pool[c] / 1000 + reach)
+    return out
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    make = lambda n, of=3000: " ".join(rng.choice(vocabulary[:of]) for _ in range(n))
+    rows = [(i, make(int(rng.choice([60, 200, 500, 1200, 3000, 9000]) * rng.uniform(0.8, 1.2)))) for i in range(320)]
+    hexes = " ".join(f"{rng.getrandbits(64):x}" for _ in range(20_000))  # alone in its length class
+    loop = [rng.choice(vocabulary) for _ in range(50)]
+    drum = " ".join(w for k in range(400) for w in [*rng.sample(loop, 50)])  # few words over and over, in changing order
+    tail = make(300) + " " + " ".join(f"{rng.getrandbits(64):x}" for _ in range(700))  # junk in most of its chunks
+    rows += [(1000, hexes), (1001, drum), (1002, tail), (1003, rows[0][1]), (1004, None), (1005, "")]
+    got = {r["doc_id"]: r for r in compression.judge(docs(spark, rows)).collect()}
+    packer = zstandard.ZstdCompressor(level=compression.LEVEL)
+    ratio = lambda x: len(packer.compress(x)) * 1000 // len(x)
+    whole, chunks = collections.defaultdict(list), []
+    cut = lambda x: [x[k : k + 4096] if k + 8192 <= len(x) else x[k:] for k in range(0, len(x) - 4095, 4096)] if len(x) >= 8192 else []
+    for t in {t.encode() for _, t in rows if t}:
+        whole[len(t).bit_length()].append(ratio(t))
+        chunks += map(ratio, cut(t))
+    limits, parts = brute_limits(whole), brute_limits({0: chunks})[0]
+    for i, t in rows:
+        data, want = (t or "").encode(), False
+        if data and not got[i]["base_failed"]:
+            low, high = limits[len(data).bit_length()]
+            out = [not parts[0] * 1000 <= ratio(x) <= parts[1] * 1000 for x in cut(data)]
+            want = low <= ratio(data) / 1000 <= high and 2 * sum(out) < max(1, len(out))
+        assert got[i]["kept"] == want, i
+    assert not got[1000]["base_failed"] and not got[1000]["kept"]
+    assert not got[1001]["base_failed"] and not got[1001]["kept"] and not got[1002]["kept"]
+    assert sum(got[i]["kept"] for i in range(320)) >= 310

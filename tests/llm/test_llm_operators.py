@@ -313,7 +313,7 @@ def test_lexicon_against_edit_distance():
     stem = toxicity.Lexicon([("abc", True, 2.0, 0)])
     stem.prepare()
     assert stem.match("abcxyz") == (0, 0) and stem.match("xabc") is None
-    assert toxicity.quoted('he said "fool" to', 9, 13) and not toxicity.quoted("you fool now", 4, 8)
+    assert toxicity.quotations('he said "fool" to') == [(8, 14)] and toxicity.quotations("you fool now") == []
 
 
 def test_url_rules(spark):
