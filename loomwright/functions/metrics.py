@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwright.functions.windows import numbered
-
 #: Weights of task quality and personal accuracy by task type; fixed values.
 QUALITY_WEIGHTS = {"personalized": (0.4, 0.6), "tech_writing": (0.6, 0.4), "generic_qa": (0.8, 0.2)}
 
@@ -49,23 +47,28 @@ def answer_quality(scores: DataFrame) -> DataFrame:
 
 def latency_summary(samples: DataFrame) -> DataFrame:
     """Per run from (run, started_ms, elapsed_ms, ok): counts, mean, extremes, percentiles at fixed
-    ranks of the sorted samples, and requests per second from first start to last."""
-    mine = W.partitionBy("run")
-    ranked = samples.withColumns(
-        {"at": numbered(mine.orderBy("elapsed_ms", "started_ms")) - 1, "n": F.count(F.lit(1)).over(mine)}
+    ranks of the sorted samples, and requests per second from first start to last.
+
+    Samples are counted by elapsed time first, so that what is sorted per run are distinct times.
+    """
+    counts = samples.groupBy("run", "elapsed_ms").agg(
+        F.count(F.lit(1)).alias("k"), F.count_if(~F.col("ok")).alias("bad"), F.min("started_ms").alias("first"), F.max("started_ms").alias("last")
     )
-    at = lambda rank: F.max(F.when(F.col("at") == rank, F.col("elapsed_ms")))
-    seconds = (F.max("started_ms") - F.min("started_ms")) / 1000
+    mine = W.partitionBy("run")
+    upto = F.sum("k").over(mine.orderBy("elapsed_ms").rowsBetween(W.unboundedPreceding, 0))
+    ranked = counts.withColumns({"upto": upto, "n": F.sum("k").over(mine)})
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("elapsed_ms")))
+    seconds = (F.max("last") - F.min("first")) / 1000
     return ranked.groupBy("run").agg(
-        F.count(F.lit(1)).alias("samples"),
-        F.count_if(~F.col("ok")).alias("errors"),
-        F.round(F.avg("elapsed_ms"), 6).alias("mean"),
+        F.sum("k").alias("samples"),
+        F.sum("bad").alias("errors"),
+        F.round(F.sum(F.col("elapsed_ms") * F.col("k")) / F.sum("k"), 6).alias("mean"),
         F.min("elapsed_ms").alias("min"),
         F.max("elapsed_ms").alias("max"),
         at(F.floor(F.col("n") / 2)).alias("p50"),
         at(F.floor(F.col("n") * 0.9)).alias("p90"),
         at(F.least(F.floor(F.col("n") * 0.99), F.col("n") - 1)).alias("p99"),
-        F.round(F.count(F.lit(1)) / F.nullif(seconds, F.lit(0.0)), 6).alias("tps"),
+        F.round(F.sum("k") / F.nullif(seconds, F.lit(0.0)), 6).alias("tps"),
     )
 
 

@@ -34,6 +34,12 @@ MARKDOWN_REPAIRS: list[tuple[str, str] | None] = [
         "$1$2\n$3",
     ),
 ]
+#: The same for two of them whose search is quadratic in the length of a line or of a run of white
+#: space: a match begins where the line (or the last match) does, or where the run does.
+LINEAR = {
+    r"(?m)([^|\n\s][^\n]*)\n(\|[^\n]+\|\s*\n\|[-\s|]+\|)": r"(?m)((?:^|\G)[|\s&&[^\n]]*+[^|\n\s][^\n]*+)\n(\|[^\n]+\|\s*\n\|[-\s|]+\|)",
+    r"\s*\[(?:粗体|列表|表格|引用)\]": r"(?<!\s)\s*+\[(?:粗体|列表|表格|引用)\]",
+}
 #: Other fixed values: an outer fence, a chatty beginning, line markers, headings dropped from
 #: plain text, the mark of a partial polish, and policies by task type.
 OUTER_FENCE = r"(?s)^```(?:markdown|md)?\s*\n(.*)\n```\s*$"
@@ -95,18 +101,23 @@ def format_time(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def outside_code(text: Column, mend: Callable[[Column], Column]) -> Column:
-    """``mend`` on each line that is not within a code fence; a fence line toggles and stays."""
+    """``mend`` on each line that is not within a code fence; a fence line toggles and stays. Empty
+    lines at the beginning go. Linear in the text: a line looks only at the fences' numbers."""
     fence = lambda line: F.startswith(java_trim(line), F.lit("```"))
 
-    def step(state: Column, line: Column) -> Column:
-        mended = F.when(fence(line) | state["inside"], line).otherwise(mend(line))
-        # As in the rule itself, a line break follows only once there is some text.
-        out = F.when(F.length(state["out"]) == 0, mended).otherwise(F.concat(state["out"], F.lit("\n"), mended))
-        return F.struct((state["inside"] != fence(line)).alias("inside"), out.alias("out"))
+    def mended(lines: Column) -> Column:
+        fences = F.filter(F.transform(lines, lambda line, i: F.when(fence(line), i)), lambda i: i.isNotNull())
+        inside = lambda at, i: F.size(F.filter(at, lambda j: j < i)) % 2 == 1
+        one = lambda at: F.transform(lines, lambda line, i: F.when(F.array_contains(at, i) | inside(at, i), line).otherwise(mend(line)))
+        return bound(fences, lambda at: F.array_join(one(at), "\n"))
 
-    start = F.struct(F.lit(False).alias("inside"), F.lit("").alias("out"))
-    return F.aggregate(F.split(text, "\n"), start, step, lambda s: s["out"])
+    return F.regexp_replace(bound(F.split(text, "\n"), mended), r"^\n+", "")
 
 
 def unescape_outside_code(text: Column) -> Column:
@@ -146,7 +157,7 @@ def normalize_inline_light(text: Column) -> Column:
 
 def repaired(text: Column) -> Column:
     for rule in MARKDOWN_REPAIRS:
-        text = unescape_outside_code(text) if rule is None else F.regexp_replace(text, *rule)
+        text = unescape_outside_code(text) if rule is None else F.regexp_replace(text, LINEAR.get(rule[0], rule[0]), rule[1])
     return text
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwright.functions.windows import numbered
-from loomwright.operators.retrieval import active, vector_topk
+from loomwright.operators.retrieval import active, vector_topk_blocked
 
 MEMORY_TYPES = ("fact", "preference", "knowledge", "event")
 LONGEST = 500
@@ -53,24 +53,26 @@ def hashed_bigrams(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
 
 
 def embed_texts(rows: DataFrame, embedder: Callable[[list[str]], np.ndarray], text: str = "content") -> DataFrame:
-    """``rows`` with an embedding of their first 500 characters. Vectors stay with their rows; a batch
-    that fails and blank texts get an empty one."""
+    """``rows`` with an embedding of their first 500 characters and what became of it: ``done``,
+    ``blank`` (no text), or ``failed: ...`` with the error of the batch, whose vectors are empty then.
+    Vectors stay with their rows. A wrong number of vectors is an error of the embedder as well."""
 
-    @F.pandas_udf("array<float>")
-    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("embedding array<float>, outcome string")
+    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = [(t or "")[:LONGEST] for t in part]
-            out: list[list[float]] = []
+            out: list[tuple[list[float], str]] = []
             for at in range(0, len(texts), BATCH):
                 some = texts[at : at + BATCH]
                 try:
                     made = embedder(some)
-                    out += [list(map(float, v)) if t.strip() else [] for t, v in zip(some, made, strict=True)]
-                except Exception:  # noqa: BLE001  the caller's service may fail in any way
-                    out += [[] for _ in some]
-            yield pd.Series(out)
+                    out += [(list(map(float, v)), "done") if t.strip() else ([], "blank") for t, v in zip(some, made, strict=True)]
+                except Exception as error:  # noqa: BLE001  the caller's service may fail in any way
+                    out += [([], f"failed: {type(error).__name__}: {error}")] * len(some)
+            yield pd.DataFrame(out, columns=["embedding", "outcome"])
 
-    return rows.withColumn("embedding", vectors(F.col(text)))
+    made = rows.withColumn("__made", vectors(F.col(text)))
+    return made.withColumns({"embedding": F.col("__made.embedding"), "outcome": F.col("__made.outcome")}).drop("__made")
 
 
 def new_by_hash(candidates: DataFrame, memories: DataFrame) -> DataFrame:
@@ -86,7 +88,7 @@ def new_by_hash(candidates: DataFrame, memories: DataFrame) -> DataFrame:
 def update_target(candidates: DataFrame, memories: DataFrame, above: float = SAME_ABOVE) -> DataFrame:
     """(candidate_id, target_id): the user's nearest memory if its cosine is above 0.9, else null."""
     asked = candidates.select(F.col("candidate_id").alias("query_id"), "user_id", "embedding")
-    near = vector_topk(asked, memories, 1).where(F.col("score") > above)
+    near = vector_topk_blocked(asked, memories, 1).where(F.col("score") > above)
     near = near.select(F.col("query_id").alias("candidate_id"), F.col("memory_id").alias("target_id"))
     return candidates.select("candidate_id").join(near, "candidate_id", "left")
 

@@ -32,6 +32,11 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when(fits, total(product) / (F.sqrt(square(a)) * F.sqrt(square(b)) + TINY)).otherwise(F.lit(0.0))
 
 
+def norm(v: Column) -> Column:
+    """|v| in double."""
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def active(memories: DataFrame) -> DataFrame:
     return memories.where("is_deleted = 0")
 
@@ -43,21 +48,41 @@ def top_per_query(scored: DataFrame, k: Column | int) -> DataFrame:
 
 
 def vector_topk(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """(query_id, memory_id, score, place): cosine, within the query's user."""
-    mine = active(memories).select("user_id", F.col("id").alias("memory_id"), F.col("embedding").alias("__memory"))
-    asked = queries.select("query_id", "user_id", F.col("embedding").alias("__query"))
-    scored = asked.join(mine, "user_id").select("query_id", "memory_id", cosine_similarity(F.col("__query"), F.col("__memory")).alias("score"))
-    return top_per_query(scored, k)
+    """(query_id, memory_id, score, place): cosine, within the query's user, for users with few
+    memories. Norms are made once for each vector, before the join."""
+    mine = active(memories).select("user_id", F.col("id").alias("memory_id"), F.col("embedding").alias("__m"), norm(F.col("embedding")).alias("__mn"))
+    asked = queries.select("query_id", "user_id", F.col("embedding").alias("__q"), norm(F.col("embedding")).alias("__qn"))
+    dot = F.aggregate(F.zip_with("__q", "__m", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    fits = (F.size("__q") == F.size("__m")) & (F.size("__q") > 0)
+    score = F.when(fits, dot / (F.col("__qn") * F.col("__mn") + TINY)).otherwise(F.lit(0.0))
+    return top_per_query(asked.join(mine, "user_id").select("query_id", "memory_id", score.alias("score")), k)
+
+
+#: Memories and queries of one block of ``vector_topk_blocked``.
+BLOCK = 4096
 
 
-def vector_topk_blocked(queries: DataFrame, memories: DataFrame, k: int, salts: int = 16) -> DataFrame:
-    """``vector_topk`` by blocked matrix products in numpy, for users with many memories.
+def _blocks(sizes: DataFrame, side: str, block: int) -> DataFrame:
+    """(user_id, side): how many blocks each user's rows need."""
+    return sizes.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(side))
 
-    A user's memories are dealt over ``salts`` groups and its queries go to each; each group keeps
-    its ``k`` best per query, and a second round over these few rows keeps the best overall.
+
+def vector_topk_blocked(queries: DataFrame, memories: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """``vector_topk`` by blocked matrix products in numpy, for users with any number of memories.
+
+    A user's memories and queries are dealt over as many blocks of about ``block`` rows as they
+    need, and each block of queries meets each of memories in a group of its own; a group keeps its
+    ``k`` best per query, and a second round over these few rows keeps the best overall.
     """
-    mine = active(memories).select("user_id", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"), F.col("id").alias("memory_id"), "embedding")
-    asked = queries.select("user_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"), "query_id", "embedding")
+    found, wanted = active(memories), queries.where("user_id IS NOT NULL")
+    salts = _blocks(found, "salts", block).join(_blocks(wanted, "turns", block), "user_id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = found.join(salts, "user_id").select(
+        "user_id", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.col("id").alias("memory_id"), "embedding", every("turns").alias("turn")
+    )
+    asked = wanted.join(salts, "user_id").select(
+        "user_id", F.pmod(F.xxhash64("query_id"), "turns").cast("int").alias("turn"), "query_id", "embedding", every("salts").alias("salt")
+    )
 
     def matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         lists = column.to_pylist()
@@ -75,14 +100,16 @@ def vector_topk_blocked(queries: DataFrame, memories: DataFrame, k: int, salts:
         for at in range(0, len(q), 256):
             part = q[at : at + 256]
             dots = part @ m.T if same else np.zeros((len(part), len(m)))
-            scores = dots / (np.sqrt((part * part).sum(axis=1))[:, None] * norm[None, :] + TINY)
+            # Equal vectors get equal scores, whatever their places in a product.
+            scores = np.round(dots / (np.sqrt((part * part).sum(axis=1))[:, None] * norm[None, :] + TINY), 12)
             for i, row in enumerate(scores):
-                order = np.lexsort((ids, -row))[:k]
+                near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                order = near[np.lexsort((ids[near], -row[near]))[:k]]
                 out += [(asked_ids[at + i], int(ids[j]), float(row[j])) for j in order]
         cols = list(zip(*out)) if out else [(), (), ()]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "memory_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    key = ["user_id", "salt"]
+    key = ["user_id", "salt", "turn"]
     found = asked.groupBy(*key).cogroup(mine.groupBy(*key)).applyInArrow(best, "query_id bigint, memory_id bigint, score double")
     return top_per_query(found, k)
 
@@ -190,7 +217,7 @@ def hybrid_search(queries: DataFrame, memories: DataFrame, as_of: str, k: int =
     reach = max(6 * k, 60)
     with_vector = asked.where(F.size("embedding") > 0)
     fused = fuse_scores(
-        asked, vector_topk(with_vector, memories, reach), fulltext_topk(asked, memories, reach), user_profile(memories), memories, as_of
+        asked, vector_topk_blocked(with_vector, memories, reach), fulltext_topk(asked, memories, reach), user_profile(memories), memories, as_of
     )
     rounded = fused.withColumn("score", F.round("score", 6))
     return rerank_blend(rounded, rerank).where(F.col("place") <= k).withColumn("score", F.round("score", 6))

@@ -201,9 +201,9 @@ def recommend(likes: DataFrame, favorites: DataFrame, meta: DataFrame, article:
     """(user_id, article_id, publish_time): unseen articles with one of the user's top tags by views,
     filled up from the day's leaderboard.
 
-    A tag's list is cut twice before the anti join, exactly: once at n plus the most articles that
-    anybody has seen, and per user at n plus those the user has seen, as its best n unseen articles
-    lie within that many.
+    A user's best n unseen articles of a tag lie within the tag's first n plus as many as the user has
+    seen. A tag's list is cut at n plus the most that anybody has seen, and stands in blocks of ranks
+    of doubling size: a user meets only the blocks up to its own reach, not the heaviest reader's.
     """
     seen = interacted(likes, favorites)
     own = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("own"))
@@ -212,7 +212,9 @@ def recommend(likes: DataFrame, favorites: DataFrame, meta: DataFrame, article:
     in_tag = numbered(W.partitionBy("tag").orderBy(F.desc("view_count"), F.desc("article_id")))
     best = tagged.withColumn("in_tag", in_tag).join(F.broadcast(most_seen)).where(F.col("in_tag") <= F.col("most_seen") + n)
     wanted = top_tags_per_user(likes, favorites, meta).select("user_id", "tag")
-    near = wanted.join(own, "user_id").join(best, "tag").where(F.col("in_tag") <= F.col("own") + n)
+    block = lambda rank: F.floor(F.log2(rank) + 1e-9).cast("int")
+    reach = wanted.join(own, "user_id").withColumn("block", F.explode(F.sequence(F.lit(0), block(F.col("own") + n))))
+    near = reach.join(best.withColumn("block", block(F.col("in_tag"))), ["tag", "block"]).where(F.col("in_tag") <= F.col("own") + n)
     pool = exclude_seen(near.select("user_id", "article_id", "view_count").distinct(), seen)
     mine = W.partitionBy("user_id")
     first = pool.withColumn("place", numbered(mine.orderBy(F.desc("view_count"), F.desc("article_id")))).where(F.col("place") <= n)

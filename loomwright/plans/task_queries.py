@@ -132,7 +132,7 @@ _greedy(
 def _consume(tasks):
     message = F.to_json(F.struct(F.col("id").alias("taskId"), F.concat(F.lit("e"), "id").alias("eventId"), F.lit(AS_OF).alias("createdAt")))
     raw = tasks.select(message.alias("value"))
-    broken = tasks.limit(5).select(F.lit("not json").alias("value"))
+    broken = tasks.orderBy("id").limit(5).select(F.lit("not json").alias("value"))
     return J.idempotent_consume(parse_task_messages(raw.unionAll(raw).unionAll(broken)), T.claimable_tasks(tasks, AS_OF))
 
 
@@ -164,4 +164,4 @@ query("stream_reaction_counts", "interaction", """
     SELECT article_id, count(*) FILTER (kind = 'like') AS like_count, count(*) FILTER (kind = 'favorite') AS favorite_count FROM (
         SELECT article_id, user_id, kind, arg_max(verb, (ts, event_id)) AS verb FROM (
             SELECT *, CASE WHEN verb IN ('LIKE', 'UNLIKE') THEN 'like' WHEN verb = 'FAVORITE' THEN 'favorite' END AS kind FROM interaction)
-        WHERE kind IS NOT NULL GROUP BY 1, 2, 3) WHERE verb IN ('LIKE', 'FAVORITE') GROUP BY article_id""")(lambda e: J.reaction_counts(e.unionAll(e.limit(50))))
+        WHERE kind IS NOT NULL GROUP BY 1, 2, 3) WHERE verb IN ('LIKE', 'FAVORITE') GROUP BY article_id""")(lambda e: J.reaction_counts(e.unionAll(e.orderBy("event_id").limit(50))))

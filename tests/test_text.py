@@ -83,3 +83,64 @@ def test_strings(spark):
     assert one(spark, X.split_tags, None) == [] and one(spark, X.split_tags, "A, ,B") == ["A", "B"]
     assert one(spark, lambda c: X.tag_match(c, ["java"]), "Go,Java") is True
     assert one(spark, X.policy_for_task, "POLISH_TEXT", "a【处理范围】选中文本") == "INLINE_LIGHT"
+
+
+def test_long_lines_are_repaired_in_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from loomwright.functions import text as X
+
+    long = "word " * 40_000 + "\n| a | b |\n|---|---|\n" + " " * 20_000 + "[粗体] x\n" + "line\n" * 20_000
+    began = time.time()
+    out = spark.createDataFrame([(long,)], "raw string").select(X.normalize_markdown_light(F.col("raw")).alias("t")).first()["t"]
+    assert time.time() - began < 30 and "word \n\n| a | b |" in out and "[粗体]" not in out
+
+
+def test_table_after_a_match_on_its_line(spark):
+    """The linear forms of the two rules against the fixed patterns."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from loomwright.functions import text as X
+
+    rng = random.Random(7)
+    rows = [("".join(rng.choice(["|", "a", " ", "\n", "|-|", "\n|a|\n|-|", "[粗体]", "\t"]) for _ in range(30)),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "raw string")
+    for pattern, to in [r for r in X.MARKDOWN_REPAIRS if r and r[0] in X.LINEAR]:
+        both = df.select(F.regexp_replace("raw", pattern, to).alias("a"), F.regexp_replace("raw", X.LINEAR[pattern], to).alias("b"), "raw")
+        assert both.where("a <> b").count() == 0 and both.where("a <> raw").count() > 100
+
+
+def test_embedding_outcomes(spark):
+    from loomwright.operators import ingest
+
+    def embedder(texts):
+        if any("broken" in t for t in texts):
+            raise TimeoutError("no answer")
+        return ingest.hashed_bigrams(8)(texts)
+
+    good = spark.createDataFrame([(1, "some text"), (2, " "), (3, None)], "id long, content string").coalesce(1)
+    got = {r["id"]: (r["outcome"], len(r["embedding"])) for r in ingest.embed_texts(good, embedder).collect()}
+    assert got == {1: ("done", 8), 2: ("blank", 0), 3: ("blank", 0)}
+    want = ingest.hashed_bigrams(8)(["some text"])[0]
+    assert ingest.embed_texts(good, embedder).where("id = 1").first()["embedding"] == [float(x) for x in want]
+    bad = spark.createDataFrame([(4, "broken")], "id long, content string")
+    assert ingest.embed_texts(bad, embedder).first()["outcome"] == "failed: TimeoutError: no answer"
+
+
+def test_blocks_by_size(spark):
+    import random
+
+    from loomwright.operators import retrieval as R
+
+    rng = random.Random(3)
+    vector = lambda: [float(rng.randrange(5)) for _ in range(4)]
+    memories = spark.createDataFrame([(i, 1 if i < 500 else i % 7, 0, vector()) for i in range(600)], "id long, user_id long, is_deleted int, embedding array<float>")
+    queries = spark.createDataFrame([(i, i % 7 if i % 3 else 1, vector()) for i in range(40)], "query_id long, user_id long, embedding array<float>")
+    rows = [sorted((r["query_id"], r["place"], r["memory_id"], round(r["score"], 9)) for r in R.vector_topk_blocked(queries, memories, 9, block=b).collect()) for b in (4096, 50, 7)]
+    plain = sorted((r["query_id"], r["place"], r["memory_id"], round(r["score"], 9)) for r in R.top_per_query(R.vector_topk(queries, memories, 9).drop("place").selectExpr("query_id", "memory_id", "round(score, 12) AS score"), 9).collect())
+    assert rows[0] == rows[1] == rows[2]
+    assert [r[:2] + r[3:] for r in rows[0]] == [r[:2] + r[3:] for r in plain]
