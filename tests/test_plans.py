@@ -15,7 +15,8 @@ def plan(df):
 
 
 def test_no_python_in_built_in_queries(spark):
-    helpers = {"vector_topk_blocked", "embed_texts", "extract_json_objects", "render_blocks_document", "comment_dedup", "rate_limit", "heartbeat_throttle"}
+    blocked = {"vector_topk_blocked", "hybrid_search", "memory_context", "retrieval_metrics", "update_target", "merge_memories", "memory_history"}
+    helpers = blocked | {"embed_texts", "extract_json_objects", "render_blocks_document", "comment_dedup", "rate_limit", "heartbeat_throttle"}
     for name, query in catalog.queries().items():
         if name not in helpers:
             text = plan(query(spark, SF))
