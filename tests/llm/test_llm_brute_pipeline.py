@@ -6,7 +6,8 @@ import zlib
 import duckdb
 import numpy as np
 from compare import DATA
-from test_llm_operators import LOWER, WORD, brute_fingerprint
+from test_llm_near import shingles
+from test_llm_operators import LOWER, WORD
 
 SF = f"{DATA}/sf0.001"
 
@@ -21,16 +22,17 @@ def brute(spark):
     docs = {i: t for i, t in rows.items() if i not in toxic}
     last = {t.translate(LOWER): i for i, t in sorted(docs.items())}
     docs = {i: docs[i] for i in sorted(last.values())}
-    fps = {i: brute_fingerprint(t) for i, t in docs.items()}
+    sets = {i: shingles(t) for i, t in docs.items()}
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    alike = {(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and near(a, b)}
     root = {i: i for i in docs}
     moved = True
     while moved:
         moved = False
-        for a in docs:
-            for b in docs:
-                if (fps[a] ^ fps[b]).bit_count() <= 4 and root[a] != root[b]:
-                    root[a] = root[b] = min(root[a], root[b])
-                    moved = True
+        for a, b in alike:
+            if root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                moved = True
     docs = {i: t for i, t in docs.items() if root[i] == i}
     words = {i: WORD.findall(t) for i, t in docs.items()}
     seen = collections.Counter(tuple(w[k : k + 35]) for w in words.values() for k in range(len(w) - 34))
