@@ -160,6 +160,14 @@ query("stale_sessions", "interaction", """
 query("stream_leaderboard", "interaction", """
     SELECT CAST(ts AS DATE) AS day, article_id, CAST(sum(CASE verb WHEN 'VIEW' THEN 1 ELSE 3 END) AS BIGINT) AS heat
     FROM interaction WHERE verb IN ('VIEW', 'LIKE') GROUP BY 1, 2""")(J.stream_leaderboard)
+query("top_of_day", "interaction", """
+    SELECT day, article_id, heat, place FROM (
+        SELECT *, row_number() OVER (PARTITION BY day ORDER BY heat DESC, article_id DESC) AS place FROM (
+            SELECT CAST(ts AS DATE) AS day, article_id, CAST(sum(CASE verb WHEN 'VIEW' THEN 1 ELSE 3 END) AS BIGINT) AS heat
+            FROM interaction WHERE verb IN ('VIEW', 'LIKE') GROUP BY 1, 2)) WHERE place <= 10""")(lambda e: J.top_of_day(J.stream_leaderboard(e), 10))
+query("split_stream_id", "interaction", "SELECT event_id, epoch_us(ts) // 1000 AS ms, event_id AS n FROM interaction")(
+    lambda e: e.select("event_id", J.split_stream_id(F.concat_ws("-", F.unix_millis(F.col("ts").cast("timestamp")), "event_id")).alias("s")).select("event_id", "s.*")
+)
 query("stream_reaction_counts", "interaction", """
     SELECT article_id, count(*) FILTER (kind = 'like') AS like_count, count(*) FILTER (kind = 'favorite') AS favorite_count FROM (
         SELECT article_id, user_id, kind, arg_max(verb, (ts, event_id)) AS verb FROM (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,25 +34,48 @@ def top_of_day(totals: DataFrame, n: int) -> DataFrame:
     return totals.withColumn("place", place).where(F.col("place") <= n)
 
 
-def merge_reactions(path: str):
-    """A ``foreachBatch`` function that keeps the last reaction per (article, user, kind) under
-    ``path``: a batch delivered twice changes nothing. Each version is a new folder, read by the next."""
+def merge_reactions(path: str, compact_every: int = 50):
+    """A ``foreachBatch`` function that keeps the last reaction per (article, user, kind) under ``path``.
+
+    Each batch adds a folder with its own last reactions, whatever the batch's number, so a new
+    checkpoint goes on with the state it finds and a batch delivered twice changes nothing: readers
+    (``read_reactions``) take the last of all folders. After ``compact_every`` folders the next batch
+    writes the whole state as one folder and deletes the others. One writer per path.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f.getPath() for f in store.listStatus(root)] if store.exists(root) else []
+        versions = {int(p.getName()[1:]): p for p in found if p.getName()[0] == "v" and p.getName()[1:].isdigit()}
         events = batch.select("event_id", "user_id", "article_id", "verb", "ts")
-        if number:
-            events = events.unionByName(spark.read.schema(events.schema).parquet(f"{path}/v{number - 1}"))
-        kind = F.when(F.col("verb").isin("LIKE", "UNLIKE"), "like").when(F.col("verb").isin("FAVORITE", "UNFAVORITE"), "favorite")
-        last = (
-            events.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("article_id", "user_id", "kind")
-            .agg(F.max_by(F.struct("event_id", "verb", "ts"), F.struct("ts", "event_id")).alias("e"))
-        )
-        last.select("e.event_id", "user_id", "article_id", "e.verb", "e.ts").write.mode("overwrite").parquet(f"{path}/v{number}")
+        old = list(versions.values()) if len(versions) >= compact_every else []
+        if old:
+            events = events.unionByName(spark.read.schema(events.schema).parquet(*[p.toString() for p in old]))
+        last_reactions(events).write.parquet(f"{path}/v{max(versions, default=-1) + 1}")
+        for p in old:
+            store.delete(p, True)
 
     return merge
 
 
+def last_reactions(events: DataFrame) -> DataFrame:
+    """The event that decides each (article, user, kind)."""
+    kind = F.when(F.col("verb").isin("LIKE", "UNLIKE"), "like").when(F.col("verb").isin("FAVORITE", "UNFAVORITE"), "favorite")
+    last = (
+        events.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("article_id", "user_id", "kind")
+        .agg(F.max_by(F.struct("event_id", "verb", "ts"), F.struct("ts", "event_id")).alias("e"))
+    )
+    return last.select("e.event_id", "user_id", "article_id", "e.verb", "e.ts")
+
+
+def read_reactions(spark: SparkSession, path: str) -> DataFrame:
+    """The state that ``merge_reactions`` keeps under ``path``."""
+    schema = "event_id bigint, user_id bigint, article_id bigint, verb string, ts timestamp"
+    return last_reactions(spark.read.schema(schema).parquet(f"{path}/v*"))
+
+
 def reaction_counts(last: DataFrame) -> DataFrame:
     return current_reactions(last).groupBy("article_id").agg(
         F.count_if(F.col("kind") == "like").alias("like_count"), F.count_if(F.col("kind") == "favorite").alias("favorite_count")
@@ -144,9 +167,9 @@ def resume_stream(chunks: DataFrame, cursors: DataFrame, n: int = MOST_RESUMED)
 
 
 def split_stream_id(stream_id: Column) -> Column:
-    """A two-part id "ms-n" as one comparable number pair."""
+    """A two-part id "ms-n" as one comparable number pair: ms is null and n is 0 where they are no numbers."""
     parts = F.split(stream_id, "-")
-    return F.struct(parts[0].cast("bigint").alias("ms"), F.coalesce(F.get(parts, F.lit(1)).cast("bigint"), F.lit(0)).alias("n"))
+    return F.struct(parts[0].try_cast("bigint").alias("ms"), F.coalesce(F.get(parts, F.lit(1)).try_cast("bigint"), F.lit(0)).alias("n"))
 
 
 def stale_sessions(heartbeats: DataFrame, gap: str = "5 minutes") -> DataFrame:

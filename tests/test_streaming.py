@@ -45,9 +45,27 @@ def test_leaderboard(spark, tmp_path):
 def test_reactions(spark, tmp_path):
     events, stream = events_in_files(spark, tmp_path / "in")
     drain(spark, stream, tmp_path, sink=J.merge_reactions(str(tmp_path / "state")))
-    last = spark.read.parquet(str(tmp_path / "state" / "v2"))
     cols = ["article_id", "like_count", "favorite_count"]
-    assert pairs(J.reaction_counts(last), *cols) == pairs(S.apply_reactions(events), *cols)
+    assert pairs(J.reaction_counts(J.read_reactions(spark, str(tmp_path / "state"))), *cols) == pairs(S.apply_reactions(events), *cols)
+
+
+def test_reactions_go_on_from_old_state(spark, tmp_path):
+    events = view(spark, SF, "interaction").withColumn("ts", F.col("ts").cast("timestamp"))
+    path, want = str(tmp_path / "state"), pairs(S.apply_reactions(events), "article_id", "like_count", "favorite_count")
+    got = lambda: pairs(J.reaction_counts(J.read_reactions(spark, path)), "article_id", "like_count", "favorite_count")
+    parts = [events.where(F.pmod("event_id", F.lit(4)) == i) for i in range(4)]
+    for part in parts:  # every batch is the first of a new checkpoint
+        J.merge_reactions(path, compact_every=3)(part, 0)
+    assert got() == want
+    assert [x.name for x in (tmp_path / "state").iterdir()] == ["v3"]
+    J.merge_reactions(path, compact_every=3)(parts[1], 1)  # delivered again
+    assert got() == want
+
+
+def test_stream_ids(spark):
+    ids = spark.createDataFrame([("12-3",), ("12-10",), ("9",), ("x-1",), (None,)], "id string")
+    got = {r["id"]: tuple(r["s"]) for r in ids.select("id", J.split_stream_id(F.col("id")).alias("s")).collect()}
+    assert got == {"12-3": (12, 3), "12-10": (12, 10), "9": (9, 0), "x-1": (None, 1), None: (None, 0)}
 
 
 def test_greedy_twins(spark, tmp_path):
