@@ -123,6 +123,12 @@ class Inflated:
         self.raw = self.unzip.unused_data if self.unzip.eof else self.unzip.unconsumed_tail
         return True
 
+    def between(self) -> bool:
+        """Whether the member ends here; a member's end may need further bytes of the file."""
+        while not self.unzip.eof and not self.data and self.more():
+            pass
+        return self.unzip.eof and not self.data
+
     def head(self) -> bytes | None:
         """Bytes up to and with the next empty line; None at the end of the file."""
         at, seen = -1, 0
@@ -162,8 +168,9 @@ def _page(value: str | None) -> int | None:
 
 def records_of(stream) -> Iterator[tuple]:
     """A row of RECORDS for each record of one archive."""
-    data = Inflated(stream)
+    data, count = Inflated(stream), 0
     while (head := data.head()) is not None:
+        count += 1
         if not head.startswith(b"WARC/"):
             raise ValueError("a record does not begin with its version")
         warc, block, payload = _fields(head), hashlib.sha1(), hashlib.sha1()
@@ -181,6 +188,8 @@ def records_of(stream) -> Iterator[tuple]:
             size += len(piece)
         if b"".join(data.pieces(4)) != b"\r\n\r\n":
             raise ValueError("a record's block does not end where its length says")
+        if data.data or data.members != count or not data.between():
+            raise ValueError("a gzip member does not hold one record")
         told = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:"))
         good = base64.b32decode(warc["warc-block-digest"].removeprefix("sha1:")) == block.digest()
         kind = warc["warc-type"]
@@ -220,7 +229,7 @@ def round_trip(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     Null html is an empty payload, a null url an empty address; a null page_id comes back as
     null and never leads a group. Rows with one page_id and equal payloads are all responses if
     that id leads. A record whose digests don't match its bytes has verified = false; broken
-    framing is an error. An empty table gives no rows; other columns are ignored.
+    framing, or a gzip member that doesn't hold just one record, is an error. An empty table gives no rows; other columns are ignored.
     """
     work = Workspace(pages.sparkSession, "warc")
     spark = pages.sparkSession

@@ -368,6 +368,18 @@ def test_warc_finds_damage():
         list(warc.records_of(io.BytesIO(pack(good)[:-20])))
     with pytest.raises(ValueError):
         list(warc.records_of(io.BytesIO(pack(good.replace(b"\r\n\r\n", b"\r\n\r\n\r\n")))))
+    for split in (pack(good + good), pack(good[:900]) + pack(good[900:]), pack(good) + pack(b"") + pack(good)):
+        with pytest.raises(ValueError):
+            list(warc.records_of(io.BytesIO(split)))
+
+
+def test_warc_members_end_at_any_byte(monkeypatch):
+    import io
+
+    monkeypatch.setattr(warc, "READ_BYTES", 7)
+    pack = lambda b: (z := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(b) + z.flush()
+    data = b"".join(pack(warc.record(i, "u", b"ab" * i, None, "1970-01-01T00:00:00Z")) for i in range(60))
+    assert [(r[0], r[3], r[-1]) for r in warc.records_of(io.BytesIO(data))] == [(i, 2 * i, True) for i in range(60)]
 
 
 @pytest.mark.parametrize(
