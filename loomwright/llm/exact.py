@@ -3,9 +3,10 @@
 The index is a table of one row per distinct normalised text (SHA-256 digest, id of the row
 that stays), bucketed and sorted by digest. New data is first reduced to one row per digest,
 with partial aggregation before the shuffle, so that a group of copies of any size becomes one
-row. A sort-merge anti-join with the index leaves the unseen digests, which are appended. The
-index side of that join is read by its buckets and not shuffled; Spark sorts each bucket again,
-as it has a sorted file of every append.
+row. A sort-merge anti-join with the index leaves the unseen digests, which are appended; a second
+join of that kind reads the verdicts of the new data's digests from it. The index side of both
+is read by its buckets and never shuffled; Spark sorts each bucket again, as it has a sorted
+file of every append.
 
 The number of buckets is part of the index: an empty file beside the data names version and
 buckets. An append that makes buckets too large, or their files too many, writes the index anew as
@@ -119,17 +120,26 @@ class DigestIndex:
             return self._start(version + 1, size, self.entries())
         return now
 
-    def append_new(self, groups: DataFrame, rows: int) -> None:
-        """Adds the digests that the index lacks; ``groups`` has one row per digest, ``rows`` at most."""
+    def append_new(self, groups: DataFrame, rows: int, work: Workspace) -> DataFrame:
+        """Adds the digests that the index lacks and gives the index's rows of all of ``groups``, which
+        has one row per digest, ``rows`` at most."""
         with self._locked():
             version, buckets = self._fitting(rows)
             with self._table(version, buckets) as name:
-                seen = self.spark.table(name).select("digest")
-                new = groups.hint("merge").join(seen.hint("merge"), "digest", "left_anti")
+                new = self.beside(groups, name, buckets, "left_anti")
                 self._write(new, version, buckets, name)
+                # Written, so that the caller's join may split a hot digest, which buckets forbid.
+                return work.put(self.beside(groups.select("digest"), name, buckets, "inner"), "verdicts")
+
+    def beside(self, groups: DataFrame, name: str, buckets: int, kind: str) -> DataFrame:
+        """Sort-merge join of ``groups`` with the index. They are dealt by its buckets first: with more
+        shuffle partitions than buckets Spark would shuffle the index instead."""
+        seen = self.spark.table(name)
+        seen = seen.select("digest") if kind == "left_anti" else seen
+        return groups.repartition(buckets, "digest").hint("merge").join(seen.hint("merge"), "digest", kind)
 
     def entries(self) -> DataFrame:
-        """The index's rows, read without its buckets: a join may then split a hot digest."""
+        """All rows of the index."""
         return self.spark.read.schema(ROW).parquet(self.data(self.layout()[0]))
 
 
@@ -154,9 +164,9 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
     found = work.put(digests(docs), "digests")
     groups = found.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     index = index or DigestIndex(spark)
-    index.append_new(groups, found.count())
+    verdicts = index.append_new(groups, found.count(), work)
     return (
-        found.join(index.entries(), "digest")
+        found.join(verdicts, "digest")
         .select(
             "doc_id",
             "keep_id",
