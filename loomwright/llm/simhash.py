@@ -3,7 +3,7 @@
 The 64 bits fall into six blocks. Four errors leave two blocks whole at least, so each distinct
 fingerprint goes to the 15 pairs of blocks, and a bucket holds fingerprints equal in 20 to 22
 bits: exact at any size. A bucket of more than SPLIT fingerprints is dealt once more in the same
-way by halves of its other blocks. Within a bucket the distinct fingerprints form a
+way by halves of its other blocks, and one that is still larger by pairs of chunks. Within a bucket the distinct fingerprints form a
 path-compressed binary trie. Pairs of nodes are walked together; the bits in which their known
 prefixes differ add up, and a pair whose sum exceeds the budget is left with everything below it;
 pairs of small nodes are compared at once. A pair of nodes that one component covers already adds
@@ -185,13 +185,32 @@ def _sub_keys(key: Column, fp: Column) -> Column:
     return F.transform(pairs, lambda p: F.xxhash64(key, p["i"], p["j"], value(p["i"]), value(p["j"])))
 
 
-def _split_large(buckets: DataFrame, sub_keys, most: int, work: Workspace) -> DataFrame:
-    """``buckets`` (key, fp, rep, ...) with the rows of keys that more than ``most`` rows have dealt by ``sub_keys``."""
-    large = work.put(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "large")
-    if large.isEmpty():
+def _large(buckets: DataFrame, most: int, work: Workspace, name: str) -> DataFrame | None:
+    """(key, n) of the keys that more than ``most`` rows of ``buckets`` have; None without any."""
+    found = work.put(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), name)
+    return None if found.isEmpty() else found
+
+
+def _dealt(buckets: DataFrame, most: int, work: Workspace) -> DataFrame:
+    """``buckets`` (key, fp, rep) of blocks, large ones dealt by ``_sub_keys``."""
+    large = _large(buckets, most, work, "large")
+    if large is None:
+        return buckets
+    dealt = buckets.join(large, "key").select(F.explode(_sub_keys(F.col("key"), F.col("fp"))).alias("key"), "fp", "rep")
+    return work.put(buckets.join(large, "key", "left_anti").unionByName(dealt), "dealt")
+
+
+def _chunked(buckets: DataFrame, most: int, work: Workspace) -> DataFrame:
+    """``buckets`` (key, fp, rep) without one of much more than ``most`` rows: larger ones fall into chunks,
+    and two chunks make a bucket, so that any two rows still meet."""
+    large = _large(buckets, most, work, "large_chunked")
+    if large is None:
         return buckets
-    dealt = buckets.join(large, "key").withColumn("key", F.explode(sub_keys))
-    return buckets.join(large, "key", "left_anti").unionByName(dealt)
+    rows = buckets.join(large.select("key", F.ceil(2 * F.col("n") / most).alias("chunks")), "key")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp", "rep"), "chunks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).where("mine <> other")
+    pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return buckets.join(large, "key", "left_anti").unionByName(rows.select(pair.alias("key"), "fp", "rep"))
 
 
 def _linked(buckets: DataFrame, budgets: tuple[int, ...]) -> DataFrame:
@@ -260,7 +279,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     found = work.put(with_fingerprints(docs, shingle), "fingerprints")
     distinct = work.put(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     buckets = work.put(distinct.where("rep is not null").select(F.explode(_block_keys(F.col("fp"))).alias("key"), "fp", "rep"), "buckets")
-    links = _linked(_split_large(buckets, _sub_keys(F.col("key"), F.col("fp")), most, work), (budget,))
+    links = _linked(_chunked(_dealt(buckets, most, work), most, work), (budget,))
     joined = connected_components(links, work)
     members = distinct.join(joined, distinct.rep == joined.node, "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
@@ -324,7 +343,7 @@ def similar_links(docs: DataFrame, work: Workspace, shingle: int = WIDE_SHINGLE,
     """(a, a_key, b, b_key): links of texts (id, hash) that join those of a similarity of ``least`` or more.
 
     Two texts meet in a bucket if two of their six minima agree: at a similarity of 0.8 with a
-    probability of 0.998. Larger buckets are dealt by a third one of the minima.
+    probability of 0.998. Buckets of more than ``most`` texts are compared by pairs of chunks.
     """
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), utf8(F.col("text")).alias("text"))
     m = [f"m{i}" for i in range(MINIMA)]
@@ -333,9 +352,8 @@ def similar_links(docs: DataFrame, work: Workspace, shingle: int = WIDE_SHINGLE,
     groups = work.put(found.groupBy("fp", *m).agg(F.min("doc_id").alias("rep")), "groups")
     pairs = enumerate(combinations(m, 2))
     keys = F.array(*[F.xxhash64(F.lit(k), i, j) for k, (i, j) in pairs])
-    buckets = work.put(groups.select(F.explode(keys).alias("key"), "fp", "rep", *m), "buckets")
-    third = F.array(*[F.xxhash64("key", F.lit(k), c) for k, c in enumerate(m)])
-    between = _linked(_split_large(buckets, third, most, work), WIDE_BUDGETS)
+    buckets = work.put(groups.select(F.explode(keys).alias("key"), "fp", "rep"), "buckets")
+    between = _linked(_chunked(buckets, most, work), WIDE_BUDGETS)
     within = found.join(groups, ["fp", *m]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = work.put(between.unionByName(within).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
     sketch = lambda c: found.select(F.col("doc_id").alias(c), F.col("text_key").alias(f"{c}_key"), F.col("sketch").alias(f"{c}_sketch"))
