@@ -191,13 +191,14 @@ def _large(buckets: DataFrame, most: int, work: Workspace, name: str) -> DataFra
     return None if found.isEmpty() else found
 
 
-def _dealt(buckets: DataFrame, most: int, work: Workspace) -> DataFrame:
-    """``buckets`` (key, fp, rep) of blocks, large ones dealt by ``_sub_keys``."""
+def _dealt(buckets: DataFrame, sub_keys: Column, most: int, work: Workspace) -> DataFrame:
+    """``buckets`` (key, fp, rep, ...) as (key, fp, rep), large ones dealt by ``sub_keys``."""
     large = _large(buckets, most, work, "large")
+    rows = buckets.select("key", "fp", "rep")
     if large is None:
-        return buckets
-    dealt = buckets.join(large, "key").select(F.explode(_sub_keys(F.col("key"), F.col("fp"))).alias("key"), "fp", "rep")
-    return work.put(buckets.join(large, "key", "left_anti").unionByName(dealt), "dealt")
+        return rows
+    dealt = buckets.join(large, "key").select(F.explode(sub_keys).alias("key"), "fp", "rep")
+    return work.put(rows.join(large, "key", "left_anti").unionByName(dealt), "dealt")
 
 
 def _chunked(buckets: DataFrame, most: int, work: Workspace) -> DataFrame:
@@ -279,7 +280,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     found = work.put(with_fingerprints(docs, shingle), "fingerprints")
     distinct = work.put(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     buckets = work.put(distinct.where("rep is not null").select(F.explode(_block_keys(F.col("fp"))).alias("key"), "fp", "rep"), "buckets")
-    links = _linked(_chunked(_dealt(buckets, most, work), most, work), (budget,))
+    links = _linked(_chunked(_dealt(buckets, _sub_keys(F.col("key"), F.col("fp")), most, work), most, work), (budget,))
     joined = connected_components(links, work)
     members = distinct.join(joined, distinct.rep == joined.node, "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
@@ -343,7 +344,8 @@ def similar_links(docs: DataFrame, work: Workspace, shingle: int = WIDE_SHINGLE,
     """(a, a_key, b, b_key): links of texts (id, hash) that join those of a similarity of ``least`` or more.
 
     Two texts meet in a bucket if two of their six minima agree: at a similarity of 0.8 with a
-    probability of 0.998. Buckets of more than ``most`` texts are compared by pairs of chunks.
+    probability of 0.998. Larger buckets are dealt by a third one of the minima; texts that
+    share many minima stay together.
     """
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), utf8(F.col("text")).alias("text"))
     m = [f"m{i}" for i in range(MINIMA)]
@@ -352,8 +354,9 @@ def similar_links(docs: DataFrame, work: Workspace, shingle: int = WIDE_SHINGLE,
     groups = work.put(found.groupBy("fp", *m).agg(F.min("doc_id").alias("rep")), "groups")
     pairs = enumerate(combinations(m, 2))
     keys = F.array(*[F.xxhash64(F.lit(k), i, j) for k, (i, j) in pairs])
-    buckets = work.put(groups.select(F.explode(keys).alias("key"), "fp", "rep"), "buckets")
-    between = _linked(_chunked(buckets, most, work), WIDE_BUDGETS)
+    buckets = work.put(groups.select(F.explode(keys).alias("key"), "fp", "rep", *m), "buckets")
+    third = F.array(*[F.xxhash64("key", F.lit(k), c) for k, c in enumerate(m)])
+    between = _linked(_dealt(buckets, third, most, work), WIDE_BUDGETS)
     within = found.join(groups, ["fp", *m]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = work.put(between.unionByName(within).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
     sketch = lambda c: found.select(F.col("doc_id").alias(c), F.col("text_key").alias(f"{c}_key"), F.col("sketch").alias(f"{c}_sketch"))
