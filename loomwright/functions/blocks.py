@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.functions.text import is_blank, strip
+from loomwright.functions.text import bound, is_blank, strip
 
 BLOCK = "type string, text string, level int, ordered boolean, items array<string>, headers array<string>, rows array<array<string>>, lang string"
 
 
+#: Outside of an object: its beginning. Inside: a brace, or a whole string (an open one reaches to the end).
+OPENING = re.compile(r"\{")
+INSIDE = re.compile(r'[{}]|"(?:[^"\\]|\\.)*+(?:"|\\?\Z)', re.DOTALL)
+
+
 def objects_in(text: str | None) -> list[str]:
     """The top-level {...} of a text; braces within JSON strings don't count, an open end is dropped."""
-    found, depth, start, in_string, escaped = [], 0, 0, False, False
-    for i, ch in enumerate(text or ""):
-        if depth and in_string:
-            in_string = escaped or ch != '"'
-            escaped = ch == "\\" and not escaped
-        elif depth and ch == '"':
-            in_string = True
-        elif ch == "{":
-            start = start if depth else i
-            depth += 1
-        elif ch == "}" and depth:
-            depth -= 1
-            if not depth:
-                found.append(text[start : i + 1])
+    found, at = [], 0
+    while text and (begin := OPENING.search(text, at)):
+        depth, at = 1, begin.end()
+        while depth:
+            mark = INSIDE.search(text, at)
+            if mark is None:
+                return found
+            at = mark.end()
+            depth += {"{": 1, "}": -1}.get(mark[0], 0)
+        found.append(text[begin.start() : at])
     return found
 
 
@@ -44,8 +47,11 @@ def is_block_line(line: Column) -> Column:
 
 
 def render_block(line: Column) -> Column:
-    """Markdown of one block; null for other text and unknown blocks."""
-    b = F.from_json(F.trim(line), BLOCK)
+    """Markdown of one block; null for other text and unknown blocks. JSON is parsed once a line."""
+    return bound(F.from_json(F.trim(line), BLOCK), _rendered)
+
+
+def _rendered(b: Column) -> Column:
     text = strip(F.coalesce(b["text"], F.lit("")))
     level = F.least(F.greatest(F.coalesce(b["level"], F.lit(2)), F.lit(1)), F.lit(6))
     empty = F.array().cast("array<string>")

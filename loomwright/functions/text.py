@@ -1,4 +1,4 @@
-"""String, tag and Markdown functions, Column to Column, all inside the JVM."""
+"""String, tag and Markdown functions, Column to Column, inside the JVM but for the block tree."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomwright.functions.markdown import strict_document
+
 #: Patterns and replacements that repair machine-written Markdown, in the order they apply
 #: (fixed values: results depend on each one and on the order). None marks the place of the
 #: removal of backslashes outside code fences.
@@ -55,6 +57,10 @@ POLICIES = {
     "QUALITY_CHECK": "REPORT_LIGHT",
     "GENERATE_BODY": "ARTICLE_STRICT",
 }
+#: From a line whose first characters after white space and control characters are three backticks
+#: up to the next one, or to the end. Possessive throughout, so that long parts need no stack.
+FENCE_LINE = r"[\x00-\x20&&[^\n]]*+```"
+FENCED = rf"(?md)^{FENCE_LINE}[^\n]*+(?:\n(?!{FENCE_LINE})[^\n]*+)*+(?:\n{FENCE_LINE}[^\n]*+)?+"
 ESCAPED = r"\\([*#|\->.`])"
 TAG_SPLIT_JOIN, TAG_SPLIT_NORMAL = r"[，,、\s]+", r"[，,、;；\n]"
 
@@ -106,23 +112,10 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def outside_code(text: Column, mend: Callable[[Column], Column]) -> Column:
-    """``mend`` on each line that is not within a code fence; a fence line toggles and stays. Empty
-    lines at the beginning go. Linear in the text: a line looks only at the fences' numbers."""
-    fence = lambda line: F.startswith(java_trim(line), F.lit("```"))
-
-    def mended(lines: Column) -> Column:
-        fences = F.filter(F.transform(lines, lambda line, i: F.when(fence(line), i)), lambda i: i.isNotNull())
-        inside = lambda at, i: F.size(F.filter(at, lambda j: j < i)) % 2 == 1
-        one = lambda at: F.transform(lines, lambda line, i: F.when(F.array_contains(at, i) | inside(at, i), line).otherwise(mend(line)))
-        return bound(fences, lambda at: F.array_join(one(at), "\n"))
-
-    return F.regexp_replace(bound(F.split(text, "\n"), mended), r"^\n+", "")
-
-
 def unescape_outside_code(text: Column) -> Column:
-    """Backslashes before Markdown marks go, except within code fences."""
-    return outside_code(text, lambda line: F.regexp_replace(line, ESCAPED, "$1"))
+    """Backslashes before Markdown marks go, except within code fences (a fence line toggles). Empty
+    lines at the beginning go. Linear: one pattern finds whole fenced parts, which stay, or a mark."""
+    return F.regexp_replace(F.regexp_replace(text, f"({FENCED})|{ESCAPED}", "$1$2"), r"^\n+", "")
 
 
 def without_chat(text: Column) -> Column:
@@ -166,9 +159,10 @@ def normalize_markdown_light(text: Column) -> Column:
 
 
 def normalize_article_strict(text: Column) -> Column:
-    """Light repair, then numbered second-level headings ("## 2.1 ...") become third-level ones.
-    Text is not re-flowed. A heading of that form within a code fence stays."""
-    return outside_code(normalize_markdown_light(text), lambda line: F.regexp_replace(line, r"^##(\s+\d+\.\d+)", "###$1"))
+    """Light repair, then the document's block tree: numbered second-level headings ("2.1 ...") become
+    third-level ones, whatever their form and the quote or list they stand in, and all blocks are
+    written in one form (``functions.markdown``). Backslashes before marks go, but not within fences."""
+    return strict_document(repaired(text))
 
 
 def policy_for_task(task_type: Column, payload: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import blocks as B
 from loomwright.functions import text as X
 from loomwright.plans.registry import query
+from loomwright.session import spread
 
 #: Unicode's white space, and what is cut off like a space, as RE2 classes.
 WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -30,9 +31,13 @@ def _strip(x: str, white: str = WHITE) -> str:
 
 
 def _steps(rows: str, *steps) -> str:
-    """``rows`` (doc_id, x) with x put through each step: a form of x, or what mends its lines outside of code."""
+    """``rows`` (doc_id, x) with x put through each step: a form of x, what mends its lines outside of code
+    (in a tuple), or what makes other rows (in a list)."""
     for step in steps:
-        rows = _mended(rows, step[0]) if isinstance(step, tuple) else f"SELECT doc_id, {step('x')} AS x FROM ({rows})"
+        if isinstance(step, list):
+            rows = step[0](rows)
+        else:
+            rows = _mended(rows, step[0]) if isinstance(step, tuple) else f"SELECT doc_id, {step('x')} AS x FROM ({rows})"
     return rows
 
 
@@ -45,6 +50,18 @@ def _mended(rows: str, mend) -> str:
     return f"SELECT doc_id, ltrim(string_agg({one}, chr(10) ORDER BY i), chr(10)) AS x FROM ({before}) GROUP BY doc_id"
 
 
+def _plain_blocks(rows: str) -> str:
+    """Written form of documents that are nothing but headings with marks in front, lines of stars and paragraphs."""
+    lines = f"SELECT doc_id, unnest(string_split(x, chr(10))) AS raw, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM ({rows})"
+    bare = f"SELECT doc_id, i, trim(raw, ' ' || chr(9)) AS l FROM ({lines})"
+    heads = f"SELECT *, regexp_matches(l, '^#{{1,6}}([ \t]|$)') AS head FROM ({bare}) WHERE l <> ''"
+    title = _sub("l", r"^#{1,6}[ \t]*|[ \t]+#+$")
+    level = f"CASE WHEN regexp_matches(l, '^##[ \t]') AND regexp_matches({title}, '^[0-9]+[.][0-9]+') THEN '###' ELSE regexp_extract(l, '^#+') END"
+    gaps = "CASE WHEN lag(i) OVER w IS NULL THEN '' WHEN i - lag(i) OVER w > 1 OR head OR stars OR lag(head OR stars) OVER w THEN chr(10) || chr(10) ELSE chr(10) END"
+    made = f"SELECT doc_id, i, {gaps} || CASE WHEN head THEN {level} || ' ' || {title} ELSE l END AS l FROM ({heads}) WINDOW w AS (PARTITION BY doc_id ORDER BY i)"
+    return f"SELECT doc_id, string_agg(l, '' ORDER BY i) AS x FROM ({made}) GROUP BY doc_id"
+
+
 UNESCAPE = (lambda line: _sub(line, X.ESCAPED, "$1"),)
 
 
@@ -62,12 +79,13 @@ def _lines(x: str, *marks: str, split: str = "string_split({x}, chr(10))", drop:
 PLAIN = [_without_chat, lambda x: f"array_to_string({_lines(x, X.HEADING_MARK, X.BULLET_MARK, X.NUMBER_MARK, drop=', '.join(repr(h) for h in ('', *X.PLAIN_HEADINGS)))}, chr(10))"]
 FEW_LINES = [_without_chat, lambda x: f"array_to_string({_lines(x, X.BULLET_MARK, X.NUMBER_MARK, X.HEADING_MARK)}[1:5], chr(10))"]
 INLINE = [_without_chat, UNESCAPE, _strip]
-LIGHT = [*[UNESCAPE if rule is None else (lambda x, rule=rule: _sub(x, *rule)) for rule in X.MARKDOWN_REPAIRS], UNESCAPE, _strip]
-STRICT = [*LIGHT, (lambda line: _sub(line, r"^##(\s+\d+\.\d+)", "###$1"),)]
+REPAIRED = [UNESCAPE if rule is None else (lambda x, rule=rule: _sub(x, *rule)) for rule in X.MARKDOWN_REPAIRS]
+LIGHT = [*REPAIRED, UNESCAPE, _strip]
+STRICT = [*REPAIRED, [_plain_blocks], UNESCAPE, UNESCAPE]
 
 
 def _raw(documents: DataFrame, *parts: str | Column) -> DataFrame:
-    return documents.select("doc_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("raw"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("raw"))
 
 
 def _raw_sql(*parts: str) -> str:
@@ -114,7 +132,19 @@ _over_texts("normalize_plain_lines", LISTED, X.normalize_plain_lines, FEW_LINES)
 _over_texts("unescape_outside_code", ESCAPES, X.unescape_outside_code, [UNESCAPE])
 _over_texts("normalize_inline_light", ["下面是结果:\n", *ESCAPES, " "], X.normalize_inline_light, INLINE)
 _over_texts("normalize_markdown_light", GLUED, X.normalize_markdown_light, LIGHT)
-_over_texts("normalize_article_strict", GLUED, X.normalize_article_strict, STRICT)
+
+
+def _between(x: str) -> str:
+    """The given text, as it stands between the repaired forms of FRAMED's parts."""
+    before, after = (len(p.removeprefix("```markdown\n").removesuffix("\n```").replace(" [粗体]", "").replace("javaint", "java\nint").replace("<br/>", "\n")) for p in FRAMED[::2])
+    return f"substr({x}, {before + 1}, length({x}) - {before + after})"
+
+
+#: Headings underlined, in a quote and in a list stand round each text; the twin knows their written form.
+FRAMED = ["```markdown\n> 2.1 q\n> ---\n> a\n\n2.2 s\n---\n", "text", "\n\n- 3.3 d [粗体]\n  ---\n- e<br/>f\n\n```javaint x;\n\\*c\n```\n```"]
+WRITTEN = ["> ### 2.1 q\n> \n> a\n\n### 2.2 s\n\n", "\n\n- ### 3.3 d\n- e\n  f\n\n```java\nint x;\n\\*c\n```"]
+_framed = lambda x: " || ".join(["'" + WRITTEN[0].replace("\n", "' || chr(10) || '") + "'", x, "'" + WRITTEN[1].replace("\n", "' || chr(10) || '") + "'"])
+_over_texts("normalize_article_strict", FRAMED, X.normalize_article_strict, [*REPAIRED, _between, [_plain_blocks], UNESCAPE, UNESCAPE, _framed])
 
 @query("normalize_tags", "article_meta", "SELECT article_id, tags FROM article_meta")
 def _tags(meta):
@@ -141,13 +171,13 @@ BY_POLICY = " UNION ALL ".join(
 def _policy(documents):
     names = F.array(*[F.lit(name).cast("string") for name, _ in POLICIES])
     policy = F.element_at(names, (F.col("doc_id") % len(POLICIES) + 1).cast("int"))
-    return documents.select("doc_id", X.normalize_by_policy(F.concat(F.lit("## "), "text"), policy).alias("text"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", X.normalize_by_policy(F.concat(F.lit("## "), "text"), policy).alias("text"))
 
 
 def _blocks(documents):
     heading = F.to_json(F.struct(F.lit("md_heading").alias("type"), (F.col("doc_id") % 9).cast("int").alias("level"), "text"))
     items = F.to_json(F.struct(F.lit("md_list").alias("type"), (F.col("doc_id") % 2 == 0).alias("ordered"), F.array(F.col("text"), F.lit("{b}")).alias("items")))
-    return documents.select("doc_id", "text", heading.alias("heading"), items.alias("items"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", "text", heading.alias("heading"), items.alias("items"))
 
 
 HEADING = f"repeat('#', least(greatest(CAST(doc_id % 9 AS INT), 1), 6)) || ' ' || {_strip('text')}"

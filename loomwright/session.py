@@ -65,5 +65,12 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if it has fewer: work on each row alone then
+    uses them all. A large table has more partitions and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{os.fspath(folder).rstrip('/')}/{name}.parquet")
