@@ -54,10 +54,10 @@ def _plain_blocks(rows: str) -> str:
     """Written form of documents that are nothing but headings with marks in front, lines of stars and paragraphs."""
     lines = f"SELECT doc_id, unnest(string_split(x, chr(10))) AS raw, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM ({rows})"
     bare = f"SELECT doc_id, i, trim(raw, ' ' || chr(9)) AS l FROM ({lines})"
-    heads = f"SELECT *, regexp_matches(l, '^#{{1,6}}([ \t]|$)') AS head FROM ({bare}) WHERE l <> ''"
+    heads = f"SELECT *, regexp_matches(l, '^#{{1,6}}([ \\t]|$)') AS head, regexp_matches(l, '^#{{1,6}}([ \\t]|$)|^([*][ \\t]*){{3,}}$') AS apart FROM ({bare}) WHERE l <> ''"
     title = _sub("l", r"^#{1,6}[ \t]*|[ \t]+#+$")
     level = f"CASE WHEN regexp_matches(l, '^##[ \t]') AND regexp_matches({title}, '^[0-9]+[.][0-9]+') THEN '###' ELSE regexp_extract(l, '^#+') END"
-    gaps = "CASE WHEN lag(i) OVER w IS NULL THEN '' WHEN i - lag(i) OVER w > 1 OR head OR stars OR lag(head OR stars) OVER w THEN chr(10) || chr(10) ELSE chr(10) END"
+    gaps = "CASE WHEN lag(i) OVER w IS NULL THEN '' WHEN i - lag(i) OVER w > 1 OR apart OR lag(apart) OVER w THEN chr(10) || chr(10) ELSE chr(10) END"
     made = f"SELECT doc_id, i, {gaps} || CASE WHEN head THEN {level} || ' ' || {title} ELSE l END AS l FROM ({heads}) WINDOW w AS (PARTITION BY doc_id ORDER BY i)"
     return f"SELECT doc_id, string_agg(l, '' ORDER BY i) AS x FROM ({made}) GROUP BY doc_id"
 
