@@ -10,8 +10,8 @@ follows), then its entries' doc_ids (i8), states (u1: NO_ID, CONTINUED) and numb
 control bytes and its data. An entry's control bytes begin anew; a document that is too long for a
 block goes on in the next. ``ranks`` (rank, id, n) belongs to the files as their alphabet.
 
-A text is encoded by the ``tokenizers`` library word by word: nothing in the tokenizer's rules
-reaches over ASCII white space, so a word's ids are asked for once and remembered.
+Texts are encoded by the ``tokenizers`` library word by word: nothing in the tokenizer's rules
+reaches over ASCII white space.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -45,12 +47,20 @@ FILE_BYTES = 1 << 30
 SHARD_BYTES = 256 << 20
 #: Shards of a run; their first places are summed up in one task.
 MOST_SHARDS = 8192
-#: Bytes of a text that are split at once; words that a task remembers, and their longest.
-PIECE = 1 << 20
-REMEMBERED, LONGEST = 400_000, 64
+#: Ids that are coded at once, whole documents apart.
+CODED_AT_ONCE = 1 << 19
+#: Bytes of texts that are split at once; units that a task remembers (it forgets all when there are
+#: more), and their longest; units that the library is asked at once.
+PIECE = 8 << 20
+REMEMBERED, LONGEST = 800_000, 64
+ASKED = 4096
 #: Bytes of ids after which a reader hands a batch on.
 BATCH_BYTES = 8 << 20
 SPACE = re.compile(rb"[\x20\t-\r]")
+END = "</w>"
+#: What stands apart from letters in lower-cased Latin-1 words, whose letters and numbers are few enough
+#: to list: endings with an apostrophe, runs of signs, single digits. A pattern of Arrow's library.
+APART = "('s|'t|'re|'ve|'m|'ll|'d|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+|[0-9²³¹¼-¾])"
 #: Sizes of the four ranks of each control byte.
 SIZES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -71,7 +81,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordEncoder:
-    """Ids of UTF-8 texts as the library gives them without added special tokens, as bytes of ``kind``."""
+    """Ids of UTF-8 texts as the library gives them without added special tokens, as bytes of ``kind``.
+
+    A batch's distinct words (between ASCII white space) fall into the tokenizer's own units: runs of
+    letters, single digits, runs of signs. The library is asked for each new unit, many at a time with a
+    space between: each makes just one token that ends a word, which tells where the next begins.
+    Units are remembered. Words beyond Latin-1, or with a special token, are asked whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
@@ -82,29 +98,90 @@ class WordEncoder:
         self.model.no_padding()
         self.vocabulary = self.model.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-
-    def _ask(self, words: list[bytes]) -> list[bytes]:
-        found = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
-
-    def encode(self, text: bytes) -> bytes:
-        parts, at = [], 0
-        while at < len(text):
-            cut = SPACE.search(text, at + PIECE)
-            end = cut.end() if cut else len(text)
-            words = text[at:end].split()
-            new = [w for w in set(words) if w not in self.known]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(set(words))
-            self.known.update(zip(new, self._ask(new)))
-            parts.append(b"".join(map(self.known.__getitem__, words)))
-            for w in new:
-                if len(w) > LONGEST:
-                    del self.known[w]
-            at = end
-        return b"".join(parts)
+        self.ends = np.zeros(self.vocabulary, bool)
+        for token, i in self.model.get_vocab().items():
+            self.ends[i] = token.endswith(END)
+        special = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.odd = "|".join([r"[^\x00-\x{ff}]|[\x{85}\x{a0}]", *special])
+        self.units: dict[str, bytes] = {"": b""}
+
+    def ask(self, words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def ask_units(self, units: list[str]) -> list[bytes]:
+        ids = np.array(self.model.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, self.kind)
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+        if len(cuts) != len(units):
+            return self.ask(units)
+        data, cuts = ids.tobytes(), [0, *cuts.tolist()]
+        return [data[x:y] for x, y in pairwise(cuts)]
+
+    def _of_units(self, units: list[str]) -> list[bytes]:
+        new = [u for u in units if u not in self.units]
+        if len(self.units) + len(new) > REMEMBERED:
+            self.units = {"": b""}
+            new = [u for u in units if u]
+        for at in range(0, len(new), ASKED):
+            self.units.update(zip(new[at : at + ASKED], self.ask_units(new[at : at + ASKED])))
+        found = list(map(self.units.__getitem__, units))
+        for u in new:
+            if len(u) > LONGEST:
+                del self.units[u]
+        return found
+
+    def _of_words(self, words: pa.StringArray) -> pa.BinaryArray:
+        """The ids of distinct words."""
+        odd = np.array(pc.match_substring_regex(words, self.odd))
+        plain, other = np.flatnonzero(~odd), np.flatnonzero(odd)
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(words.take(pa.array(plain))), APART, r" \1 "))
+        units = split.values.dictionary_encode()
+        found = pa.concat_arrays([
+            _joined(pa.array(self._of_units(units.dictionary.to_pylist()), pa.binary()).take(units.indices), split.offsets),
+            pa.array(self.ask(words.take(pa.array(other)).to_pylist()), pa.binary()),
+        ])
+        place = np.empty(len(words), np.int64)
+        place[np.concatenate([plain, other])] = np.arange(len(words))
+        return found.take(pa.array(place))
+
+    def _of_texts(self, texts: list[bytes]) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()))
+        words = split.values.dictionary_encode()
+        found = _joined(self._of_words(words.dictionary).take(words.indices), split.offsets)
+        return found.to_pylist()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. Texts are taken together up to PIECE bytes, longer ones in parts."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush() -> None:
+            for (i, _), ids in zip(held, self._of_texts([part for _, part in held])):
+                out[i].append(ids)
+            held.clear()
+
+        for i, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                cut = SPACE.search(text, at + PIECE)
+                end = cut.end() if cut else len(text)
+                held.append((i, text[at:end]))
+                size += end - at
+                if size >= PIECE:
+                    flush()
+                    size = 0
+                at = end
+        if held:
+            flush()
+        return [b"".join(x) for x in out]
+
+
+def _joined(parts: pa.BinaryArray, offsets: pa.Array) -> pa.BinaryArray:
+    """Neighbouring parts as one value: value i has the parts from offsets[i] on, before offsets[i + 1]."""
+    if not len(parts):
+        return pa.array([b""] * (len(offsets) - 1), pa.binary())
+    places = np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1, 4 * parts.offset)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(places[np.array(offsets)].tobytes()), parts.buffers()[2]])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -123,7 +200,7 @@ def encoded(docs: DataFrame, path: str, closing: int) -> DataFrame:
         model, number = _encoder(path), TaskContext.get().partitionId() << 40
         end = np.array([closing], model.kind).tobytes()
         for batch in batches:
-            ids = [model.encode(x) + end for x in batch.column(1).to_pylist()]
+            ids = [x + end for x in model.encode(batch.column(1).to_pylist())]
             n = len(ids)
             cols = [
                 batch.column(0), pa.array(range(number, number + n), pa.int64()), pa.array([len(x) // model.kind.itemsize for x in ids], pa.int64()),
@@ -135,14 +212,20 @@ def encoded(docs: DataFrame, path: str, closing: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8(F.col("text")).alias("text")).mapInArrow(run, ENCODED)
 
 
+def _ids(column: pa.Array, kind: str) -> np.ndarray:
+    """All ids of a binary column, one row after the other."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    first, last = (int(offsets[0]), int(offsets[-1])) if len(column) else (0, 0)
+    return np.frombuffer(column.buffers()[2], np.uint8, last - first, first).view(kind) if last > first else np.zeros(0, kind)
+
+
 def frequency_ranks(rows: DataFrame, kind: str, vocabulary: int) -> DataFrame:
     """(rank, id, n) of every id of the vocabulary in all ``rows`` (ids), the most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                seen += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=vocabulary)
+            seen += np.bincount(_ids(batch.column(0), kind), minlength=vocabulary)
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(seen[found], pa.int64())], ["id", "n"])
 
@@ -152,16 +235,21 @@ def frequency_ranks(rows: DataFrame, kind: str, vocabulary: int) -> DataFrame:
     return whole.select((F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).cast("bigint").alias("rank"), "id", "n")
 
 
-def code(ranks: np.ndarray) -> bytes:
-    """Control bytes, then data bytes, of one run of ranks."""
+def code(ranks: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """(control bytes, data bytes) of each of the runs that ``ranks`` holds one after the other, by their ``counts``."""
     ranks = ranks.astype("<u4")
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    two = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    two[: len(ranks)] = size - 1
+    quads = -(-counts // 4)
+    control_at, data_at = np.concatenate([[0], np.cumsum(quads)]), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    first = np.concatenate([[0], np.cumsum(counts)])
+    two = np.zeros(4 * int(control_at[-1]), np.uint8)
+    two[np.arange(len(ranks)) + np.repeat(4 * control_at[:-1] - first[:-1], counts)] = size - 1
     two = two.reshape(-1, 4)
-    control = two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.astype(np.uint8).tobytes() + data.tobytes()
+    control = (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).astype(np.uint8).tobytes()
+    width = int(size.max()) if len(size) else 1
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width) < size[:, None]].tobytes()
+    at = data_at[first].tolist()
+    return [(control[a:b], data[x:y]) for (a, b), (x, y) in zip(pairwise(control_at.tolist()), pairwise(at))]
 
 
 def decode(counts: np.ndarray, control: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -186,11 +274,18 @@ def _coded(kind: str, rank_of: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ids in batch.column(4):
-                ranks = rank_of[np.frombuffer(ids.as_buffer(), kind)]
-                runs = [code(ranks[at : at + BLOCK_IDS]) for at in range(0, len(ranks), BLOCK_IDS)]
-                out.append(b"".join(x for r in runs for x in (len(r).to_bytes(4, "little"), r)))
+            tokens = np.array(batch.column(2))
+            upto = np.concatenate([[0], np.cumsum(tokens)])
+            ids, out, row = _ids(batch.column(4), kind), [], 0
+            while row < len(tokens):  # rows of some CODED_AT_ONCE ids together
+                end = max(row + 1, int(np.searchsorted(upto, upto[row] + CODED_AT_ONCE, "right")) - 1)
+                runs = -(-tokens[row:end] // BLOCK_IDS)
+                counts = np.full(int(runs.sum()), BLOCK_IDS)
+                counts[np.cumsum(runs) - 1] = tokens[row:end] - (runs - 1) * BLOCK_IDS
+                made = iter(code(rank_of[ids[upto[row] : upto[end]]], counts))
+                for n in runs.tolist():
+                    out.append(b"".join(x for _ in range(n) for c, d in (next(made),) for x in ((len(c) + len(d)).to_bytes(4, "little"), c, d)))
+                row = end
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], _names(CODED))
 
     return run

@@ -60,19 +60,37 @@ def test_files_in_pieces(spark):
     assert [r["start"] for r in got] == list(np.cumsum([0] + [r["n_tokens"] for r in got])[:-1]) and len(got) == 300
 
 
+def test_words_as_the_library_has_them(monkeypatch):
+    """Words of all kinds, alone and in texts, also when the encoder forgets."""
+    import pyarrow.parquet as pq
+
+    model, encode = token_files.WordEncoder(token_files.tokenizer_path()), library(token_files.tokenizer_path())
+    rng = random.Random(6)
+    points = [*range(33, 127), *range(0xA1, 0x100), *range(0x100, 0x180), 0x301, 0x4E00]
+    texts = ["".join(map(chr, rng.choices(points[: rng.choice([94, 189, 400])], k=rng.randint(1, 12)))) for _ in range(3000)]
+    texts += ["it's''S 'tis x'LL", "a<|endoftext|>b", "µªº ß ÀÖØ ÿŸ", "1²3¼", "x\x85y\xa0z", "\x1c\x1d a\x1fb", "<| |>", "'", "''s", "é" * 100 + "9" * 200, *ODD]
+    texts += pq.read_table(f"{DATA}/sf0.001/documents.parquet").column("text").to_pylist()
+    want = [np.array(encode(t), model.kind).tobytes() for t in texts]
+    data = [t.encode() for t in texts]
+    assert model.encode(data) == want
+    monkeypatch.setattr(token_files, "PIECE", 100)
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+    assert model.encode(data) == want and model.encode([]) == [] and model.encode([b""]) == [b""]
+    assert model.ask_units(["a", "", "b"]) == [*model.ask(["a"]), b"", *model.ask(["b"])]  # not one token end each
+
+
 def test_coding():
     rng = np.random.default_rng(1)
     runs = [rng.integers(0, 1 << rng.integers(1, 33), n, dtype=np.int64).astype(np.uint32) for n in (1, 2, 3, 4, 5, 77, 1000)]
-    parts = [token_files.code(r) for r in runs]
-    cuts = [-(-len(r) // 4) for r in runs]
-    control = np.frombuffer(b"".join(p[:c] for p, c in zip(parts, cuts)), np.uint8)
-    data = np.frombuffer(b"".join(p[c:] for p, c in zip(parts, cuts)), np.uint8)
+    parts = token_files.code(np.concatenate(runs), np.array([len(r) for r in runs]))
+    assert parts == [x for r in runs for x in token_files.code(r, np.array([len(r)]))]
+    control, data = (np.frombuffer(b"".join(p[k] for p in parts), np.uint8) for k in (0, 1))
     assert (token_files.decode(np.array([len(r) for r in runs]), control, data) == np.concatenate(runs)).all()
 
 
 def test_damaged_file(tmp_path):
     block = token_files.Block()
-    block.add(5, 0, 3, token_files.code(np.array([1, 300, 70_000])))
+    block.add(5, 0, 3, b"".join(*token_files.code(np.array([1, 300, 70_000]), np.array([3]))))
     good = token_files.MAGIC + block.packed()
     for bad in (good[:-1], good[:-1] + bytes([good[-1] ^ 1]), b"????" + good[4:]):
         (tmp_path / "x").write_bytes(bad)
