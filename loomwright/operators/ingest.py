@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwright.functions.windows import numbered
-from loomwright.operators.retrieval import active, vector_topk_blocked
+from loomwright.operators.retrieval import TINY, active, vector_topk_blocked
+from loomwright.session import Workspace
 
 MEMORY_TYPES = ("fact", "preference", "knowledge", "event")
 LONGEST = 500
@@ -93,43 +96,109 @@ def update_target(candidates: DataFrame, memories: DataFrame, above: float = SAM
     return candidates.select("candidate_id").join(near, "candidate_id", "left")
 
 
-def plan_merge(candidates: DataFrame, memories: DataFrame) -> DataFrame:
-    """New candidates with their action: UPDATE of a target (of several, the last candidate's wins) or ADD."""
-    fresh = new_by_hash(candidates, memories)
-    planned = fresh.join(update_target(fresh, memories), "candidate_id")
-    last = F.max("candidate_id").over(W.partitionBy("target_id"))
-    planned = planned.withColumn("__last", F.when(F.col("target_id").isNotNull(), last).otherwise(F.col("candidate_id")))
-    return planned.withColumn("action", F.when(F.col("target_id").isNull(), "ADD").otherwise("UPDATE")).withColumn(
-        "applied", F.col("__last") == F.col("candidate_id")
-    ).drop("__last")
+PLANNED = "candidate_id bigint, target_id bigint"
 
 
-def merge_memories(candidates: DataFrame, memories: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
-    """(store after the merge, history rows). New memories take their candidate's id."""
-    plan = plan_merge(candidates, memories)
-    at = F.lit(as_of).cast("timestamp")
+def _in_order(above: float):
+    """Decides a session's candidates one after the other: each goes to the nearest memory as the earlier
+    ones have left it. ``near`` has the untouched memories above the limit, the best first."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("candidate_id")
+        now: dict[int, np.ndarray] = {}  # unit vectors of the memories that this session has changed
+        targets = []
+        for vector, near in zip(rows["embedding"], rows["near"]):
+            if vector is None or not len(vector):
+                targets.append(None)
+                continue
+            unit = np.asarray(vector, np.float64)
+            unit = unit / (np.sqrt((unit * unit).sum()) + TINY)
+            found = next(((x["score"], x["memory_id"]) for x in near if x["memory_id"] not in now), None) if near is not None else None
+            changed = [(round(float(unit @ v), 12), m) for m, v in now.items() if len(v) == len(unit)]
+            best = max([*changed, *([found] if found else [])], key=lambda x: (x[0], -x[1]), default=(0.0, None))
+            targets.append(best[1] if best[0] > above else None)
+            if targets[-1] is not None:
+                now[targets[-1]] = unit
+        return pd.DataFrame({"candidate_id": rows["candidate_id"], "target_id": pd.array(targets, "Int64")})
+
+    return run
+
+
+def plan_session(candidates: DataFrame, memories: DataFrame, work: Workspace, most: int, above: float = SAME_ABOVE) -> DataFrame:
+    """New candidates of one session of each user with ``target_id``, the memory they update (null: they are
+    added), and ``old_content``: what the memory held before, be it from an earlier candidate.
+
+    A session is one response of a model, so its candidates fit into one task; the memories do not
+    come there: a candidate's near ones are found in blocks, and as many are kept as the longest session
+    has candidates (``most``), since no more can have been changed before it.
+    """
+    fresh = work.put(new_by_hash(candidates, memories), f"fresh-{uuid4().hex}")  # small, and read four times
+    asked = fresh.where(F.size(F.coalesce("embedding", F.array().cast("array<float>"))) > 0)
+    found = vector_topk_blocked(asked.select(F.col("candidate_id").alias("query_id"), "user_id", "embedding"), memories, most).where(F.col("score") > above)
+    best_first = F.array_sort(
+        F.collect_list(F.struct("memory_id", "score")), lambda a, b: F.when(a.score > b.score, -1).when(a.score < b.score, 1).otherwise(F.when(a.memory_id < b.memory_id, -1).otherwise(1))
+    )
+    near = found.groupBy(F.col("query_id").alias("candidate_id")).agg(best_first.alias("near"))
+    decided = fresh.join(near, "candidate_id", "left").select("user_id", "candidate_id", "embedding", "near").groupBy("user_id").applyInPandas(_in_order(above), PLANNED)
+    chain = W.partitionBy("target_id").orderBy("candidate_id")
+    before = memories.select(F.col("id").alias("target_id"), F.col("content").alias("__stored"))
+    planned = fresh.join(decided, "candidate_id").join(before, "target_id", "left")
+    last = F.lead("candidate_id").over(chain).isNull()
+    return planned.withColumns({
+        "old_content": F.when(F.col("target_id").isNotNull(), F.coalesce(F.lag("content").over(chain), "__stored")),
+        "action": F.when(F.col("target_id").isNull(), "ADD").otherwise("UPDATE"),
+        "applied": F.col("target_id").isNull() | last,
+    }).drop("__stored")
+
+
+def _applied(plan: DataFrame, memories: DataFrame, as_of: str) -> DataFrame:
+    """The memories that a plan changes or adds, as they are afterwards."""
     change = plan.where("action = 'UPDATE' AND applied").select(
         F.col("target_id").alias("id"), F.col("content").alias("__c"), F.col("content_hash").alias("__h"), F.col("embedding").alias("__e")
     )
-    changed = F.col("__h").isNotNull()
-    kept = memories.join(change, "id", "left").withColumns(
-        {
-            "content": F.when(changed, F.col("__c")).otherwise(F.col("content")),
-            "content_hash": F.when(changed, F.col("__h")).otherwise(F.col("content_hash")),
-            "embedding": F.when(changed, F.col("__e")).otherwise(F.col("embedding")),
-        }
-    ).select(*memories.columns)
+    changed = memories.join(change, "id").withColumns({"content": F.col("__c"), "content_hash": F.col("__h"), "embedding": F.col("__e")})
+    vector = F.coalesce("embedding", F.array().cast(memories.schema["embedding"].dataType))
     filled = {
         "id": F.col("candidate_id"), "importance": F.lit(NEW_IMPORTANCE), "access_count": F.lit(0), "last_accessed_at": F.lit(None).cast("timestamp"),
-        "create_time": at, "is_deleted": F.lit(0), "vector_status": F.lit("SYNCED"), "retry_count": F.lit(0),
-    }
-    added = plan.where("action = 'ADD'").withColumns(filled).select(*memories.columns)
-    old = memories.select(F.col("id").alias("target_id"), F.col("content").alias("old_content"))
-    history = plan.join(old, "target_id", "left").select(
-        F.coalesce("target_id", "candidate_id").alias("memory_id"), "session_id", "old_content",
-        F.col("content").alias("new_content"), F.col("action").alias("event"),
-    )
-    return kept.unionByName(added), history
+        "create_time": F.lit(as_of).cast("timestamp"), "is_deleted": F.lit(0), "embedding": vector,
+        "vector_status": F.when(F.size(vector) > 0, "SYNCED").otherwise("PENDING"), "retry_count": F.lit(0),
+    }
+    added = plan.where("action = 'ADD'").withColumns(filled)
+    return changed.select(*memories.columns).unionByName(added.select(*memories.columns))
+
+
+def merge_memories(candidates: DataFrame, memories: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """(store after the merge, history rows). New memories take their candidate's id.
+
+    A user's sessions follow each other, in the order of their first candidates: each meets the store as
+    the ones before it have left it. Round n takes the n-th session of every user that has so many, and
+    reads these users' memories only. What has changed is kept apart until the end; the store is
+    written never and joined once. Memories without a vector stay PENDING.
+    """
+    work = Workspace(memories.sparkSession, "merge")
+    session = W.partitionBy("user_id", "session_id")
+    ranked = candidates.withColumns({"first": F.min("candidate_id").over(session), "many": F.count(F.lit(1)).over(session)})
+    ranked = work.put(ranked.withColumn("turn", F.dense_rank().over(W.partitionBy("user_id").orderBy("first"))), "candidates")
+    rounds, most = ranked.agg(F.coalesce(F.max("turn"), F.lit(0)), F.max("many")).first()
+    delta, history = None, []
+    keep = lambda rows, other: rows.join(other.select("id"), "id", "left_anti").select(*memories.columns)
+    for n in range(1, rounds + 1):
+        some = ranked.where(F.col("turn") == n).drop("first", "many", "turn")
+        users = some.select("user_id").distinct()
+        of_users = lambda rows: rows.join(users, "user_id", "left_semi").select(*memories.columns)  # noqa: B023, E731
+        mine = of_users(memories) if delta is None else keep(of_users(memories), delta).unionByName(of_users(delta))
+        plan = work.put(plan_session(some, mine, work, most), f"plan-{n}")
+        now = _applied(plan, mine, as_of)
+        if n < rounds:
+            now = work.put(now, f"changed-{n}")
+            delta = now if delta is None else work.put(keep(delta, now).unionByName(now), f"delta-{n}")
+        else:
+            delta = now if delta is None else keep(delta, now).unionByName(now)
+        history.append(plan.select(
+            F.coalesce("target_id", "candidate_id").alias("memory_id"), "session_id", "old_content", F.col("content").alias("new_content"), F.col("action").alias("event")
+        ))
+    none = memories.sparkSession.createDataFrame([], f"memory_id bigint, session_id {dict(candidates.dtypes)['session_id']}, old_content string, new_content string, event string")
+    return memories if delta is None else keep(memories, delta).unionByName(delta), reduce(DataFrame.unionByName, history, none)
 
 
 def delete_memories(memories: DataFrame, ids: DataFrame) -> DataFrame:

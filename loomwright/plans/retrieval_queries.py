@@ -189,17 +189,31 @@ query("new_by_hash", "memory_candidate memory_record", f"SELECT candidate_id, us
     lambda c, m: I.new_by_hash(c, m).select("candidate_id", "user_id", "content_hash")
 )
 query("update_target", "memory_candidate memory_record", f"SELECT candidate_id, target_id FROM ({TARGETS})")(lambda c, m: I.update_target(I.new_by_hash(c, m), m))
-query("merge_memories", "memory_candidate memory_record", f"""
-    WITH t AS ({TARGETS}), u AS (SELECT target_id, max(candidate_id) AS candidate_id FROM t WHERE target_id IS NOT NULL GROUP BY 1)
-    SELECT m.id, coalesce(t.content, m.content) AS content, coalesce(t.content_hash, m.content_hash) AS content_hash, round(m.importance, 6) AS importance
-    FROM memory_record m LEFT JOIN u ON u.target_id = m.id LEFT JOIN t ON t.candidate_id = u.candidate_id
-    UNION ALL SELECT candidate_id, content, content_hash, 0.5 FROM t WHERE target_id IS NULL""")(
-    lambda c, m: rounded(I.merge_memories(c, m, AS_OF)[0].select("id", "content", "content_hash", "importance"), "importance")
+
+
+def _session(n: int, store: str) -> str:
+    """Parts of a WITH that take session ``n`` to the memories in ``store``: f (new by hash), t (with targets), s (store after it).
+    No two vectors of a session are near each other here, so its candidates don't meet."""
+    return f"""
+        f{n} AS (SELECT c.*, md5(c.content) AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY user_id, md5(content) ORDER BY candidate_id) AS n
+                 FROM memory_candidate WHERE session_id = {n}) c WHERE c.n = 1 AND NOT EXISTS (SELECT 1 FROM {store} m WHERE m.user_id = c.user_id AND m.content_hash = md5(c.content))),
+        t{n} AS (SELECT c.candidate_id, c.user_id, c.content, c.content_hash, c.embedding, t.id AS target_id, t.content AS old_content FROM f{n} c LEFT JOIN (
+                 SELECT candidate_id, id, content FROM (SELECT c.candidate_id, m.id, m.content, {cosine('c.embedding', 'm.embedding')} AS score,
+                        row_number() OVER (PARTITION BY c.candidate_id ORDER BY {cosine('c.embedding', 'm.embedding')} DESC NULLS LAST, m.id) AS place
+                 FROM f{n} c JOIN {store} m ON m.user_id = c.user_id WHERE m.is_deleted = 0 AND m.embedding IS NOT NULL) WHERE place = 1 AND score > 0.9) t ON t.candidate_id = c.candidate_id),
+        s{n} AS (SELECT m.id, m.user_id, coalesce(t.content, m.content) AS content, coalesce(t.content_hash, m.content_hash) AS content_hash, m.importance, m.is_deleted, m.vector_status,
+                        coalesce(t.embedding, m.embedding) AS embedding FROM {store} m LEFT JOIN t{n} t ON t.target_id = m.id
+                 UNION ALL SELECT candidate_id, user_id, content, content_hash, 0.5, 0, CASE WHEN embedding IS NULL THEN 'PENDING' ELSE 'SYNCED' END, embedding FROM t{n} WHERE target_id IS NULL)"""
+
+
+#: Session 1 has the smaller candidate ids, so it comes first.
+SESSIONS = f"WITH {_session(1, 'memory_record')}, {_session(0, 's1')}"
+query("merge_memories", "memory_candidate memory_record", f"{SESSIONS} SELECT id, content, content_hash, round(importance, 6) AS importance, vector_status FROM s0")(
+    lambda c, m: rounded(I.merge_memories(c, m, AS_OF)[0].select("id", "content", "content_hash", "importance", "vector_status"), "importance")
 )
-query("memory_history", "memory_candidate memory_record", f"""
-    SELECT coalesce(t.target_id, t.candidate_id) AS memory_id, m.content AS old_content, t.content AS new_content,
-           CASE WHEN t.target_id IS NULL THEN 'ADD' ELSE 'UPDATE' END AS event FROM ({TARGETS}) t LEFT JOIN memory_record m ON m.id = t.target_id""")(
-    lambda c, m: I.merge_memories(c, m, AS_OF)[1].drop("session_id")
+EVENT = "SELECT coalesce(target_id, candidate_id) AS memory_id, {n} AS session_id, old_content, content AS new_content, CASE WHEN target_id IS NULL THEN 'ADD' ELSE 'UPDATE' END AS event FROM t{n}"
+query("memory_history", "memory_candidate memory_record", f"{SESSIONS} {EVENT.format(n=1)} UNION ALL {EVENT.format(n=0)}")(
+    lambda c, m: I.merge_memories(c, m, AS_OF)[1]
 )
 query("delete_memories", "memory_record", """
     SELECT id, CASE WHEN id % 6 = 0 THEN 1 ELSE is_deleted END AS is_deleted, CASE WHEN id % 6 = 0 THEN 0 ELSE len(embedding) END AS dims FROM memory_record""")(

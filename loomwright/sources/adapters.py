@@ -95,7 +95,12 @@ VIEWS: dict[str, str] = {
     "memory_candidate": """
         SELECT vec_id + 900000 AS candidate_id, CAST(label AS BIGINT) AS user_id,
                CASE WHEN vec_id % 5 = 0 THEN text ELSE text || ' more' END AS content,
-               'fact' AS type, vec_id % 7 AS session_id, embedding
+               'fact' AS type, 1 AS session_id, CASE WHEN vec_id % 38 > 0 THEN embedding END AS embedding
+        FROM {embeddings} JOIN {documents} ON vec_id = doc_id
+        UNION ALL
+        SELECT vec_id + 1900000 AS candidate_id, CAST(label AS BIGINT) AS user_id,
+               CASE WHEN vec_id % 5 < 2 THEN text || ' more' ELSE text || ' again' END AS content,
+               'fact' AS type, 0 AS session_id, embedding
         FROM {embeddings} JOIN {documents} ON vec_id = doc_id""",
     "chat_message": """
         SELECT conv_id * 100 + turn AS id, conv_id % 50 AS user_id, conv_id AS session_id, conv_id % 5 AS agent_id,
