@@ -137,20 +137,35 @@ def _consume(tasks):
 
 
 PHASE = "CASE author WHEN 'analyst' THEN 'analyzing' WHEN 'generator' THEN 'generating' WHEN 'reviewer' THEN 'reviewing' ELSE 'thinking' END"
-query("task_phases", "task_chunk", f"""
-    SELECT task_id, seq, phase FROM (SELECT *, lag(phase) OVER (PARTITION BY task_id ORDER BY seq) AS before FROM (
-        SELECT *, {PHASE} AS phase FROM task_chunk WHERE type <> 'tool' AND trim(content) <> '')) WHERE before IS DISTINCT FROM phase""")(J.task_phases)
-query("assemble_task_stream", "task_chunk", """
-    SELECT task_id, coalesce(string_agg(content, '' ORDER BY seq) FILTER (type = 'text' AND author <> 'analyst' AND trim(content) <> ''), '') AS text,
-           'open' AS state FROM task_chunk GROUP BY task_id""")(J.assemble_task_stream)
-query("reassemble_lines", "task_chunk", """
+#: A task's chunks up to and with the one that ends it, and its runs of text of one phase.
+UP_TO_END = """c AS (SELECT * FROM (SELECT *, coalesce(sum(CASE WHEN type IN ('done', 'error') THEN 1 ELSE 0 END) OVER (
+        PARTITION BY task_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM task_chunk) WHERE ended = 0)"""
+RUNS = f"""{UP_TO_END},
+    p AS (SELECT *, {PHASE} AS phase FROM c WHERE type = 'text' AND trim(content) <> ''),
+    l AS (SELECT *, lag(phase) OVER (PARTITION BY task_id ORDER BY seq) AS before FROM p),
+    r AS (SELECT *, sum(CASE WHEN before IS DISTINCT FROM phase THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY seq) AS number FROM l)"""
+query("task_phases", "task_chunk", f"WITH {RUNS} SELECT task_id, seq, phase FROM r WHERE before IS DISTINCT FROM phase")(J.task_phases)
+query("phase_texts", "task_chunk", f"""WITH {RUNS}
+    SELECT task_id, CAST(number AS BIGINT) AS number, min(phase) AS phase, min(seq) AS first_seq, string_agg(content, '' ORDER BY seq) AS text FROM r GROUP BY task_id, number""")(J.phase_texts)
+query("assemble_task_stream", "task_chunk", f"""WITH {UP_TO_END}
+    SELECT task_id, coalesce(arg_max(content, seq) FILTER (type = 'result' AND trim(content) <> ''),
+                             string_agg(content, '' ORDER BY seq) FILTER (type = 'text' AND author <> 'analyst' AND trim(content) <> ''), '') AS text,
+           CASE WHEN count(*) FILTER (type = 'error') > 0 THEN 'error' WHEN count(*) FILTER (type = 'done') > 0 THEN 'done' ELSE 'open' END AS state
+    FROM c GROUP BY task_id""")(J.assemble_task_stream)
+query("reassemble_lines", "task_chunk", f"""WITH {UP_TO_END}
     SELECT task_id, author, CAST(pos - 1 AS INT) AS pos, line, CAST(NULL AS VARCHAR) AS type FROM (
         SELECT task_id, author, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM (
-            SELECT task_id, author, string_agg(content, '' ORDER BY seq) AS text FROM task_chunk GROUP BY 1, 2)) WHERE trim(line) <> ''""")(J.reassemble_lines)
+            SELECT task_id, author, string_agg(content, '' ORDER BY seq) AS text FROM c GROUP BY 1, 2)) WHERE trim(line) <> ''""")(J.reassemble_lines)
+#: Every third task is asked from the start, by a last id that is no id; the ids go from -5 to -12.
 query("resume_stream", "task_chunk", """
-    SELECT task_id, seq, place FROM (SELECT task_id, seq, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS place FROM task_chunk
-        WHERE task_id % 2 = 0 OR seq > 1) WHERE place <= 3""")(
-    lambda c: J.resume_stream(c, c.select("task_id", F.when(F.col("task_id") % 2 == 1, F.lit(1)).alias("last_seq")).distinct(), 3).select("task_id", "seq", "place")
+    WITH a AS (SELECT *, CAST(string_split(stream_id, '-')[2] AS BIGINT) AS n FROM task_chunk),
+    f AS (SELECT * FROM a WHERE task_id % 3 = 0 OR n > 7),
+    p AS (SELECT *, row_number() OVER w AS place, coalesce(sum(CASE WHEN type IN ('done', 'error') THEN 1 ELSE 0 END) OVER (
+              PARTITION BY task_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM f WINDOW w AS (PARTITION BY task_id ORDER BY n))
+    SELECT task_id, stream_id, type, place FROM p WHERE ended = 0 AND place <= 6""")(
+    lambda c: J.resume_stream(
+        c, c.select("task_id", F.when(F.col("task_id") % 3 == 0, F.lit("from the start")).otherwise("1700000000000-7").alias("last_id")).distinct(), 6
+    ).select("task_id", "stream_id", "type", "place")
 )
 query("stale_sessions", "interaction", """
     SELECT article_id AS task_id, max(ts) AS last_beat, count(*) AS beats FROM (

@@ -127,9 +127,10 @@ VIEWS: dict[str, str] = {
                CASE WHEN o_orderkey % 5 = 2 THEN 'p1' END AS publisher_id
         FROM {orders}""",
     "task_chunk": """
-        SELECT conv_id AS task_id, turn AS seq,
-               CASE turn % 4 WHEN 0 THEN 'analyst' WHEN 1 THEN 'generator' WHEN 2 THEN 'reviewer' ELSE 'other' END AS author,
-               CASE WHEN conv_id % 9 = 0 AND turn > 2 THEN 'tool' ELSE 'text' END AS type,
+        SELECT conv_id AS task_id, turn AS seq, '1700000000000-' || CAST(turn + 5 AS VARCHAR(20)) AS stream_id,
+               CASE WHEN turn < 2 THEN 'analyst' WHEN turn < 4 THEN 'generator' WHEN turn = 4 THEN 'reviewer' ELSE 'other' END AS author,
+               CASE WHEN turn = 6 AND conv_id % 4 = 1 THEN 'result' WHEN turn = 6 AND conv_id % 4 = 2 THEN 'done'
+                    WHEN turn = 5 AND conv_id % 4 = 3 THEN 'error' WHEN conv_id % 9 = 0 AND turn > 2 THEN 'tool' ELSE 'text' END AS type,
                CASE WHEN turn % 5 = 4 THEN '  ' ELSE text END AS content,
                CAST('1998-08-01 00:00:00' AS TIMESTAMP) + INTERVAL 1 MINUTE * (conv_id % 100) + INTERVAL 1 SECOND * turn AS ts
         FROM {conversations}""",

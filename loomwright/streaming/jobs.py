@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,20 +100,42 @@ def phase_of(author: Column) -> Column:
     return out
 
 
+ENDS = ("done", "error")
+
+
+def before_end(chunks: DataFrame) -> DataFrame:
+    """A task's chunks up to and with the first that ends it (done or error)."""
+    earlier = W.partitionBy("task_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    ended = F.coalesce(F.sum(F.when(F.col("type").isin(*ENDS), 1).otherwise(0)).over(earlier), F.lit(0))
+    return chunks.withColumn("__ended", ended).where("__ended = 0").drop("__ended")
+
+
+def _said() -> Column:
+    return F.length(F.trim(F.coalesce("content", F.lit("")))) > 0
+
+
 def task_phases(chunks: DataFrame) -> DataFrame:
     """(task_id, seq, phase) where a task's phase changes; tool calls and blanks don't count."""
-    live = chunks.where("type <> 'tool'").where(F.length(F.trim(F.coalesce("content", F.lit("")))) > 0).withColumn("phase", phase_of(F.col("author")))
-    before = F.lag("phase").over(W.partitionBy("task_id").orderBy("seq"))
-    return live.withColumn("before", before).where(~F.col("phase").eqNullSafe(F.col("before"))).select("task_id", "seq", "phase")
+    return phase_texts(chunks).select("task_id", F.col("first_seq").alias("seq"), "phase")
+
+
+def phase_texts(chunks: DataFrame) -> DataFrame:
+    """(task_id, number, phase, first_seq, text): runs of text chunks of one phase, up to the task's end.
+    Each begins with a change of phase, which is when a status is sent."""
+    live = before_end(chunks).where((F.col("type") == "text") & _said()).withColumn("phase", phase_of(F.col("author")))
+    order = W.partitionBy("task_id").orderBy("seq")
+    change = F.when(F.col("phase").eqNullSafe(F.lag("phase").over(order)), 0).otherwise(1)
+    runs = live.withColumn("change", change).withColumn("number", F.sum("change").over(order))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda p: p["content"]), "")
+    return runs.groupBy("task_id", "number").agg(F.min("phase").alias("phase"), F.min("seq").alias("first_seq"), text.alias("text"))
 
 
 def assemble_task_stream(chunks: DataFrame) -> DataFrame:
-    """(task_id, text, state): the chunks of a task in order, without blanks, tool calls and the
-    analyst's; a final result (type ``result``) replaces them. State done, error or open."""
-    said = F.length(F.trim(F.coalesce("content", F.lit("")))) > 0
-    part = F.when(said & (F.col("type") == "text") & (F.col("author") != "analyst"), F.struct("seq", "content"))
-    final = F.when(said & (F.col("type") == "result"), F.struct("seq", "content"))
-    rows = chunks.groupBy("task_id").agg(
+    """(task_id, text, state): the chunks of a task in order up to its end, without blanks, tool calls and
+    the analyst's; a final result (type ``result``) replaces them. State done, error or open."""
+    part = F.when(_said() & (F.col("type") == "text") & (F.col("author") != "analyst"), F.struct("seq", "content"))
+    final = F.when(_said() & (F.col("type") == "result"), F.struct("seq", "content"))
+    rows = before_end(chunks).groupBy("task_id").agg(
         F.sort_array(F.collect_list(part)).alias("parts"),
         F.max(final)["content"].alias("final"),
         F.max(F.when(F.col("type") == "error", 2).when(F.col("type") == "done", 1).otherwise(0)).alias("end"),
@@ -121,49 +144,129 @@ def assemble_task_stream(chunks: DataFrame) -> DataFrame:
     return rows.select("task_id", text.alias("text"), F.element_at(F.array(F.lit("open"), F.lit("done"), F.lit("error")), F.col("end") + 1).alias("state"))
 
 
-def assemble_stream(chunks: DataFrame, idle_ms: int = 1_800_000, lateness: str = "10 minutes") -> DataFrame:
-    """The same on a stream with event time ``ts``: a row when a task ends (done, error), or with state
-    open once the watermark is ``idle_ms`` past its last chunk."""
+def _by_task(chunks: DataFrame, out: str, begin: Callable, take: Callable, flush: Callable, idle_ms: int, lateness: str) -> DataFrame:
+    """Rows of ``out`` of a stream of chunks with event time ``ts``, by a state for each task.
+
+    ``take(state, chunk)`` and, when the task ends, ``flush(state, end)`` give rows without their task_id;
+    end is done, error, or open once the watermark is ``idle_ms`` past the last chunk. What comes
+    after the end is left out as long as the task is remembered, for ``idle_ms``.
+    """
+    names = [x.split()[0] for x in out.split(", ")]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, final, end = state.get if state.exists else ("", None, 0)
-        if not state.hasTimedOut:
-            batch = pd.concat(list(parts)).sort_values("seq")
-            for row in batch.itertuples():
-                said = bool(row.content and row.content.strip())
-                if row.type == "text" and said and row.author != "analyst":
-                    text += row.content
-                elif row.type == "result" and said:
-                    final = row.content
-                end = max(end, {"error": 2, "done": 1}.get(row.type, 0))
-            if not end:
-                state.update((text, final, end))
-                last = int(batch["ts"].max().timestamp() * 1000)
-                state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-                return
-        if state.exists:
+        held, ended = (json.loads(state.get[0]), state.get[1]) if state.exists else (begin(), False)
+        rows: list[tuple] = []
+        if state.hasTimedOut:
+            rows += [] if ended else flush(held, "open")
             state.remove()
-        yield pd.DataFrame({"task_id": [key[0]], "text": [final if final is not None else text], "state": [("open", "done", "error")[end]]})
+        else:
+            batch = pd.concat(list(parts)).sort_values("seq")
+            for chunk in batch.itertuples():
+                if ended:
+                    break
+                rows += take(held, chunk)
+                if chunk.type in ENDS:
+                    rows += flush(held, chunk.type)
+                    held, ended = begin(), True
+            state.update((json.dumps(held), ended))
+            state.setTimeoutTimestamp(max(int(batch["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame([(key[0], *r) for r in rows], columns=names)
+
+    return chunks.withWatermark("ts", lateness).groupBy("task_id").applyInPandasWithState(run, out, "held string, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
-    return chunks.withWatermark("ts", lateness).groupBy("task_id").applyInPandasWithState(
-        run, "task_id bigint, text string, state string", "text string, final string, end int", "append", GroupStateTimeout.EventTimeTimeout
-    )
+
+def _spoken(chunk) -> bool:
+    return bool(chunk.content and chunk.content.strip(" "))
+
+
+def assemble_stream(chunks: DataFrame, idle_ms: int = 1_800_000, lateness: str = "10 minutes") -> DataFrame:
+    """``assemble_task_stream`` on a stream: a row when a task ends, or with state open when it falls silent."""
+
+    def take(held: dict, chunk) -> list:
+        if chunk.type == "text" and _spoken(chunk) and chunk.author is not None and chunk.author != "analyst":
+            held["text"] += chunk.content
+        elif chunk.type == "result" and _spoken(chunk):
+            held["final"] = chunk.content
+        return []
+
+    def flush(held: dict, end: str) -> list:
+        return [(held["text"] if held["final"] is None else held["final"], end)]
+
+    return _by_task(chunks, "task_id bigint, text string, state string", lambda: {"text": "", "final": None}, take, flush, idle_ms, lateness)
+
+
+def phase_texts_stream(chunks: DataFrame, idle_ms: int = 1_800_000, lateness: str = "10 minutes") -> DataFrame:
+    """``phase_texts`` on a stream: a row when the next phase begins, the last one at the task's end or silence."""
+
+    def flush(held: dict, end: str) -> list:
+        return [(held["number"], held["phase"], held["first"], held["text"])] if held["number"] else []
+
+    def take(held: dict, chunk) -> list:
+        if chunk.type != "text" or not _spoken(chunk):
+            return []
+        phase = PHASES.get(chunk.author, "thinking")
+        if held["number"] and phase == held["phase"]:
+            held["text"] += chunk.content
+            return []
+        done = flush(held, "")
+        held |= {"number": held["number"] + 1, "phase": phase, "first": int(chunk.seq), "text": chunk.content}
+        return done
+
+    begin = lambda: {"number": 0, "phase": None, "first": 0, "text": ""}
+    return _by_task(chunks, "task_id bigint, number bigint, phase string, first_seq bigint, text string", begin, take, flush, idle_ms, lateness)
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """Lines that are not blank, with the type of those that are JSON objects."""
+    return rows.where(F.length(F.trim("line")) > 0).withColumn("type", F.get_json_object("line", "$.type"))
 
 
 def reassemble_lines(chunks: DataFrame) -> DataFrame:
-    """(task_id, author, pos, line, type): complete lines of each task's author; blank lines are dropped,
-    and lines that are JSON objects have their type."""
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda p: p["content"]), "")
-    whole = chunks.where("content IS NOT NULL").groupBy("task_id", "author").agg(text.alias("text"))
-    lines = whole.select("task_id", "author", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.where(F.length(F.trim("line")) > 0).withColumn("type", F.get_json_object("line", "$.type"))
+    """(task_id, author, pos, line, type): complete lines of each task's author up to the task's end; blank
+    lines are dropped, and lines that are JSON objects have their type. ``content`` may be binary, and
+    cut within characters then."""
+    binary = dict(chunks.dtypes)["content"] == "binary"
+    part = F.hex("content") if binary else F.col("content")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", part.alias("part")))), lambda p: p["part"]), "")
+    whole = before_end(chunks).where("content IS NOT NULL").groupBy("task_id", "author").agg((F.decode(F.unhex(text), "UTF-8") if binary else text).alias("text"))
+    return _lines(whole.select("task_id", "author", F.posexplode(F.split("text", "\n")).alias("pos", "line")))
+
+
+def reassemble_lines_stream(chunks: DataFrame, idle_ms: int = 1_800_000, lateness: str = "10 minutes") -> DataFrame:
+    """``reassemble_lines`` on a stream: a line comes with the batch that completes it; the open tail of each
+    author stays in the task's state (as bytes) until the task ends or falls silent."""
+
+    def take(held: list, chunk) -> list:
+        if chunk.content is None:
+            return []
+        own = next((x for x in held if x[0] == chunk.author), None)
+        if own is None:
+            own = [chunk.author, 0, ""]
+            held.append(own)
+        data = chunk.content if isinstance(chunk.content, (bytes, bytearray)) else chunk.content.encode()
+        *lines, tail = (own[2].encode("latin-1") + bytes(data)).split(b"\n")
+        rows = [(own[0], own[1] + i, x.decode("utf-8", "replace")) for i, x in enumerate(lines)]
+        own[1:] = [own[1] + len(lines), tail.decode("latin-1")]
+        return rows
+
+    def flush(held: list, end: str) -> list:
+        return [(author, pos, tail.encode("latin-1").decode("utf-8", "replace")) for author, pos, tail in held]
+
+    return _lines(_by_task(chunks, "task_id bigint, author string, pos int, line string", list, take, flush, idle_ms, lateness))
 
 
 def resume_stream(chunks: DataFrame, cursors: DataFrame, n: int = MOST_RESUMED) -> DataFrame:
-    """Events of the asked tasks (task_id, last_seq; null from the start) after the last one seen, ``n`` at most."""
-    after = chunks.join(cursors, "task_id").where(F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq")))
-    place = numbered(W.partitionBy("task_id").orderBy("seq"))
-    return after.withColumn("place", place).where(F.col("place") <= n).drop("last_seq")
+    """Events (stream_id "ms-n") of the asked tasks (task_id, last_id) after the last one seen, ``n`` at most and
+    none beyond the first that ends the task. Ids are compared as two numbers; a last_id that isn't
+    two numbers, null included, asks from the start."""
+    seen = F.when(F.col("last_id").rlike(r"^[0-9]+-[0-9]+$"), split_stream_id(F.col("last_id")))
+    at = split_stream_id(F.col("stream_id"))
+    asked = cursors.select("task_id", seen.alias("__seen"))
+    after = chunks.join(asked, "task_id").withColumn("__at", at).where(F.col("__seen.ms").isNull() | (F.col("__at") > F.col("__seen")))
+    order = W.partitionBy("task_id").orderBy("__at")
+    ended = F.sum(F.when(F.col("type").isin(*ENDS), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, -1))
+    placed = after.withColumns({"place": numbered(order), "__ended": F.coalesce(ended, F.lit(0))})
+    return placed.where((F.col("place") <= n) & (F.col("__ended") == 0)).drop("__at", "__seen", "__ended")
 
 
 def split_stream_id(stream_id: Column) -> Column:

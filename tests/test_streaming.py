@@ -102,6 +102,62 @@ def test_assemble(spark, tmp_path):
     assert pairs(got, "task_id", "text", "state") == pairs(want, "task_id", "text", "state") == [(1, "ab", "done"), (2, "R", "error")]
 
 
+def made_chunks(spark, folder, cut=False):
+    """Chunks of all types in three files, a task's in order; with ``cut`` as bytes, each chunk in two parts
+    that end somewhere within a line or a character."""
+    chunks = view(spark, SF, "task_chunk").withColumns({"ts": F.col("ts").cast("timestamp"), "content": F.concat(F.when(F.col("seq") % 2 == 1, '{"type":"é"}\n').otherwise("ñü "), "content", F.when(F.col("seq") % 3 == 0, "\n").otherwise(""))})
+    if cut:
+        data = F.encode("content", "UTF-8")
+        at = F.lit(1) + F.pmod(F.xxhash64("task_id", "seq"), F.length(data)).cast("int")
+        halves = F.array(F.struct(F.lit(0).alias("half"), F.substring(data, F.lit(1), at).alias("b")), F.struct(F.lit(1).alias("half"), F.substring(data, at + 1, F.lit(1 << 30)).alias("b")))
+        chunks = chunks.withColumn("h", F.explode(halves)).withColumns({"content": F.col("h.b"), "seq": F.col("seq") * 2 + F.col("h.half")})
+        chunks = chunks.withColumn("type", F.when((F.col("h.half") == 0) & F.col("type").isin("done", "error"), "text").otherwise(F.col("type"))).drop("h")
+    for i in range(3):
+        chunks.where((F.col("seq") * 3 / (16 if cut else 8)).cast("int") == i).coalesce(1).write.mode("append").parquet(str(folder))
+    return chunks, spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def last_batch(spark, folder, chunks):
+    """A late chunk of a task of its own: the watermark passes all others, and silent tasks time out."""
+    far = chunks.limit(1).withColumns({"task_id": F.lit(-1).cast("bigint"), "ts": F.col("ts") + F.expr("INTERVAL 9 DAYS"), "author": F.lit("z"), "type": F.lit("tool")})
+    far.coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def test_lines_with_open_tails(spark, tmp_path):
+    chunks, stream = made_chunks(spark, tmp_path / "in", cut=True)
+    last_batch(spark, tmp_path / "in", chunks)
+    got = drain(spark, J.reassemble_lines_stream(stream, lateness="2 hours"), tmp_path).where("task_id >= 0")
+    cols = ["task_id", "author", "pos", "line", "type"]
+    want = pairs(J.reassemble_lines(chunks), *cols)
+    assert pairs(got, *cols) == want and len(want) > 60 and any(r[4] == "é" for r in want) and not any("\ufffd" in r[3] for r in want)
+
+
+def test_texts_of_phases(spark, tmp_path):
+    chunks, stream = made_chunks(spark, tmp_path / "in")
+    last_batch(spark, tmp_path / "in", chunks)
+    got = drain(spark, J.phase_texts_stream(stream, lateness="2 hours"), tmp_path).where("task_id >= 0")
+    cols = ["task_id", "number", "phase", "first_seq", "text"]
+    want = pairs(J.phase_texts(chunks), *cols)
+    assert pairs(got, *cols) == want and {r[2] for r in want} == {"analyzing", "generating", "reviewing", "thinking"}
+
+
+def test_assembled_tasks_of_every_end(spark, tmp_path):
+    chunks, stream = made_chunks(spark, tmp_path / "in")
+    last_batch(spark, tmp_path / "in", chunks)
+    got = drain(spark, J.assemble_stream(stream, lateness="2 hours"), tmp_path).where("task_id >= 0")
+    want = pairs(J.assemble_task_stream(chunks), "task_id", "text", "state")
+    assert pairs(got, "task_id", "text", "state") == want and {r[2] for r in want} == {"open", "done", "error"}
+
+
+def test_resume_by_id(spark):
+    rows = [(1, f"5-{i}", "text") for i in (8, 9, 10, 11)] + [(1, "6-0", "done"), (1, "6-1", "text"), (2, "5-1", "error"), (2, "5-2", "text"), (3, "70-1", "text"), (3, "9-1", "text")]
+    chunks = spark.createDataFrame(rows, "task_id long, stream_id string, type string")
+    ask = lambda *c: pairs(J.resume_stream(chunks, spark.createDataFrame(c, "task_id long, last_id string")), "task_id", "stream_id", "place")
+    assert ask((1, "5-9")) == [(1, "5-10", 1), (1, "5-11", 2), (1, "6-0", 3)]
+    assert ask((2, None), (3, "9")) == [(2, "5-1", 1), (3, "70-1", 2), (3, "9-1", 1)]
+    assert ask((2, "5-1"), (3, "9-1")) == [(2, "5-2", 1), (3, "70-1", 1)] and ask((1, "7-0"), (9, None)) == []
+
+
 def test_daily_files(spark, tmp_path):
     path = str(tmp_path / "daily")
     old = spark.sql("SELECT 1L AS article_id, DATE '2024-05-01' AS date, 3 AS view_count UNION ALL SELECT 1L, DATE '2024-05-02', 4")
