@@ -3,10 +3,12 @@
 Repetitive text compresses too well for its length, random text too badly. Each whole text and
 each fixed chunk of a text of more than one is compressed with zstandard; what is left of a text
 after its chunks belongs to the last one. A histogram of ratios over all distinct texts gives median
-and spread for every length class (power of two); classes of fewer than LEAST_TEXTS are judged with
-the nearest ones, so that a lone text isn't its own measure. A text is rejected outside ``width``
-spreads, or when half its chunks or more are outside theirs. A spread is at least that of the
-neighbouring classes, so that texts much alike can't narrow the band of their class.
+and spreads for every length class (power of two); classes of fewer than LEAST_TEXTS are judged with
+the nearest ones, so that a lone text isn't its own measure. A text is rejected outside its class's
+limits, or when half its chunks or more are outside theirs, in which every text has one vote. The
+spread below is at least that of the neighbouring classes together, so that texts much alike can't
+narrow the band of their class. The spread above is that of the ratios above the median alone, and at
+least the smaller one of the neighbours': natural texts hardly vary there, and random ones lie close.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ from loomwright.session import Workspace
 
 LEVEL = 3
 CHUNK = 4096
-#: Length classes are pooled, nearest first, until they hold so many texts (or chunks).
-LEAST_TEXTS = 200
+#: Length classes are pooled, nearest first, until they hold so many texts: for a class's median, and for its spreads.
+LEAST_TEXTS, LEAST_SPREAD_TEXTS = 25, 100
 #: Ratios are kept in steps of 1/STEPS, so that limits come from counts and not from an order.
 STEPS = 1000
-#: Limits are the median and so many spreads (normalised median deviations) on either side.
-WIDTH = 4.5
+#: Limits are the median and so many spreads (normalised median deviations) below and above.
+WIDTH, WIDTH_ABOVE = 4.5, 3.75
+#: A text's weight among the chunks, which its chunks share: each text has one vote, however long.
+VOTE = 1 << 20
 LEAST_SPREAD = 0.01
 SPACES = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
@@ -82,39 +86,43 @@ def _median(counts: DataFrame, by: list[str], value: str, name: str) -> DataFram
     return ranked.where("2 * upto >= all").groupBy(*by).agg(F.min(value).alias(name))
 
 
-def limits(ratios: DataFrame, width: float = WIDTH, least: int = LEAST_TEXTS) -> DataFrame:
-    """(kind, size_class, low, high) from (kind, size_class, ratio), one row per measured text.
+def limits(ratios: DataFrame, width: float = WIDTH, above: float = WIDTH_ABOVE, least: int = LEAST_TEXTS, least_spread: int = LEAST_SPREAD_TEXTS) -> DataFrame:
+    """(kind, size_class, low, high) from (kind, size_class, ratio, votes); a text's rows have VOTE votes together.
 
-    Median and spread are those of the class's pool: all classes nearer than the one with which
-    it holds ``least`` texts, and that one (classes equally near come together). The spread is at
-    least LEAST_SPREAD and that of the two neighbouring classes' texts together, each taken from
-    the median of its own pool.
+    The median is that of the class's pool: all classes nearer than the one with which it holds ``least``
+    texts, and that one (classes equally near come together). Spreads are those of a pool of
+    ``least_spread`` texts, each text's ratio taken from its own class's median. They are at least
+    LEAST_SPREAD; below, at least that of the two neighbouring classes' pools together, and above, at
+    least the smaller one of these two pools'.
     """
-    counts = ratios.groupBy("kind", "size_class", "ratio").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("kind", "size_class").agg(F.sum("n").alias("n"))
+    key = ["kind", "size_class"]
+    counts = ratios.groupBy(*key, "ratio").agg(F.sum("votes").alias("n"))
+    sizes = counts.groupBy(*key).agg(F.sum("n").alias("n"))
     classes = F.array_sort(F.collect_list(F.struct("size_class", "n")))  # bits of lengths: 64 at most
-    each = sizes.join(sizes.groupBy("kind").agg(classes.alias("others")), "kind").select("kind", "size_class", F.explode("others").alias("o"))
-    near = each.select("kind", "size_class", F.col("o.size_class").alias("other"), F.abs(F.col("o.size_class") - F.col("size_class")).alias("distance"), F.col("o.n").alias("n"))
-    nearer = W.partitionBy("kind", "size_class").orderBy("distance").rangeBetween(W.unboundedPreceding, -1)
-    pools = near.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).where(F.col("before") < least).select("kind", "size_class", "other")
-    own = counts.withColumnRenamed("size_class", "other")
-    pooled = pools.join(own, ["kind", "other"]).groupBy("kind", "size_class", "ratio").agg(F.sum("n").alias("n"))
-    middle = _median(pooled, ["kind", "size_class"], "ratio", "middle")
-    away = (
-        pooled.join(middle, ["kind", "size_class"])
-        .groupBy("kind", "size_class", "middle", F.abs(F.col("ratio") - F.col("middle")).alias("away"))
-        .agg(F.sum("n").alias("n"))
-    )
-    around = away.select("kind", F.explode(F.array(F.col("size_class") - 1, F.col("size_class") + 1)).alias("size_class"), "away", "n")
-    around = _median(around.groupBy("kind", "size_class", "away").agg(F.sum("n").alias("n")), ["kind", "size_class"], "away", "near_mad")
-    spread = _median(away, ["kind", "size_class", "middle"], "away", "mad").join(around, ["kind", "size_class"], "left")
-    reach = width * F.greatest(F.greatest("mad", "near_mad") / STEPS * 1.4826, F.lit(LEAST_SPREAD))
+    each = sizes.join(sizes.groupBy("kind").agg(classes.alias("others")), "kind").select(*key, F.explode("others").alias("o"))
+    near = each.select(*key, F.col("o.size_class").alias("other"), F.abs(F.col("o.size_class") - F.col("size_class")).alias("distance"), F.col("o.n").alias("n"))
+    nearer = W.partitionBy(*key).orderBy("distance").rangeBetween(W.unboundedPreceding, -1)
+    pools = near.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).select(*key, "other", "before")
+
+    def pooled(rows: DataFrame, least: int) -> DataFrame:
+        return pools.where(F.col("before") < least * VOTE).join(rows.withColumnRenamed("size_class", "other"), ["kind", "other"]).drop("other", "before")
+
+    middle = _median(pooled(counts, least).groupBy(*key, "ratio").agg(F.sum("n").alias("n")), key, "ratio", "middle")
+    apart = counts.join(middle, key).select(*key, (F.col("ratio") - F.col("middle")).alias("apart"), "n")
+    away = pooled(apart, least_spread).groupBy(*key, F.abs("apart").alias("away"), (F.col("apart") >= 0).alias("up")).agg(F.sum("n").alias("n"))
+    both = away.groupBy(*key, "away").agg(F.sum("n").alias("n"))
+    next_to = lambda rows: rows.withColumn("size_class", F.explode(F.array(F.col("size_class") - 1, F.col("size_class") + 1)))
+    around = _median(next_to(both).groupBy(*key, "away").agg(F.sum("n").alias("n")), key, "away", "near_mad")
+    up = _median(away.where("up"), key, "away", "up_mad")
+    near_up = next_to(up).groupBy(*key).agg(F.min("up_mad").alias("near_up"))
+    spread = middle.join(_median(both, key, "away", "mad"), key).join(around, key, "left").join(up, key, "left").join(near_up, key, "left")
+    of = lambda *mads: F.greatest(F.greatest(*mads) / STEPS * 1.4826, F.lit(LEAST_SPREAD))
     return spread.select(
-        "kind", "size_class", (F.col("middle") / STEPS - reach).alias("low"), (F.col("middle") / STEPS + reach).alias("high")
+        *key, (F.col("middle") / STEPS - width * of("mad", "near_mad")).alias("low"), (F.col("middle") / STEPS + above * of("up_mad", "near_up")).alias("high")
     )
 
 
-def judge(docs: DataFrame, width: float = WIDTH) -> DataFrame:
+def judge(docs: DataFrame, width: float = WIDTH, above: float = WIDTH_ABOVE) -> DataFrame:
     """BASE columns, base_failed, kept and the ratio for every row of ``docs`` (doc_id, text).
 
     Null text has no words and fails the base rules, as does an empty one. Length classes are
@@ -126,9 +134,10 @@ def judge(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8(F.col("text")).alias("text"))
     found = work.put(narrow.mapInArrow(_statistics, f"{BASE}, size_class int, ratio int, chunks array<int>, digest binary"), "measured")
     texts = work.put(found.where("ratio is not null").groupBy("digest").agg(*[F.first(c).alias(c) for c in ("size_class", "ratio", "chunks")]), "texts")
-    whole = texts.select(F.lit("whole").alias("kind"), "size_class", "ratio")
-    parts = texts.select(F.lit("chunk").alias("kind"), F.lit(0).alias("size_class"), F.explode("chunks").alias("ratio"))
-    table = work.put(limits(whole.unionAll(parts), width), "limits")
+    whole = texts.select(F.lit("whole").alias("kind"), "size_class", "ratio", F.lit(VOTE).cast("double").alias("votes"))
+    share = VOTE / F.size("chunks")
+    parts = texts.where(F.size("chunks") > 0).select(F.lit("chunk").alias("kind"), F.lit(0).alias("size_class"), F.explode("chunks").alias("ratio"), share.alias("votes"))
+    table = work.put(limits(whole.unionAll(parts).withColumn("votes", F.floor("votes")), width, above), "limits")
     own = table.where("kind = 'whole'").select("size_class", "low", "high")
     chunk = table.where("kind = 'chunk'").agg(F.max("low").alias("chunk_low"), F.max("high").alias("chunk_high")).first()
     ratio = F.col("ratio") / STEPS

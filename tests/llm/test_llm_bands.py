@@ -23,26 +23,41 @@ def test_compression_copies_do_not_narrow_the_band(spark):
 def test_compression_spread_of_neighbours(spark):
     rows = [("whole", 10, 400 + i % 100) for i in range(100)] + [("whole", 11, 450 + i % 2) for i in range(100)]
     rows += [("whole", 12, 400 + i % 100) for i in range(100)] + [("chunk", 0, 300 + i % 2) for i in range(50)]
-    got = {(r["kind"], r["size_class"]): r["high"] - r["low"] for r in compression.limits(spark.createDataFrame(rows, "kind string, size_class int, ratio int"), least=100).collect()}
-    assert got["whole", 11] > 0.3 and abs(got["chunk", 0] - 0.09) < 1e-9
+    df = spark.createDataFrame([(*r, compression.VOTE) for r in rows], "kind string, size_class int, ratio int, votes long")
+    got = {(r["kind"], r["size_class"]): r["high"] - r["low"] for r in compression.limits(df).collect()}
+    assert got["whole", 11] > 0.3 and abs(got["chunk", 0] - 0.0825) < 1e-9
 
 
-def brute_limits(ratios, least=compression.LEAST_TEXTS):
-    """(low, high) for each class of {class: [ratio]}."""
-    median = lambda x: sorted(x)[(len(x) - 1) // 2]
-    pool, away = {}, {}
-    for c in ratios:
+def brute_limits(ratios, least=compression.LEAST_TEXTS, least_spread=compression.LEAST_SPREAD_TEXTS):
+    """(low, high) for each class of {class: [[ratio of each part] of each text]}."""
+
+    def median(votes):
+        votes, upto = sorted(votes), 0
+        for x, n in votes:
+            upto += n
+            if 2 * upto >= sum(n for _, n in votes):
+                return x
+
+    def pool(of, c, least):
         own = []
         for d in range(64):
-            if len(own) < least:
-                own += [x for k in {c - d, c + d} for x in ratios.get(k, [])]
-        pool[c] = median(own)
-        away[c] = [abs(x - pool[c]) for x in own]
+            if sum(n for _, n in own) < least * compression.VOTE:
+                own += [x for k in {c - d, c + d} for x in of.get(k, [])]
+        return own
+
+    spread = lambda x: max(x / 1000 * 1.4826, 0.01)
+    votes_of = {c: [(x, compression.VOTE // len(text)) for text in texts for x in text] for c, texts in ratios.items()}
+    middle = {c: median(pool(votes_of, c, least)) for c in ratios}
+    apart = {c: [(x - middle[c], n) for x, n in votes] for c, votes in votes_of.items()}
+    pools = {c: pool(apart, c, least_spread) for c in ratios}
+    away = {c: [(abs(x), n) for x, n in own] for c, own in pools.items()}
+    up = {c: median([x for x in own if x[0] >= 0]) for c, own in pools.items()}
     out = {}
     for c in ratios:
         near = away.get(c - 1, []) + away.get(c + 1, [])
-        reach = 4.5 * max(max(median(away[c]), median(near) if near else 0) / 1000 * 1.4826, 0.01)
-        out[c] = (pool[c] / 1000 - reach, pool[c] / 1000 + reach)
+        below = spread(max(median(away[c]), median(near) if near else 0))
+        above = spread(max(up[c], min((up[k] for k in (c - 1, c + 1) if k in up), default=0)))
+        out[c] = (middle[c] / 1000 - 4.5 * below, middle[c] / 1000 + compression.WIDTH_ABOVE * above)
     return out
 
 
@@ -62,8 +77,8 @@ def test_verdicts_against_brute_force(spark):
     whole, chunks = collections.defaultdict(list), []
     cut = lambda x: [x[k : k + 4096] if k + 8192 <= len(x) else x[k:] for k in range(0, len(x) - 4095, 4096)] if len(x) >= 8192 else []
     for t in {t.encode() for _, t in rows if t}:
-        whole[len(t).bit_length()].append(ratio(t))
-        chunks += map(ratio, cut(t))
+        whole[len(t).bit_length()].append([ratio(t)])
+        chunks += [[*map(ratio, cut(t))]] if cut(t) else []
     limits, parts = brute_limits(whole), brute_limits({0: chunks})[0]
     for i, t in rows:
         data, want = (t or "").encode(), False
@@ -75,3 +90,21 @@ def test_verdicts_against_brute_force(spark):
     assert not got[1000]["base_failed"] and not got[1000]["kept"]
     assert not got[1001]["base_failed"] and not got[1001]["kept"] and not got[1002]["kept"]
     assert sum(got[i]["kept"] for i in range(320)) >= 310
+
+
+def test_planted_junk_changes_no_other_verdict(spark):
+    """Random and repetitive texts of all lengths go; every other text is judged as before."""
+    import pyarrow.parquet as pq
+    from compare import DATA
+
+    table = pq.read_table(f"{DATA}/sf0.01/documents.parquet")
+    clean = [(i, t) for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist())]
+    rng = random.Random(12)
+    junk = [(10_000 + i, " ".join(f"{rng.getrandbits(32):x}" for _ in range(n))) for i, n in enumerate((300, 300, 3000, 200_000))]
+    loop = "".join(rng.choice("etaoinshr ") for _ in range(200)).split()
+    drums = [(20_000 + i, " ".join(rng.choice(loop) for _ in range(n))) for i, n in enumerate((300, 3000, 200_000))]
+    run = lambda rows: {r["doc_id"]: (r["kept"], r["base_failed"]) for r in compression.judge(docs(spark, rows)).collect()}
+    alone, got = run(clean), run(clean + junk + drums)
+    assert {i: got[i] for i in alone} == alone
+    assert not any(got[i][0] for i, _ in junk + drums) and not any(got[i][1] for i, _ in junk)
+    assert sum(k for k, _ in alone.values()) >= sum(not b for _, b in alone.values()) - 15
