@@ -3,8 +3,9 @@
 Labelled pages give baskets of URL tokens. Tokens that occur in just the same URLs are one item, so
 that keys which always come together don't multiply. FP-growth finds the frequent combinations
 among the bad pages, and an inverted index counts each over all labelled pages. A combination
-becomes a rule if the lower bound of its confidence exceeds the share of bad pages; it is left out
-where a part of it is at least as sure. An index entry is a combination's rarest token: URLs
+becomes a rule if so many bad pages are no chance: if labels didn't depend on the URL, the probability
+that any combination at all were as surprising is below CHANCE. It is left out where a part of it is
+at least as sure. An index entry is a combination's rarest token: URLs
 meet it there, and all its tokens are then looked for.
 """
 
@@ -30,10 +31,8 @@ RULES = (
 #: Support: a share of the bad pages, and a count below which a confidence says nothing.
 MIN_SUPPORT = 0.002
 MIN_COUNT = 5
-#: How far the lower bound of a rule's confidence lies below it, in standard errors (Wilson), and
-#: by how much it must exceed the share of bad pages.
-ERRORS = 1.96
-MIN_LIFT = 1.0
+#: Probability that labels which don't depend on the URL give a rule, over all combinations together.
+CHANCE = 0.05
 
 
 def _after_scheme(url: Column) -> Column:
@@ -80,19 +79,20 @@ def _holding(urls: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(F.size(F.array_except("items", "held")) == 0).drop("rare")
 
 
-def lower_bound(bad: Column, n: Column, errors: float = ERRORS) -> Column:
-    """Wilson's lower bound of the share bad / n."""
-    share, z = bad / n, errors * errors
-    return (share + z / (2 * n) - errors * F.sqrt((share * (1 - share) + z / (4 * n)) / n)) / (1 + z / n)
+def surprise(bad: Column, n: Column, base: float) -> Column:
+    """-ln of Chernoff's bound for ``bad`` or more of ``n`` pages where each is bad with probability ``base``; 0 if
+    there are no more than usual."""
+    share = bad / n
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    return F.when(share > base, n * (share * F.log(share / base) + rest)).otherwise(0.0)
 
 
-def mine_rules(
-    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, errors: float = ERRORS, min_lift: float = MIN_LIFT
-) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, chance: float = CHANCE) -> DataFrame:
     """(rule_id, tokens, rare, confidence) from ``labelled`` (url, bad boolean), a row per page.
 
-    Rows with a null are not used. Equal URLs are counted together. Without bad pages, or with
-    fewer than ``min_count``, there is no rule.
+    Rows with a null are not used. Equal URLs are counted together. Without bad pages, with fewer
+    than ``min_count``, or where all pages are bad, there is no rule. Of combinations of k tokens out of T there are
+    no more than T ** k; each length k gets 1 / (k * (k + 1)) of ``chance``.
     """
     work = Workspace(labelled.sparkSession, "url-rules")
     urls = labelled.where("url is not null and bad is not null").groupBy("url").agg(
@@ -101,9 +101,10 @@ def mine_rules(
     urls = work.put(urls.withColumn("tokens", tokens_of(F.col("url"))), "urls")
     total, bad = urls.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_bad"), F.lit(0))).first()
     need = max(min_count, math.ceil(min_support * bad))
-    if bad < need:
+    if bad < need or bad == total:
         return labelled.sparkSession.createDataFrame([], "rule_id bigint, tokens array<string>, rare string, confidence double")
     each = urls.select("url", "n", "n_bad", F.explode("tokens").alias("token"))
+    tokens = each.agg(F.count_distinct("token")).first()[0]
     key = [F.bit_xor(F.xxhash64("url", F.lit(i))).alias(f"set_{i}") for i in range(2)]
     single = each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"), *key).where(F.col("n_bad") >= need)
     # Tokens of equal sets of URLs stand in one URL together, so a group is no longer than a URL.
@@ -121,8 +122,10 @@ def mine_rules(
     )
     index = work.put(parts, "index")
     counted = _holding(held, index.select("rule_id", "items", "rare")).groupBy("rule_id").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
-    sure = counted.where(lower_bound(F.col("n_bad"), F.col("n"), errors) > min_lift * bad / total)
-    rules = work.put(index.join(sure.select("rule_id", (F.col("n_bad") / F.col("n")).alias("confidence")), "rule_id"), "rules")
+    size = F.size("items")
+    least = size * math.log(max(2, tokens)) + F.log(size * (size + 1)) - math.log(chance)
+    sure = counted.select("rule_id", (F.col("n_bad") / F.col("n")).alias("confidence"), surprise(F.col("n_bad"), F.col("n"), bad / total).alias("surprise"))
+    rules = work.put(index.join(sure, "rule_id").where(F.col("surprise") >= least).drop("surprise"), "rules")
     # A rule is superfluous if a part of it is a rule of no less confidence.
     whole = rules.select(F.col("items").alias("held"), F.col("rule_id").alias("whole"), F.col("confidence").alias("own"))
     weak = _holding(whole, rules.select("items", "rare", "rule_id", "confidence")).where("whole <> rule_id and confidence >= own")
@@ -156,7 +159,8 @@ def verdicts(pages: DataFrame, labels: DataFrame, rules=RULES, **limits) -> Data
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url")
     marks = labels.where("toxic is not null or quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("page_id")).agg(F.max(bad).alias("bad"))
     mined = mine_rules(own.join(marks, "page_id").select("url", "bad"), **limits)
-    found = matches(own, mined).withColumnRenamed("url", "__url")
+    # Written, so that the join has an exchange on both sides and Spark can split a hot URL.
+    found = Workspace(pages.sparkSession, "url-matches").put(matches(own, mined), "matches").withColumnRenamed("url", "__url")
     judged = given(own, rules)
     mined_verdict = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return judged.join(found, F.col("url") == F.col("__url"), "left").select(
