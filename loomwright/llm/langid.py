@@ -142,11 +142,12 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageFilter:
     known = docs.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
+    number = {k: i for i, k in enumerate(languages)}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang in languages:
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int((1 << 30) * min(1.0, rows / sizes[lang]))))
-    sample = known.where(chosen).select(utf8(F.col("text")).alias("text"), "lang")
+    spark = docs.sparkSession
+    # A row for each language: as many as the filter has bits.
+    rates = spark.createDataFrame([(k, int((1 << 30) * min(1.0, rows / n))) for k, n in sizes.items()], "lang string, below bigint")
+    sample = known.join(F.broadcast(rates), "lang").where(draw < F.col("below")).select(utf8(F.col("text")).alias("text"), "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,13 +176,13 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageFilter:
     letters: dict[int, np.ndarray] = {}
     for r in sums:
         if r["letter"] is not None:
-            letters.setdefault(r["letter"], np.zeros(len(languages)))[languages.index(r["lang"])] = r["n"]
+            letters.setdefault(r["letter"], np.zeros(len(languages)))[number[r["lang"]]] = r["n"]
     if letters:
         of = np.maximum(1, sum(letters.values()))
         letters = {c: n / of for c, n in letters.items()}
     counts = both.where(F.col("size") == GRAM).select("gram", "lang", "n")
-    total = F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in totals.items()], F.lit(1.0)) if totals else F.lit(1.0)
-    shares = counts.withColumn("share", F.col("n") / total)
+    sums = spark.createDataFrame([(k, float(v)) for k, v in totals.items()], "lang string, total double")
+    shares = counts.join(F.broadcast(sums), "lang").withColumn("share", F.col("n") / F.col("total")).drop("total")
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
     own = shares.where(F.col("share") >= LEAST_SHARE).join(most, "gram").where(F.col("share") >= LEAST_OF_MOST * F.col("most"))
     found: dict[str, list[int]] = {k: [] for k in languages}
