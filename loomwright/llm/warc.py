@@ -37,10 +37,11 @@ RECORDS = (
 )
 
 
-def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+def with_revisits(pages: DataFrame, work: Workspace, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, payload, payload_digest, refers_to: of equal payloads of ``least`` bytes or
     more, all but that with the largest page_id refer to it. Only groups of two or more are
-    joined back, so unique payloads carry no partner."""
+    joined back, so unique payloads carry no partner; they are written first, so that the join has an
+    exchange on both sides and Spark can split a hot payload."""
     full = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").alias("url"), utf8(F.col("html")).alias("payload")
     ).withColumn("payload_digest", F.sha1("payload"))
@@ -51,6 +52,7 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
         .where("n > 1")
         .drop("n")
     )
+    leaders = work.put(leaders, "leaders")
     refers = F.when(F.col("leader") != F.coalesce("page_id", F.lit(-(1 << 63))), F.col("leader"))
     return full.join(leaders, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
 
@@ -235,5 +237,5 @@ def round_trip(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     spark = pages.sparkSession
     work.put(spark.range(0), "archives")  # makes the folder
     folder = f"{work.path}/archives"
-    manifest = work.put(write_archives(with_revisits(pages, least), folder), "manifest")
+    manifest = work.put(write_archives(with_revisits(pages, work, least), folder), "manifest")
     return read_archives(manifest, max(1, min(10_000, manifest.count())))
