@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import join_tags, java_trim, word_count
-from loomwright.functions.windows import numbered
+from loomwright.functions.windows import numbered, ranked
 
 #: Codes of the status columns; fixed values.
 DRAFT_STATUS = {0: "EDITING", 1: "PUBLISHED", 2: "DISCARDED"}
@@ -98,7 +98,7 @@ def publish_articles(draft: DataFrame, article: DataFrame, as_of: str, tags: Col
     old = joined.where("article_id IS NOT NULL").withColumn("is_update", F.lit(True))
     fresh = joined.where("article_id IS NULL")
     # A running number over all new rows: ranges are counted first, so no task sees all of them.
-    numbered = running_number(fresh, "id").join(F.broadcast(top)).withColumn("article_id", F.col("top") + F.col("number"))
+    numbered = ranked(fresh, [], [F.asc("id")], "number").join(F.broadcast(top)).withColumn("article_id", F.col("top") + F.col("number"))
     new = numbered.drop("top", "number").withColumn("is_update", F.lit(False))
     return old.unionByName(new).select(
         F.col("article_id").alias("id"),
@@ -115,22 +115,6 @@ def publish_articles(draft: DataFrame, article: DataFrame, as_of: str, tags: Col
     )
 
 
-def running_number(rows: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
-    """``rows`` with their number from 1 in the order of the integer column ``key``.
-
-    Rows fall into ranges of ``key`` whose sizes are added up first (at most ``buckets`` rows);
-    the numbering itself then runs range by range in parallel.
-    """
-    span = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / buckets))
-    placed = rows.join(F.broadcast(span)).withColumn("__range", F.floor((F.col(key) - F.col("low")) / width)).drop("low", "high")
-    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
-    upto = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    before = sizes.select("__range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    own = numbered(W.partitionBy("__range").orderBy(key))
-    return placed.join(F.broadcast(before), "__range").withColumn("number", F.col("before") + own).drop("__range", "before")
-
-
 def revert_to_draft(article: DataFrame, draft: DataFrame) -> DataFrame:
     """Published articles whose draft is published or in editing: new status of both."""
     drafts = draft.where("status IN (0, 1)").select(F.col("id").alias("draft_id"), F.col("status").alias("old_draft_status"))

@@ -126,14 +126,17 @@ def fulltext_topk(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     idf = log10(memories / memories with the bigram) over all active memories. Distinct query
     bigrams count; term counts are made before the join, so that long texts bring one row a bigram."""
     mine = active(memories)
+    asked = queries.select("query_id", "user_id", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("token"))
     terms = mine.select("user_id", F.col("id").alias("memory_id"), F.explode(bigrams(F.col("content"))).alias("token"))
+    # Only tokens that a query has; their weights come to the queries' rows, not to the pairs' ones.
+    terms = terms.join(asked.select("token").distinct(), "token", "left_semi")
     tf = terms.groupBy("user_id", "memory_id", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     total = mine.agg(F.count(F.lit(1)).alias("total"))
-    asked = queries.select("query_id", "user_id", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("token"))
-    hits = asked.join(tf, ["user_id", "token"]).join(df, "token").join(F.broadcast(total))  # total is one row
     idf = F.log10(F.col("total") / F.col("df"))
-    scored = hits.groupBy("query_id", "memory_id").agg(F.sum(F.col("tf") * idf * idf).alias("score")).where("score > 0")
+    weights = df.join(F.broadcast(total)).where("df < total").select("token", (idf * idf).alias("weight"))  # total is one row
+    hits = asked.join(weights, "token").join(tf, ["user_id", "token"])
+    scored = hits.groupBy("query_id", "memory_id").agg(F.sum(F.col("tf") * F.col("weight")).alias("score")).where("score > 0")
     return top_per_query(scored.withColumn("score", F.round("score", 9)), k)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import split_tags
-from loomwright.functions.windows import numbered
+from loomwright.functions.windows import numbered, ranked
 
 #: What an interaction adds to an article's heat of the day; an unlike takes nothing away.
 HEAT = {"VIEW": 1, "LIKE": 3}
@@ -202,15 +202,16 @@ def recommend(likes: DataFrame, favorites: DataFrame, meta: DataFrame, article:
     filled up from the day's leaderboard.
 
     A user's best n unseen articles of a tag lie within the tag's first n plus as many as the user has
-    seen. A tag's list is cut at n plus the most that anybody has seen, and stands in blocks of ranks
-    of doubling size: a user meets only the blocks up to its own reach, not the heaviest reader's.
+    seen. A tag's articles are ranked by ranges, so a hot tag is many tasks' work. Its list is cut at n plus
+    the most that anybody has seen, and stands in blocks of ranks of doubling size: a user meets only
+    the blocks up to its own reach, not the heaviest reader's.
     """
     seen = interacted(likes, favorites)
     own = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("own"))
     most_seen = own.agg(F.coalesce(F.max("own"), F.lit(0)).alias("most_seen"))
     tagged = meta.select("article_id", "view_count", F.explode(F.array_distinct(F.transform(split_tags(F.col("tags")), F.lower))).alias("tag"))
-    in_tag = numbered(W.partitionBy("tag").orderBy(F.desc("view_count"), F.desc("article_id")))
-    best = tagged.withColumn("in_tag", in_tag).join(F.broadcast(most_seen)).where(F.col("in_tag") <= F.col("most_seen") + n)
+    in_tag = ranked(tagged, ["tag"], [F.desc("view_count"), F.desc("article_id")], "in_tag")
+    best = in_tag.join(F.broadcast(most_seen)).where(F.col("in_tag") <= F.col("most_seen") + n)
     wanted = top_tags_per_user(likes, favorites, meta).select("user_id", "tag")
     block = lambda rank: F.floor(F.log2(rank) + 1e-9).cast("int")
     reach = wanted.join(own, "user_id").withColumn("block", F.explode(F.sequence(F.lit(0), block(F.col("own") + n))))

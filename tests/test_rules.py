@@ -2,10 +2,12 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwright.functions import metrics as M
 from loomwright.operators import content as C
+from loomwright.functions.windows import ranked
 from loomwright.operators import ingest as I
 from loomwright.operators import retrieval as R
 from loomwright.operators import social as S
@@ -110,8 +112,23 @@ def test_gate_and_numbers(spark):
     rows = [(1, 1, "t", "b"), (2, 2, "t", "b"), (3, 0, " ", "b"), (4, 0, "t", ""), (5, 0, "t", "b")]
     draft = spark.createDataFrame([(i, s, t, b) for i, s, t, b in rows], "id long, status int, title string, content_md string")
     assert [r["reason"] for r in C.publish_gate(draft).orderBy("id").collect()] == ["already published", "not editing", "blank title", "blank body", None]
-    got = C.running_number(spark.range(5, 5000, 7), "id", buckets=13).orderBy("id").collect()
-    assert [r["number"] for r in got] == list(range(1, len(got) + 1))
+
+
+def test_ranks_by_ranges(spark):
+    """Numbers are right, and neither a hot group nor an outlying key fills a partition."""
+    ids = spark.range(5, 50_000, 7).unionByName(spark.createDataFrame([(10**15,)], "id long"))
+    got = ranked(ids, [], [F.asc("id")], "number", 16)
+    rows = got.orderBy("id").collect()
+    assert [r["number"] for r in rows] == list(range(1, len(rows) + 1)) and rows[-1]["id"] == 10**15
+    hot = spark.range(20_000).select(F.when(F.col("id") % 10 < 3, "hot").when(F.col("id") % 10 == 4, None).otherwise(F.concat(F.lit("t"), F.col("id") % 500)).alias("tag"), (F.col("id") % 97).alias("views"), "id")
+    got = ranked(hot, ["tag"], [F.desc("views"), F.desc("id")], "rank", 16)
+    want = hot.withColumn("rank", F.row_number().over(W.partitionBy("tag").orderBy(F.desc("views"), F.desc("id"))).cast("bigint"))
+    assert got.exceptAll(want).count() == 0 and got.count() == 20_000
+    dealt = hot.repartitionByRange(16, F.asc("tag"), F.desc("views"), F.desc("id")).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert dealt < 4 * 20_000 / 16
+    text = got._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in text.split("\n") if "row_number()" in line and "windowspecdefinition" in line]
+    assert windows and all("__part" in line for line in windows)
 
 
 def test_greedy(spark):
