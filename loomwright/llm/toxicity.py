@@ -11,9 +11,10 @@ deterministic automaton while tokens are read, each transition once; a token lea
 first letter beyond the allowed edits, mostly after a few letters.
 
 Scoring: hits weigh less with each edit and within quotation marks. The weights of the distinct
-terms in the heaviest window of tokens are added, so a term scattered over a long text or a
-quotation alone stays below abuse; a logistic curve, fitted on sampled documents that did not
-make the lexicon, turns the sum into the score.
+terms in the heaviest window of tokens are added, with a part of those of a stem's further words and
+of a wider window, so a term scattered over a long text or a quotation alone stays below abuse, while
+words of one stem in close order don't; a logistic curve, fitted on sampled documents with hits that
+did not make the lexicon, turns the sum into the score; where these are many, their own shares do. Texts without hits share one score.
 """
 
 import math
@@ -47,9 +48,13 @@ EDITS = ((4, 0), (9, 1))
 MOST_EDITS = 2
 EDIT_FACTOR = 0.6
 QUOTE_FACTOR = 0.5
-#: Tokens in a window.
-WINDOW = 50
+#: Tokens in a window and in a wide one; what a stem's further words count in a window, and what the
+#: wide window's sum counts beyond the window's: abuse is dense in words of one stem, chance is not.
+WINDOW, WIDE_WINDOW = 50, 400
+FURTHER, WIDE_FACTOR = 0.25, 0.35
 THRESHOLD = 0.7
+#: Texts on the logistic curve that are added to each pool of texts of like weight.
+CURVE_TEXTS = 5
 TOKEN = re.compile(r"\w+")
 #: A quotation opens and closes on one line; one that doesn't close is none.
 QUOTATIONS = ((re.compile('"[^"\n]*["\n]?'), '"'), (re.compile("[“„«][^”»\n]*[”»\n]?"), "”»"))
@@ -69,7 +74,9 @@ class Lexicon:
 
     terms: list[tuple[str, bool, float, int]]  # text, is a stem, weight, allowed edits
     slope: float = 1.0
-    shift: float = -3.0
+    shift: float = -5.0
+    none: float = 0.01  # score of a text without hits
+    points: tuple[tuple[float, float], ...] = ()  # rising (weight, score); between them scores lie on a line
     made: bool = field(default=False, repr=False)
 
     def prepare(self) -> None:
@@ -166,7 +173,7 @@ class Lexicon:
         return found
 
     def weigh(self, text: str) -> float:
-        """Sum of the distinct terms' weights in the heaviest window."""
+        """The heaviest window's sum, and a part of what the heaviest wide window has beyond it."""
         if not self.made:
             self.prepare()
         text = text.lower()
@@ -182,27 +189,58 @@ class Lexicon:
                 term, edits = self.known.get(token[0]) or self.match(token[0])
                 weight = self.terms[term][2] * EDIT_FACTOR**edits
                 near = bisect_right(starts, token.start())
-                hits.append((at, self.same[term], weight * QUOTE_FACTOR if near and token.end() <= quotes[near - 1][1] else weight))
-        # The window slides over the hits; a heap-free maximum: each term's weights within it are few.
-        most, low = 0.0, 0
-        inside: dict[int, list[float]] = {}
-        total = 0.0
-        for at, term, weight in hits:
-            while hits[low][0] <= at - WINDOW:
-                _, old, gone = hits[low]
-                before = max(inside[old])
-                inside[old].remove(gone)
-                total += max(inside[old], default=0.0) - before
-                low += 1
-            own = inside.setdefault(term, [])
-            total += max(0.0, weight - max(own, default=0.0))
-            own.append(weight)
-            most = max(most, total)
-        return most
+                same = self.same[term]
+                # Misspellings of a word are the word; words that begin with a stem are words of their own.
+                word = "" if not self.terms[same][1] else token[0] if self.terms[term][1] else self.terms[term][0]
+                hits.append((at, same, word, weight * QUOTE_FACTOR if near and token.end() <= quotes[near - 1][1] else weight))
+        short = heaviest(hits, WINDOW, FURTHER)
+        return short + WIDE_FACTOR * (heaviest(hits, WIDE_WINDOW, 1.0) - short)
 
     def score(self, weight: float) -> float:
-        x = self.slope * weight + self.shift
-        return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+        if weight <= 0:
+            return self.none
+        at = bisect_right(self.points, (weight, 2.0))
+        if 0 < at < len(self.points):
+            (x, p), (y, q) = self.points[at - 1 : at + 1]
+            found = p + (q - p) * (weight - x) / (y - x)
+        else:  # beyond the points the curve goes on
+            curve = 1 / (1 + math.exp(-max(-700.0, self.slope * weight + self.shift)))
+            found = max(curve, self.points[-1][1]) if at else min(curve, self.points[0][1]) if self.points else curve
+        return max(self.none, found)
+
+
+def heaviest(hits: list[tuple[int, int, str, float]], size: int, further: float) -> float:
+    """The largest sum in a window of ``size`` tokens over ``hits`` (place, term, word, weight): each term's
+    heaviest word counts whole, its other words ``further`` times; of a word's hits the heaviest counts."""
+    most = total = 0.0
+    low = 0
+    words: dict[tuple[int, str], list[float]] = {}
+    terms: dict[int, dict[str, float]] = {}
+
+    def of_term(term: int) -> float:
+        own = terms.get(term)
+        if not own:
+            return 0.0
+        best = max(own.values())
+        return best + further * (sum(own.values()) - best)
+
+    def change(term: int, word: str, weight: float, enters: bool) -> float:
+        before = of_term(term)
+        held = words.setdefault((term, word), [])
+        held.append(weight) if enters else held.remove(weight)
+        if held:
+            terms.setdefault(term, {})[word] = max(held)
+        else:
+            del terms[term][word]
+        return of_term(term) - before
+
+    for at, term, word, weight in hits:
+        while hits[low][0] <= at - size:
+            total += change(*hits[low][1:], False)
+            low += 1
+        total += change(term, word, weight, True)
+        most = max(most, total)
+    return most
 
 
 def quotations(text: str) -> list[tuple[int, int]]:
@@ -348,9 +386,9 @@ def _weights(sent):
 
 def _curve(counts: list[tuple[float, int, int]]) -> tuple[float, float]:
     """Slope and shift of a logistic curve through (weight, label, count), kept from extremes by a small ridge."""
-    slope, shift = 0.5, -3.0
+    slope, shift = 0.5, -5.0
     for _ in range(50):
-        g = [-0.05 * (slope - 1.0), -0.02 * (shift + 3.0)]
+        g = [-0.05 * (slope - 1.0), -0.02 * (shift + 5.0)]
         h = [[0.05, 0.0], [0.0, 0.02]]
         for x, y, n in counts:
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * x + shift))))
@@ -369,6 +407,28 @@ def _curve(counts: list[tuple[float, int, int]]) -> tuple[float, float]:
     return slope, shift
 
 
+def _points(counts: list[tuple[float, int, int]], slope: float, shift: float) -> tuple[tuple[float, float], ...]:
+    """Rising points (weight, share of toxic texts): neighbouring weights are pooled until shares rise, and each
+    pool has CURVE_TEXTS more texts that lie on the curve, so that it speaks where texts are few."""
+    by: dict[float, list[int]] = {}
+    for x, y, n in counts:
+        own = by.setdefault(x, [0, 0])
+        own[0], own[1] = own[0] + n, own[1] + n * y
+    pools: list[tuple[int, int, float, float]] = []  # texts, toxic ones, least and largest weight
+    for x in sorted(by):
+        pools.append((*by[x], x, x))
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            (n, toxic, low, _), (m, more, _, high) = pools[-2:]
+            pools[-2:] = [(n + m, toxic + more, low, high)]
+    out: list[tuple[float, float]] = []
+    for n, toxic, low, high in pools:
+        for x in dict.fromkeys((low, high)):
+            curve = 1 / (1 + math.exp(-max(-700.0, min(700.0, slope * x + shift))))
+            share = (toxic + CURVE_TEXTS * curve) / (n + CURVE_TEXTS)
+            out.append((x, max(share, out[-1][1] if out else 0.0)))
+    return tuple(out)
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, rows: int = FIT_ROWS) -> Lexicon:
     """A lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), without the held-out fold."""
     spark = docs.sparkSession
@@ -379,14 +439,20 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, rows:
     sent = spark.sparkContext.broadcast(lexicon)  # terms are bounded by MIN_SHARE
     weights = drawn.where("not mine").select("text", "toxic").mapInArrow(_weights(sent), "toxic int, weight double")
     counts = weights.groupBy(F.round("weight", 1).alias("weight"), "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy("weight", "toxic")
-    lexicon.slope, lexicon.shift = _curve([(r["weight"], r["toxic"], r["n"]) for r in counts.collect()])
+    # Toxic texts of which the lexicon knows nothing must not flatten the curve for those with hits.
+    found = [(r["weight"], r["toxic"], r["n"]) for r in counts.collect()]
+    hits = [x for x in found if x[0] > 0]
+    lexicon.slope, lexicon.shift = _curve(hits)
+    lexicon.points = _points(hits, lexicon.slope, lexicon.shift)
+    unknown = [(toxic, n) for weight, toxic, n in found if weight <= 0]
+    lexicon.none = min(0.5, (0.5 + sum(n for toxic, n in unknown if toxic)) / (50 + sum(n for _, n in unknown)))
     work.drop("sample", "words")
     return lexicon
 
 
 def predict(docs: DataFrame, lexicon: Lexicon, folds: int = 3, held: int = 1, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text), as ``score_documents``."""
-    sent = docs.sparkSession.sparkContext.broadcast(Lexicon(lexicon.terms, lexicon.slope, lexicon.shift))
+    sent = docs.sparkSession.sparkContext.broadcast(Lexicon(lexicon.terms, lexicon.slope, lexicon.shift, lexicon.none, lexicon.points))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = sent.value
@@ -420,7 +486,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     an empty table gives no rows.
     """
     lexicon = fit(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(Lexicon(lexicon.terms, lexicon.slope, lexicon.shift))
+    sent = docs.sparkSession.sparkContext.broadcast(Lexicon(lexicon.terms, lexicon.slope, lexicon.shift, lexicon.none, lexicon.points))
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:

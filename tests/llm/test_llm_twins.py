@@ -28,20 +28,28 @@ def in_quotation(text, begin, end):
     return False
 
 
-def brute_weigh(text, terms):
+def brute_weigh(text, terms, stems=()):
+    """Every window from every place; ``stems`` are terms, too, for all words that begin with them."""
     text = text.lower()
     hits = []
     for at, m in enumerate(re.finditer(r"\w+", text)):
-        if m[0] in terms:
-            hits.append((at, m[0], terms[m[0]] * (toxicity.QUOTE_FACTOR if in_quotation(text, *m.span()) else 1)))
-    most = 0.0
-    for k, _, _ in hits:
-        best = {}
-        for at, t, w in hits:
-            if k - toxicity.WINDOW < at <= k:
-                best[t] = max(best.get(t, 0), w)
-        most = max(most, sum(best.values()))
-    return most
+        stem = next((x for x in stems if m[0].startswith(x)), None)
+        if m[0] in terms or stem:
+            hits.append((at, stem or m[0], m[0], terms[stem or m[0]] * (toxicity.QUOTE_FACTOR if in_quotation(text, *m.span()) else 1)))
+
+    def heaviest(size, further):
+        most = 0.0
+        for k, *_ in hits:
+            best = {}
+            for at, term, word, w in hits:
+                if k - size < at <= k:
+                    own = best.setdefault(term, {})
+                    own[word] = max(own.get(word, 0), w)
+            most = max(most, sum(max(x.values()) + further * (sum(x.values()) - max(x.values())) for x in best.values()))
+        return most
+
+    short = heaviest(toxicity.WINDOW, toxicity.FURTHER)
+    return short + toxicity.WIDE_FACTOR * (heaviest(toxicity.WIDE_WINDOW, 1.0) - short)
 
 
 def test_window_scores():
@@ -52,6 +60,11 @@ def test_window_scores():
     for _ in range(600):
         text = " ".join(rng.choice(parts) if rng.random() < 0.6 else "filler" for _ in range(rng.randrange(200)))
         assert abs(lexicon.weigh(text) - brute_weigh(text, terms)) < 1e-9
+    lexicon = toxicity.Lexicon([*((t, False, w, 0) for t, w in terms.items()), ("stemm", True, 1.2, 0)])
+    parts += ["stemma", "stemmed", "stemming", "stemm"]
+    for _ in range(200):
+        text = " ".join(rng.choice(parts) if rng.random() < 0.3 else "filler" for _ in range(rng.randrange(900)))
+        assert abs(lexicon.weigh(text) - brute_weigh(text, terms | {"stemm": 1.2}, ["stemm"])) < 1e-9
     inside = 'he wrote "' + "so many words " * 40 + "zzrude" + " and so on" * 40 + '" yesterday'
     after = '"' + "so many words " * 40 + '" he wrote, you zzrude one, "' + "and more " * 60 + '"'
     assert lexicon.weigh(inside) == 1.0 and lexicon.weigh(after) == 2.0
