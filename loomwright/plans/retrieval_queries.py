@@ -246,15 +246,17 @@ def _embed(m):
 
 
 @query("parse_memory_candidates", "chat_message", """
-    SELECT id AS message_id, user_id, CAST(0 AS INT) AS pos, 'said by ' || role AS text, 'fact' AS type, role AS attributed_to FROM chat_message
-    WHERE id % 3 = 0 UNION ALL SELECT id, user_id, 2, 'likes ' || CAST(id AS VARCHAR(20)), 'preference', NULL FROM chat_message WHERE id % 3 = 0""")
+    WITH m AS (SELECT id AS message_id, user_id, role, '{' || content || '}' || chr(10) || 'x' AS framed, trim(content) AS bare FROM chat_message WHERE id % 3 = 0)
+    SELECT message_id, user_id, CAST(0 AS INT) AS pos, framed AS text, 'fact' AS type, role AS attributed_to FROM m WHERE length(framed) BETWEEN 1 AND 500
+    UNION ALL SELECT message_id, user_id, 2, bare, 'preference', NULL FROM m WHERE length(bare) BETWEEN 1 AND 500""")
 def _parse(messages):
+    """Whole message texts, with braces, a fence and a line end round them, in a model's answer."""
     entry = lambda text, kind, by: F.struct(text.alias("text"), F.lit(kind).alias("type"), by.alias("attributed_to"))
     none = F.lit(None).cast("string")
     memory = F.array(
-        entry(F.concat(F.lit(" said by "), "role", F.lit(" ")), "fact", F.col("role")),
-        entry(F.lit("unknown kind"), "wrong_type", none),
-        entry(F.concat(F.lit("likes "), F.col("id").cast("string")), "PREFERENCE", none),
+        entry(F.concat(F.lit(" {"), "content", F.lit("}\n```x ")), "fact", F.col("role")),
+        entry(F.col("content"), "wrong_type", none),
+        entry(F.col("content"), "PREFERENCE", none),
         entry(F.repeat(F.lit("x"), 501), "fact", none),
         entry(F.lit("  "), "fact", none),
     )
