@@ -123,7 +123,7 @@ def brute_search(rows, items, top=20):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("most", [1 << 20, 60])
+@pytest.mark.parametrize("most", [1 << 20, 250])
 def test_search(spark, monkeypatch, most):
     rng = random.Random(8)
     words = ["a", "Ab", "abc", "ñandú", "É", "b1", "x", "the", "THE", "zz", "日本"]
@@ -136,7 +136,7 @@ def test_search(spark, monkeypatch, most):
     table = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id long")
     got = sorted((tuple(r) for r in lexical.search(docs(spark, rows).repartition(4), table).collect()), key=repr)
     assert got == brute_search(rows, items)
-    assert len(list(lexical.blocks(table))) > 1 or most > 60
+    assert len(list(lexical.blocks(table))) > 1 or most > 250
     assert lexical.search(docs(spark, []), table).count() == lexical.search(docs(spark, rows), table.limit(0)).count() == 0
 
 
