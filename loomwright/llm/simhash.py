@@ -10,8 +10,9 @@ pairs of small nodes are compared at once. A pair of nodes that one component co
 nothing and is left too: a bucket gives at most one link less than it has fingerprints, not all pairs.
 
 ``drop_near_duplicates`` goes by similarity of texts instead, where errors are too many for blocks of
-bits: its buckets are pairs out of six minima of hashed shingles, the trie join links within
-budgets that grow step by step, twice with different links, and each is checked on the texts' shingles.
+bits: its buckets are pairs out of six minima of hashed shingles, large ones fall into pairs of chunks, the
+trie join links within budgets that grow step by step, four times with different links, and each is checked on
+the texts' shingles: by sketches, and where these are estimates close to the threshold on whole texts.
 """
 
 from __future__ import annotations
@@ -41,6 +42,10 @@ WIDE_BUDGETS = (4, 8, 12, 16, 20)
 MINIMA = 6
 #: Least shingle hashes of a text that are kept to compare it: all of a text of up to so many.
 SKETCH = 512
+#: Estimates this close to the least similarity (three standard errors of SKETCH hashes) are decided on whole texts.
+DOUBT = 0.055
+#: Spanning forests of a bucket's near fingerprints, no two with a link in common.
+FORESTS = 4
 #: A bucket of more fingerprints is split; nodes of at most so many fingerprints are compared at once.
 SPLIT = 20_000
 LEAF = 128
@@ -109,10 +114,14 @@ def trie_links(fps: np.ndarray, budgets: tuple[int, ...] = (BUDGET,), without: l
 
     def compare(a: int, b: int, c: int, d: int, budget: int) -> None:
         far = np.bitwise_count(fps[a:b, None] ^ fps[None, c:d])
-        i, j = np.nonzero(far <= budget)
+        near = far <= budget
+        if len(barred):  # the second forest meets whole nodes mostly
+            near &= label[a:b, None] != label[None, c:d]
+        i, j = np.nonzero(near)
         i, j, far = i + a, j + c, far[i, j]
-        if len(barred):
-            free = ~np.isin(np.minimum(i, j) * n + np.maximum(i, j), barred)
+        if len(barred) and len(i):
+            pair = np.minimum(i, j) * n + np.maximum(i, j)
+            free = barred[np.minimum(np.searchsorted(barred, pair), len(barred) - 1)] != pair
             i, j, far = i[free], j[free], far[free]
         while len(i := i[keep := label[i] != label[j]]):
             j, far = j[keep], far[keep]
@@ -192,7 +201,7 @@ def _large(buckets: DataFrame, most: int, work: Workspace, name: str) -> DataFra
 
 
 def _dealt(buckets: DataFrame, sub_keys: Column, most: int, work: Workspace) -> DataFrame:
-    """``buckets`` (key, fp, rep, ...) as (key, fp, rep), large ones dealt by ``sub_keys``."""
+    """``buckets`` (key, fp, rep), large ones dealt by ``sub_keys``."""
     large = _large(buckets, most, work, "large")
     rows = buckets.select("key", "fp", "rep")
     if large is None:
@@ -229,8 +238,12 @@ def _bucket_links(budgets: tuple[int, ...]):
         same = list(zip(reps[first[~new]].tolist(), reps[~new].tolist()))
         reps = reps[new].tolist()
         links = trie_links(fps[new], budgets)
-        if len(budgets) > 1:  # links that are checked later may fail: a second forest stands in for the first
-            links = links + trie_links(fps[new], budgets, links)
+        if len(budgets) > 1:  # links that are checked later may fail: further forests stand in for the first
+            for _ in range(FORESTS - 1):
+                more = trie_links(fps[new], budgets, links)
+                if not more:
+                    break
+                links = links + more
         return same + [(reps[i], reps[j]) for i, j in links]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,9 +345,32 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def _checked(least: float):
+    """Links with what sketches say: ``similar``, null where only the texts can tell; others are left out."""
+
+    def verdict(a: bytes, b: bytes) -> bool | None:
+        found = similarity(a, b)
+        estimated = max(len(a), len(b)) >= 4 * SKETCH
+        return None if estimated and abs(found - least) <= DOUBT else found >= least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = pa.array(map(verdict, batch.column(4).to_pylist(), batch.column(5).to_pylist()), pa.bool_())
+            rows = batch.select(["a", "a_key", "b", "b_key"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, said], [*rows.schema.names, "similar"]).filter(said.fill_null(True))
+
+    return run
+
+
+def _checked_on_texts(shingle: int, least: float):
+    """Links (a, a_key, b, b_key, a_text, b_text) whose texts have a Jaccard similarity of ``least`` or more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similarity(a, b) >= least for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            keep = []
+            for one, two in zip(batch.column(4), batch.column(5)):
+                a, b = (np.unique(shingle_hashes(x.as_py(), shingle)) for x in (one, two))
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(shared >= least * (len(a) + len(b) - shared))
             yield batch.select(["a", "a_key", "b", "b_key"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -344,8 +380,9 @@ def similar_links(docs: DataFrame, work: Workspace, shingle: int = WIDE_SHINGLE,
     """(a, a_key, b, b_key): links of texts (id, hash) that join those of a similarity of ``least`` or more.
 
     Two texts meet in a bucket if two of their six minima agree: at a similarity of 0.8 with a
-    probability of 0.998. Larger buckets are dealt by a third one of the minima; texts that
-    share many minima stay together.
+    probability of 0.998. A bucket of more than ``most`` fingerprints falls into pairs of chunks, each of
+    which any two of its texts share. Links whose sketches give an estimate close to ``least`` are decided on
+    both whole texts, of which only those that such a link names are moved.
     """
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), utf8(F.col("text")).alias("text"))
     m = [f"m{i}" for i in range(MINIMA)]
@@ -354,15 +391,21 @@ def similar_links(docs: DataFrame, work: Workspace, shingle: int = WIDE_SHINGLE,
     groups = work.put(found.groupBy("fp", *m).agg(F.min("doc_id").alias("rep")), "groups")
     pairs = enumerate(combinations(m, 2))
     keys = F.array(*[F.xxhash64(F.lit(k), i, j) for k, (i, j) in pairs])
-    buckets = work.put(groups.select(F.explode(keys).alias("key"), "fp", "rep", *m), "buckets")
-    third = F.array(*[F.xxhash64("key", F.lit(k), c) for k, c in enumerate(m)])
-    between = _linked(_dealt(buckets, third, most, work), WIDE_BUDGETS)
+    buckets = work.put(groups.select(F.explode(keys).alias("key"), "fp", "rep"), "buckets")
+    between = _linked(_chunked(buckets, most, work), WIDE_BUDGETS)
     within = found.join(groups, ["fp", *m]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = work.put(between.unionByName(within).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
     sketch = lambda c: found.select(F.col("doc_id").alias(c), F.col("text_key").alias(f"{c}_key"), F.col("sketch").alias(f"{c}_sketch"))
     both = links.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "a_key", "b", "b_key", "a_sketch", "b_sketch")
-    links = work.put(both.mapInArrow(_checked(least), "a bigint, a_key bigint, b bigint, b_key bigint"), "similar")
-    work.drop("sketches", "groups", "buckets", "candidates")
+    link = "a bigint, a_key bigint, b bigint, b_key bigint"
+    said = work.put(both.mapInArrow(_checked(least), f"{link}, similar boolean"), "said")
+    links, open_links = said.where("similar").drop("similar"), said.where("similar IS NULL").drop("similar")
+    ends = [open_links.select(F.col(c).alias("doc_id"), F.col(f"{c}_key").alias("text_key")) for c in "ab"]
+    whole = work.put(ids.join(ends[0].unionAll(ends[1]).distinct(), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]), "texts")
+    text = lambda c: whole.select(F.col("doc_id").alias(c), F.col("text_key").alias(f"{c}_key"), F.col("text").alias(f"{c}_text"))
+    pairs = open_links.join(text("a"), ["a", "a_key"]).join(text("b"), ["b", "b_key"]).select("a", "a_key", "b", "b_key", "a_text", "b_text")
+    links = work.put(links.unionAll(pairs.mapInArrow(_checked_on_texts(shingle, least), link)), "similar")
+    work.drop("sketches", "groups", "buckets", "candidates", "said", "texts")
     return links
 
 

@@ -40,7 +40,8 @@ def test_split_buckets_give_the_same(spark):
     )
     assert whole == split and len({r[2] for r in whole}) < 250
     kept = [{r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, rows), most=most).collect()} for most in (20_000, 3)]
-    assert len(kept[0] ^ kept[1]) <= 2  # links are found with other ones in other buckets, and some fail their check
+    # Small chunks try nearly all pairs; a whole bucket's forests miss a few where links fail their check.
+    assert kept[1] <= kept[0] and len(kept[0] - kept[1]) <= 10
 
 
 def test_near_duplicates_by_similarity(spark, texts):  # noqa: F811
@@ -70,3 +71,59 @@ def test_near_duplicates_by_similarity(spark, texts):  # noqa: F811
     want = {i for i in link if root(i) == i}
     assert len({i for i, _ in kept if i is not None} ^ want - {1000}) <= near
     assert (1000, rows[-1][1]) in kept and sum(i is None for i, _ in kept) == 2
+
+
+def test_many_variants_of_one_text_in_one_bucket():
+    """Twenty thousand near fingerprints, linked twice with different links, each within the budget."""
+    rng = np.random.default_rng(4)
+    fps = np.full(20_000, 0x5A5A1234F00DBEEF, np.uint64)
+    for _ in range(7):
+        fps ^= np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64)
+    fps = np.unique(fps)
+    began = time.time()
+    links = simhash.trie_links(fps, simhash.WIDE_BUDGETS)
+    more = simhash.trie_links(fps, simhash.WIDE_BUDGETS, links)
+    assert time.time() - began < 60 and len(links) == len(more) == len(fps) - 1
+    pairs = [{(min(x), max(x)) for x in found} for found in (links, more)]
+    assert not pairs[0] & pairs[1]
+    assert all((int(fps[i]) ^ int(fps[j])).bit_count() <= 20 for i, j in links + more)
+
+
+def test_long_texts_close_to_the_threshold_are_decided_on_their_words(spark):
+    """Pairs of texts of 600 to 4,000 distinct shingles, the similarity a few shingles above or below 0.8."""
+    rng = random.Random(6)
+    rows, want = [], set()
+    for n in range(40):
+        words = [f"p{n}x{i}" for i in range(rng.choice([700, 1500, 4000]))]
+        other, at, step = list(words), 2, rng.choice([43, 45, 47, 49])  # each changed word changes five shingles
+        while at < len(other) - 4:
+            other[at] = "new" + other[at]
+            at += step
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+        want |= {2 * n} | (set() if len(a & b) >= 0.8 * len(a | b) else {2 * n + 1})
+    assert 45 < len(want) < 75
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()}
+    assert not want - kept and len(kept - want) <= 2  # a pair may share no bucket, or differ in more than 20 bits
+
+
+def test_variants_near_the_threshold(spark):
+    """Many texts of one bucket close to 0.8: links that fail their check have others beside them."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(60)}" for _ in range(150)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for _ in range(rng.randrange(9)):
+            own[rng.randrange(150)] = f"w{rng.randrange(60)}"
+        rows.append((i, " ".join(own)))
+    sets, link = [shingles(t) for _, t in rows], list(range(300))
+    root = lambda i: i if link[i] == i else root(link[i])
+    for x in range(300):
+        for y in range(x):
+            if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) and root(x) != root(y):
+                link[max(root(x), root(y))] = min(root(x), root(y))
+    want = {i for i in range(300) if root(i) == i}
+    for most, missed in ((20_000, 18), (6, 1)):
+        kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, rows), most=most).collect()}
+        assert not want - kept and len(kept - want) <= missed
