@@ -61,6 +61,16 @@ def article_page(article: DataFrame, page: int, size: int) -> DataFrame:
     return article.where("is_deleted = 0").orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def article_page_after(article: DataFrame, publish_time: str | None, last_id: int | None, size: int) -> DataFrame:
+    """The page of ``article_page`` after the article with this time and id, the first one without: each task
+    keeps ``size`` rows, however deep the page is, and new articles don't move it."""
+    found = article.where("is_deleted = 0")
+    if publish_time is not None:
+        at = F.lit(publish_time).cast(article.schema["publish_time"].dataType)
+        found = found.where((F.col("publish_time") < at) | ((F.col("publish_time") == at) & (F.col("id") < last_id)))
+    return found.orderBy(F.desc("publish_time"), F.desc("id")).limit(size)
+
+
 def article_page_cursor(article: DataFrame, cursor: int | None, size: int) -> DataFrame:
     """The next ``size`` articles below ``cursor`` by falling id."""
     found = article.where("is_deleted = 0")

@@ -37,6 +37,34 @@ def follow_lists(follows: DataFrame) -> DataFrame:
     )
 
 
+def follow_edges(follows: DataFrame) -> DataFrame:
+    """(user_id, side, other_id): each edge from both ends, as ``following`` and ``followers``; repeated ones once."""
+    out = follows.select(F.col("follower_id").alias("user_id"), F.lit("following").alias("side"), F.col("followee_id").alias("other_id"))
+    back = follows.select(F.col("followee_id").alias("user_id"), F.lit("followers").alias("side"), F.col("follower_id").alias("other_id"))
+    return out.unionAll(back).distinct()
+
+
+def follow_pages(follows: DataFrame, size: int = 100) -> DataFrame:
+    """(user_id, side, page, ids, cursor): the lists of ``follow_lists`` in pages of at most ``size`` ascending ids.
+
+    ``cursor`` is a page's last id, from which ``follow_page_after`` goes on. Places come by sampled ranges, so
+    that neither a hub's list nor one array of it has to fit in a task.
+    """
+    placed = ranked(follow_edges(follows), ["user_id", "side"], [F.asc("other_id")], "__place")
+    page = F.floor((F.col("__place") - 1) / size).cast("bigint") + 1
+    paged = placed.groupBy("user_id", "side", page.alias("page")).agg(F.sort_array(F.collect_list("other_id")).alias("ids"))
+    return paged.withColumn("cursor", F.element_at("ids", -1))
+
+
+def follow_page_after(follows: DataFrame, asked: DataFrame, size: int = 100) -> DataFrame:
+    """(user_id, side, cursor, other_id, place): the next ``size`` ids above each cursor of ``asked`` (user_id,
+    side, cursor; null for the start). Edges that come or go below a cursor move nothing above it."""
+    above = asked.select("user_id", "side", "cursor").distinct().join(follow_edges(follows), ["user_id", "side"])
+    above = above.where(F.col("cursor").isNull() | (F.col("other_id") > F.col("cursor")))
+    place = numbered(W.partitionBy("user_id", "side", "cursor").orderBy("other_id"))
+    return above.withColumn("place", place).where(F.col("place") <= size)
+
+
 def follow_counts(follows: DataFrame) -> DataFrame:
     a = _count(follows, "followee_id", "followers").withColumnRenamed("followee_id", "user_id")
     b = _count(follows, "follower_id", "following").withColumnRenamed("follower_id", "user_id")

@@ -75,6 +75,10 @@ PAGE = "SELECT id, title, publish_time FROM article WHERE is_deleted = 0"
 query("article_page", "article", f"{PAGE} ORDER BY publish_time DESC, id DESC LIMIT 20 OFFSET 40")(
     lambda article: C.article_page(article, 3, 20).select("id", "title", "publish_time")
 )
+query("article_page_after", "article", f"""
+    {PAGE} AND (publish_time < DATE '1997-06-01' OR publish_time = DATE '1997-06-01' AND id < 700) ORDER BY publish_time DESC, id DESC LIMIT 20""")(
+    lambda article: C.article_page_after(article, "1997-06-01", 700, 20).select("id", "title", "publish_time")
+)
 query("article_page_cursor", "article", f"{PAGE} AND id < 1200 ORDER BY id DESC LIMIT 20")(
     lambda article: C.article_page_cursor(article, 1200, 20).select("id", "title", "publish_time")
 )

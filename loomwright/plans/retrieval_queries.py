@@ -245,6 +245,29 @@ def _embed(m):
     return made.select("id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm"))
 
 
+#: crc32 of the bytes of ``pair`` in DuckDB: the table of 256 rests is made by eight steps each.
+RESTS = """SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS rests
+    FROM (SELECT unnest(range(256)) AS i)"""
+BYTES = "list_transform(range(length(hex(encode(pair))) // 2), lambda i: 16 * (strpos('0123456789ABCDEF', hex(encode(pair))[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', hex(encode(pair))[2 * i + 2]) - 1)"
+CRC = f"xor(list_reduce(list_concat([4294967295], {BYTES}), lambda c, b: xor(c >> 8, rests[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query("embed_values", "memory_record", f"""
+    WITH t AS (SELECT id, substring(coalesce(content, ''), 1, 500) AS part FROM memory_record),
+         p AS (SELECT id, unnest(list_transform(range(1, length(part)), lambda i: substring(part, CAST(i AS INT), 2))) AS pair FROM t WHERE regexp_matches(part, '\\S')),
+         h AS (SELECT pair, {CRC} % 16 AS dim FROM (SELECT DISTINCT pair FROM p) CROSS JOIN ({RESTS})),
+         n AS (SELECT id, dim, count(*) AS n FROM p JOIN h USING (pair) GROUP BY 1, 2),
+         s AS (SELECT id, CAST(sqrt(sum(n * n)) AS FLOAT) AS norm FROM n GROUP BY id)
+    SELECT t.id, CASE WHEN regexp_matches(part, '\\S') THEN 'done' ELSE 'blank' END AS outcome, n.dim,
+           round(CAST(CAST(CAST(n.n AS DOUBLE) / CAST(s.norm AS DOUBLE) AS FLOAT) AS DOUBLE), 6) AS value
+    FROM t LEFT JOIN n ON n.id = t.id LEFT JOIN s ON s.id = t.id""")
+def _values(m):
+    """The vectors of ``embed_texts`` themselves, a row for each dimension that is not zero."""
+    made = I.embed_texts(m.select("id", "content"), I.hashed_bigrams(16))
+    cells = F.filter(F.transform("embedding", lambda v, i: F.struct(i.cast("bigint").alias("dim"), v.cast("double").alias("v"))), lambda c: c["v"] != 0)
+    return made.select("id", "outcome", F.explode_outer(cells).alias("c")).select("id", "outcome", "c.dim", F.round("c.v", 6).alias("value"))
+
+
 @query("parse_memory_candidates", "chat_message", """
     WITH m AS (SELECT id AS message_id, user_id, role, '{' || content || '}' || chr(10) || 'x' AS framed, trim(content) AS bare FROM chat_message WHERE id % 3 = 0)
     SELECT message_id, user_id, CAST(0 AS INT) AS pos, framed AS text, 'fact' AS type, role AS attributed_to FROM m WHERE length(framed) BETWEEN 1 AND 500

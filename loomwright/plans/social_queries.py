@@ -38,6 +38,24 @@ def _lists(follows):
     return both.select("user_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("following", "followers")])
 
 
+BOTH_ENDS = """SELECT follower_id AS user_id, 'following' AS side, followee_id AS other_id FROM user_follow
+    UNION SELECT followee_id, 'followers', follower_id FROM user_follow"""
+query("follow_pages", "user_follow", f"""
+    SELECT user_id, side, (place - 1) // 5 + 1 AS page, string_agg(other_id, ',' ORDER BY other_id) AS ids, max(other_id) AS cursor
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, side ORDER BY other_id) AS place FROM ({BOTH_ENDS})) GROUP BY 1, 2, 3""")(
+    lambda follows: S.follow_pages(follows, 5).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+)
+
+
+@query("follow_page_after", "user_follow", f"""
+    SELECT user_id, side, cursor, other_id, place FROM (
+        SELECT e.*, e.user_id % 50 AS cursor, row_number() OVER (PARTITION BY user_id, side ORDER BY other_id) AS place
+        FROM ({BOTH_ENDS}) e WHERE other_id > user_id % 50) WHERE place <= 5""")
+def _after(follows):
+    asked = S.follow_edges(follows).select("user_id", "side", (F.col("user_id") % 50).alias("cursor")).distinct()
+    return S.follow_page_after(follows, asked, 5)
+
+
 query("follow_counts", "user_follow", """
     SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(followers, 0) AS followers, coalesce(following, 0) AS following
     FROM (SELECT followee_id AS user_id, count(*) AS followers FROM user_follow GROUP BY 1) a

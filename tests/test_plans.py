@@ -16,7 +16,7 @@ def plan(df):
 
 def test_no_python_in_built_in_queries(spark):
     blocked = {"vector_topk_blocked", "hybrid_search", "memory_context", "retrieval_metrics", "update_target", "merge_memories", "memory_history"}
-    helpers = blocked | {"embed_texts", "extract_json_objects", "render_blocks_document", "comment_dedup", "rate_limit", "heartbeat_throttle"}
+    helpers = blocked | {"embed_texts", "embed_values", "extract_json_objects", "render_blocks_document", "comment_dedup", "rate_limit", "heartbeat_throttle"}
     helpers |= {"normalize_article_strict", "normalize_by_policy"}
     for name, query in catalog.queries().items():
         if name not in helpers:
