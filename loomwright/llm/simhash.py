@@ -401,11 +401,13 @@ def similar_links(docs: DataFrame, work: Workspace, shingle: int = WIDE_SHINGLE,
     said = work.put(both.mapInArrow(_checked(least), f"{link}, similar boolean"), "said")
     links, open_links = said.where("similar").drop("similar"), said.where("similar IS NULL").drop("similar")
     ends = [open_links.select(F.col(c).alias("doc_id"), F.col(f"{c}_key").alias("text_key")) for c in "ab"]
-    whole = work.put(ids.join(ends[0].unionAll(ends[1]).distinct(), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]), "texts")
+    # Written first, so that Spark knows their size and broadcasts few ones: texts that none names aren't shuffled then.
+    asked = work.put(ends[0].unionAll(ends[1]).distinct(), "asked")
+    whole = work.put(ids.join(asked, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]), "texts")
     text = lambda c: whole.select(F.col("doc_id").alias(c), F.col("text_key").alias(f"{c}_key"), F.col("text").alias(f"{c}_text"))
     pairs = open_links.join(text("a"), ["a", "a_key"]).join(text("b"), ["b", "b_key"]).select("a", "a_key", "b", "b_key", "a_text", "b_text")
     links = work.put(links.unionAll(pairs.mapInArrow(_checked_on_texts(shingle, least), link)), "similar")
-    work.drop("sketches", "groups", "buckets", "candidates", "said", "texts")
+    work.drop("sketches", "groups", "buckets", "candidates", "said", "asked", "texts")
     return links
 
 
