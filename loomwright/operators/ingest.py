@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 from uuid import uuid4
@@ -105,20 +106,37 @@ def _in_order(above: float):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("candidate_id")
-        now: dict[int, np.ndarray] = {}  # unit vectors of the memories that this session has changed
+        # Memories that this session has changed: their places by id, and by vector length their ids and unit vectors.
+        places: dict[int, tuple[int, int]] = {}
+        changed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        used: Counter[int] = Counter()
         targets = []
         for vector, near in zip(rows["embedding"], rows["near"]):
             if vector is None or not len(vector):
                 targets.append(None)
                 continue
             unit = np.asarray(vector, np.float64)
-            unit = unit / (np.sqrt((unit * unit).sum()) + TINY)
-            found = next(((x["score"], x["memory_id"]) for x in near if x["memory_id"] not in now), None) if near is not None else None
-            changed = [(round(float(unit @ v), 12), m) for m, v in now.items() if len(v) == len(unit)]
-            best = max([*changed, *([found] if found else [])], key=lambda x: (x[0], -x[1]), default=(0.0, None))
-            targets.append(best[1] if best[0] > above else None)
-            if targets[-1] is not None:
-                now[targets[-1]] = unit
+            unit, width = unit / (np.sqrt((unit * unit).sum()) + TINY), len(unit)
+            found = next(((x["score"], x["memory_id"]) for x in near if x["memory_id"] not in places), None) if near is not None else None
+            best = [found] if found else []
+            if n := used[width]:
+                ids, units = changed[width]
+                scores = np.round(units[:n] @ unit, 12)
+                best.append((float(scores.max()), int(ids[:n][scores == scores.max()].min())))
+            score, target = max(best, key=lambda x: (x[0], -x[1]), default=(0.0, None))
+            targets.append(target if score > above else None)
+            if targets[-1] is None:
+                continue
+            if target in places and places[target][0] != width:
+                changed[places[target][0]][1][places[target][1]] = 0.0
+                del places[target]
+            if target not in places:
+                ids, units = changed.get(width, (np.zeros(0, np.int64), np.zeros((0, width))))
+                if n == len(ids):  # twice the room
+                    changed[width] = np.resize(ids, 2 * n + 8), np.concatenate([units, np.zeros((n + 8, width))])
+                places[target], used[width] = (width, n), n + 1
+            ids, units = changed[width]
+            ids[places[target][1]], units[places[target][1]] = target, unit
         return pd.DataFrame({"candidate_id": rows["candidate_id"], "target_id": pd.array(targets, "Int64")})
 
     return run
@@ -134,7 +152,7 @@ def plan_session(candidates: DataFrame, memories: DataFrame, work: Workspace, mo
     """
     fresh = work.put(new_by_hash(candidates, memories), f"fresh-{uuid4().hex}")  # small, and read four times
     asked = fresh.where(F.size(F.coalesce("embedding", F.array().cast("array<float>"))) > 0)
-    found = vector_topk_blocked(asked.select(F.col("candidate_id").alias("query_id"), "user_id", "embedding"), memories, most).where(F.col("score") > above)
+    found = vector_topk_blocked(asked.select(F.col("candidate_id").alias("query_id"), "user_id", "embedding"), memories, most, above=above)
     best_first = F.array_sort(
         F.collect_list(F.struct("memory_id", "score")), lambda a, b: F.when(a.score > b.score, -1).when(a.score < b.score, 1).otherwise(F.when(a.memory_id < b.memory_id, -1).otherwise(1))
     )

@@ -91,3 +91,26 @@ def test_no_candidates(spark):
     memories = [memory(1, 5, "stored", [1.0, 0.0])]
     assert run(spark, [], memories) == ({1: ("stored", "SYNCED")}, [])
     assert run(spark, [(3, 5, "x", "fact", 1, [1.0, 0.0])], [])[0] == {3: ("x", "SYNCED")}
+
+
+def test_blocks_keep_near_memories_only(spark):
+    """As many memories are asked for as the longest session has candidates; those that aren't near leave no block."""
+    from loomwright.operators import retrieval as R
+
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(400, 8))
+    m = spark.createDataFrame([(i, 1, 0, v.tolist()) for i, v in enumerate(vectors)], "id long, user_id long, is_deleted int, embedding array<float>")
+    q = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(vectors)], "query_id long, user_id long, embedding array<float>")
+    near = R.vector_topk_blocked(q, m, 400, block=100, above=0.9)
+    every = R.vector_topk_blocked(q, m, 400, block=100).where("score > 0.9")
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, every.collect()))
+    assert 400 <= near.count() < 1000
+
+
+def test_session_changes_memories_of_other_lengths():
+    import pandas as pd
+
+    near = [{"memory_id": 1, "score": 0.99}, {"memory_id": 2, "score": 0.95}]
+    rows = [(1, [1.0, 0.0], near), (2, [1.0, 0.1], near), (3, [0.0, 0.0, 1.0], [{"memory_id": 5, "score": 1.0}]), (4, [0.0, 1.0], None), (5, None, None), (6, [0.0, 0.1, 1.0], None)]
+    got = I._in_order(0.9)(pd.DataFrame(rows, columns=["candidate_id", "embedding", "near"]))
+    assert [None if pd.isna(t) else int(t) for t in got["target_id"]] == [1, 1, 5, None, None, 5]
