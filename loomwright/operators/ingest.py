@@ -92,7 +92,7 @@ def new_by_hash(candidates: DataFrame, memories: DataFrame) -> DataFrame:
 def update_target(candidates: DataFrame, memories: DataFrame, above: float = SAME_ABOVE) -> DataFrame:
     """(candidate_id, target_id): the user's nearest memory if its cosine is above 0.9, else null."""
     asked = candidates.select(F.col("candidate_id").alias("query_id"), "user_id", "embedding")
-    near = vector_topk_blocked(asked, memories, 1).where(F.col("score") > above)
+    near = vector_topk_blocked(asked, memories, 1, above=above)
     near = near.select(F.col("query_id").alias("candidate_id"), F.col("memory_id").alias("target_id"))
     return candidates.select("candidate_id").join(near, "candidate_id", "left")
 

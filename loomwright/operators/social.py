@@ -264,10 +264,11 @@ def comment_threads(comments: DataFrame, comment_likes: DataFrame, users: DataFr
     The page as a whole has at most ``replies`` replies. Authors, likes and the viewer's own likes
     are joined after both cuts."""
     live = comments.where("is_deleted = 0")
-    newest = numbered(W.partitionBy("article_id").orderBy(F.desc("create_time"), F.desc("id")))
+    # Comments that share time and id, which the given tables have, stand in the order of their authors and texts.
+    newest = numbered(W.partitionBy("article_id").orderBy(F.desc("create_time"), F.desc("id"), "user_id", "content"))
     parents = live.where("parent_id IS NULL").withColumn("place", newest).where(F.col("place").between((page - 1) * size + 1, page * size))
     answers = live.where("parent_id IS NOT NULL").join(parents.select(F.col("id").alias("parent_id"), F.col("place").alias("parent_place")), "parent_id")
-    oldest = numbered(W.partitionBy("article_id").orderBy("create_time", "id"))
+    oldest = numbered(W.partitionBy("article_id").orderBy("create_time", "id", "parent_place", "user_id", "content"))
     answers = answers.withColumn("place", oldest).where(F.col("place") <= replies)
     shown = parents.select("id", "article_id", "user_id", "content", "place", F.lit(None).cast("bigint").alias("parent_id"))
     shown = shown.unionByName(answers.select("id", "article_id", "user_id", "content", "place", "parent_id"))
