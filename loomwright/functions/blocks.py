@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.functions.markdown import in_slices
 from loomwright.functions.text import bound, is_blank, strip
 
 BLOCK = "type string, text string, level int, ordered boolean, items array<string>, headers array<string>, rows array<array<string>>, lang string"
@@ -35,9 +36,9 @@ def objects_in(text: str | None) -> list[str]:
     return found
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def extract_json_objects(text: pd.Series) -> pd.Series:
-    return text.map(objects_in)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def extract_json_objects(text: pa.Array) -> pa.Array:
+    return in_slices(text, objects_in, pa.list_(pa.string()))
 
 
 def is_block_line(line: Column) -> Column:

@@ -183,3 +183,25 @@ def test_vectors_of_any_length(spark):
         assert len(got) == 36 and {p: s for p, s in got.items() if s} == {(0, 0): 1, (0, 4): 0.6, (4, 0): 0.6, (4, 4): 1, (1, 1): 1, (1, 5): 1, (5, 1): 1, (5, 5): 1}
         best = {(r["query_id"], r["memory_id"]) for r in R.vector_topk_blocked(q, m, k, block=block, above=0.6).collect()}
         assert best == {(0, 0), (4, 4), (1, 1), (1, 5), (5, 1), (5, 5)}
+
+
+def test_batches_are_mapped_in_slices():
+    import pyarrow as pa
+
+    from loomwright.functions.markdown import SLICE, in_slices
+
+    texts = pa.array(["{a}", None, "", "x"] * 300)
+    now = []
+
+    class Watched:
+        def __len__(self):
+            return len(texts)
+
+        def slice(self, at, n):
+            now.append(min(n, len(texts) - at))
+            return texts.slice(at, n)
+
+    got = in_slices(Watched(), lambda t: None if t is None else [t, t], pa.list_(pa.string()))
+    assert got.to_pylist() == [None if t is None else [t, t] for t in texts.to_pylist()]
+    assert max(now) <= SLICE and sum(now) == len(texts)
+    assert in_slices(pa.array([], pa.string()), str, pa.string()).to_pylist() == []
