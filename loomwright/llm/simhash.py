@@ -12,7 +12,8 @@ nothing and is left too: a bucket gives at most one link less than it has finger
 ``drop_near_duplicates`` goes by similarity of texts instead, where errors are too many for blocks of
 bits: its buckets are pairs out of six minima of hashed shingles, large ones fall into pairs of chunks, the
 trie join links within budgets that grow step by step, four times with different links, and each is checked on
-the texts' shingles: by sketches, and where these are estimates close to the threshold on whole texts.
+the texts' shingles: by sketches, and where these are estimates close to the threshold on whole texts. Buckets with a
+link whose ends are not joined after that are compared pair by pair, so no number of forests bounds what is found.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ MINIMA = 6
 SKETCH = 512
 #: Estimates this close to the least similarity (three standard errors of SKETCH hashes) are decided on whole texts.
 DOUBT = 0.055
-#: Spanning forests of a bucket's near fingerprints, no two with a link in common.
+#: Spanning forests of a bucket's near fingerprints, no two with a link in common; what they leave apart is compared whole.
 FORESTS = 4
 #: A bucket of more fingerprints is split; nodes of at most so many fingerprints are compared at once.
 SPLIT = 20_000
@@ -211,7 +212,7 @@ def _dealt(buckets: DataFrame, sub_keys: Column, most: int, work: Workspace) ->
 
 
 def _chunked(buckets: DataFrame, most: int, work: Workspace) -> DataFrame:
-    """``buckets`` (key, fp, rep) without one of much more than ``most`` rows: larger ones fall into chunks,
+    """``buckets`` (key, fp, rep, any more) without one of much more than ``most`` rows: larger ones fall into chunks,
     and two chunks make a bucket, so that any two rows still meet."""
     large = _large(buckets, most, work, "large_chunked")
     if large is None:
@@ -220,7 +221,7 @@ def _chunked(buckets: DataFrame, most: int, work: Workspace) -> DataFrame:
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp", "rep"), "chunks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).where("mine <> other")
     pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    return buckets.join(large, "key", "left_anti").unionByName(rows.select(pair.alias("key"), "fp", "rep"))
+    return buckets.join(large, "key", "left_anti").unionByName(rows.select(pair.alias("key"), *[c for c in buckets.columns if c != "key"]))
 
 
 def _linked(buckets: DataFrame, budgets: tuple[int, ...]) -> DataFrame:
@@ -344,17 +345,19 @@ def similarity(a: bytes, b: bytes) -> float:
     return float((np.isin(both, one) & np.isin(both, two)).sum() / len(both))
 
 
+def _verdict(a: bytes, b: bytes, least: float) -> bool | None:
+    """Whether two sketches are similar; None where only the texts can tell."""
+    found = similarity(a, b)
+    estimated = max(len(a), len(b)) >= 4 * SKETCH
+    return None if estimated and abs(found - least) <= DOUBT else found >= least
+
+
 def _checked(least: float):
     """Links with what sketches say: ``similar``, null where only the texts can tell; others are left out."""
 
-    def verdict(a: bytes, b: bytes) -> bool | None:
-        found = similarity(a, b)
-        estimated = max(len(a), len(b)) >= 4 * SKETCH
-        return None if estimated and abs(found - least) <= DOUBT else found >= least
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = pa.array(map(verdict, batch.column(4).to_pylist(), batch.column(5).to_pylist()), pa.bool_())
+            said = pa.array(map(_verdict, batch.column(4).to_pylist(), batch.column(5).to_pylist(), repeat(least)), pa.bool_())
             rows = batch.select(["a", "a_key", "b", "b_key"])
             yield pa.RecordBatch.from_arrays([*rows.columns, said], [*rows.schema.names, "similar"]).filter(said.fill_null(True))
 
@@ -376,13 +379,104 @@ def _checked_on_texts(shingle: int, least: float):
     return run
 
 
+SAID = "a bigint, a_key bigint, b bigint, b_key bigint, similar boolean"
+
+
+def _compared(least: float):
+    """All pairs of a bucket (rep, rep_key, fp, label, sketch) within the widest budget whose labels differ, as links with
+    what sketches say. A sure link joins two labels, and pairs that are joined are not looked at any more."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        reps, keys, fps = (rows.column(c).to_numpy() for c in ("rep", "rep_key", "fp"))
+        fps, sketches = fps.view(np.uint64), rows.column("sketch").to_pylist()
+        label = np.unique(rows.column("label").to_numpy(), return_inverse=True)[1]
+        size = np.array([len(x) // 4 for x in sketches])
+        start = np.r_[0, np.cumsum(size)]
+        code = np.unique(np.frombuffer(b"".join(sketches), np.uint32), return_inverse=True)[1]
+        holders = np.repeat(np.arange(len(reps)), size)[np.argsort(code, kind="stable")]
+        upto = np.r_[0, np.cumsum(np.bincount(code))] if len(code) else np.zeros(1, int)
+        links: list[tuple[int, int]] = []
+        doubts: list[tuple[int, int]] = []
+        for i in range(len(reps) - 1):
+            near = np.flatnonzero((label[i + 1 :] != label[i]) & (np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= WIDE_BUDGETS[-1])) + i + 1
+            if not len(near):
+                continue
+            # Every holder of each of the hashes: how many the others share with this one.
+            own = [holders[upto[c] : upto[c + 1]] for c in code[start[i] : start[i + 1]]]
+            shared = np.bincount(np.concatenate(own), minlength=len(reps))[near] if own else np.zeros(len(near), int)
+            both = size[i] + size[near] - shared
+            estimated = np.maximum(size[i], size[near]) >= SKETCH
+            # An estimate is at most all that is shared by SKETCH; sketches are looked at only where it may matter, with
+            # room for hashes that are equal in 32 bits.
+            likely = shared + 2 >= np.where(estimated, (least - DOUBT) * SKETCH, least * both)
+            for j in near[likely].tolist():
+                if label[i] == label[j]:
+                    continue
+                said = _verdict(sketches[i], sketches[j], least)
+                if said:
+                    links.append((i, j))
+                    label[label == label[j]] = label[i]
+                elif said is None:
+                    doubts.append((i, j))
+        doubts = [(i, j) for i, j in doubts if label[i] != label[j]]
+        a, b = np.array(links + doubts, np.int64).reshape(-1, 2).T
+        similar = pa.array([True] * len(links) + [None] * len(doubts), pa.bool_())
+        return pa.table([pa.array(reps[a]), pa.array(keys[a]), pa.array(reps[b]), pa.array(keys[b]), similar], ["a", "a_key", "b", "b_key", "similar"])
+
+    return run
+
+
+def _decided(said: DataFrame, ids: DataFrame, work: Workspace, name: str, shingle: int, least: float) -> DataFrame:
+    """Links of ``said`` that hold; those whose ``similar`` is null are decided on both texts, of which no others are moved."""
+    links, open_links = said.where("similar").drop("similar"), said.where("similar IS NULL").drop("similar")
+    ends = [open_links.select(F.col(c).alias("doc_id"), F.col(f"{c}_key").alias("text_key")) for c in "ab"]
+    # Written first, so that Spark knows their size and broadcasts few ones: texts that none names aren't shuffled then.
+    asked = work.put(ends[0].unionAll(ends[1]).distinct(), f"{name}_asked")
+    whole = work.put(ids.join(asked, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]), f"{name}_texts")
+    text = lambda c: whole.select(F.col("doc_id").alias(c), F.col("text_key").alias(f"{c}_key"), F.col("text").alias(f"{c}_text"))
+    pairs = open_links.join(text("a"), ["a", "a_key"]).join(text("b"), ["b", "b_key"]).select("a", "a_key", "b", "b_key", "a_text", "b_text")
+    links = work.put(links.unionAll(pairs.mapInArrow(_checked_on_texts(shingle, least), SAID.removesuffix(", similar boolean"))), name)
+    work.drop(f"{name}_asked", f"{name}_texts")
+    return links
+
+
+def _rest(links: DataFrame, tried: DataFrame, found: DataFrame, keys: Column, work: Workspace, least: float, most: int) -> DataFrame | None:
+    """What ``links``, those of the ``tried`` (a, b) that held, have left open, as links with what sketches say; None if nothing.
+
+    Where all tried links of a bucket have joined ends, its texts are one component. Only in others can two similar
+    texts be apart: all texts of these, not one a fingerprint, meet pair by pair in chunks of at most ``most``.
+    """
+    joined = connected_components(links.select("a", "b"), work, "joined")
+    label = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
+    apart = tried.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
+    apart = work.put(apart.select("a", "b"), "apart")
+    if apart.isEmpty():
+        return None
+    own = lambda c: found.select(F.col("doc_id").alias(c), keys.alias(f"{c}_keys"))
+    met = apart.join(own("a"), "a").join(own("b"), "b")
+    still = work.put(met.select(F.explode(F.array_intersect("a_keys", "b_keys")).alias("key")).distinct(), "still")
+    rows = found.select(F.explode(keys).alias("key"), "fp", F.col("doc_id").alias("rep"), F.col("text_key").alias("rep_key")).join(still, "key", "left_semi")
+    rows = rows.distinct().join(label("rep"), "rep", "left").withColumn("label", F.coalesce("rep_label", "rep")).drop("rep_label")
+    rows = work.put(rows, "rest_rows")
+    # Buckets of the same texts, as texts with equal minima make up to 15, are compared once.
+    alike = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep", "rep_key")).alias("sum"), F.min("label").alias("low"), F.max("label").alias("high"))
+    one = work.put(alike.where("low < high").groupBy("n", "sum").agg(F.min("key").alias("key")).select("key"), "rest_keys")
+    rows = _chunked(rows.join(one, "key", "left_semi"), most, work)
+    sketch = found.select(F.col("doc_id").alias("rep"), F.col("text_key").alias("rep_key"), "sketch").dropDuplicates(["rep", "rep_key"])
+    said = rows.join(sketch, ["rep", "rep_key"]).groupBy("key").applyInArrow(_compared(least), SAID)
+    said = work.put(said.where("a <> b").distinct(), "rest_said")
+    work.drop("apart", "still", "rest_rows", "rest_keys")
+    return said
+
+
 def similar_links(docs: DataFrame, work: Workspace, shingle: int = WIDE_SHINGLE, least: float = SIMILARITY, most: int = SPLIT) -> DataFrame:
     """(a, a_key, b, b_key): links of texts (id, hash) that join those of a similarity of ``least`` or more.
 
     Two texts meet in a bucket if two of their six minima agree: at a similarity of 0.8 with a
     probability of 0.998. A bucket of more than ``most`` fingerprints falls into pairs of chunks, each of
     which any two of its texts share. Links whose sketches give an estimate close to ``least`` are decided on
-    both whole texts, of which only those that such a link names are moved.
+    both whole texts, of which only those that such a link names are moved. Where links of a bucket fail and leave it in
+    parts, all of its pairs between parts are compared (quadratic in such a bucket).
     """
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), utf8(F.col("text")).alias("text"))
     m = [f"m{i}" for i in range(MINIMA)]
@@ -394,20 +488,15 @@ def similar_links(docs: DataFrame, work: Workspace, shingle: int = WIDE_SHINGLE,
     buckets = work.put(groups.select(F.explode(keys).alias("key"), "fp", "rep"), "buckets")
     between = _linked(_chunked(buckets, most, work), WIDE_BUDGETS)
     within = found.join(groups, ["fp", *m]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = work.put(between.unionByName(within).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+    tried = work.put(between.unionByName(within).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
     sketch = lambda c: found.select(F.col("doc_id").alias(c), F.col("text_key").alias(f"{c}_key"), F.col("sketch").alias(f"{c}_sketch"))
-    both = links.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "a_key", "b", "b_key", "a_sketch", "b_sketch")
-    link = "a bigint, a_key bigint, b bigint, b_key bigint"
-    said = work.put(both.mapInArrow(_checked(least), f"{link}, similar boolean"), "said")
-    links, open_links = said.where("similar").drop("similar"), said.where("similar IS NULL").drop("similar")
-    ends = [open_links.select(F.col(c).alias("doc_id"), F.col(f"{c}_key").alias("text_key")) for c in "ab"]
-    # Written first, so that Spark knows their size and broadcasts few ones: texts that none names aren't shuffled then.
-    asked = work.put(ends[0].unionAll(ends[1]).distinct(), "asked")
-    whole = work.put(ids.join(asked, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]), "texts")
-    text = lambda c: whole.select(F.col("doc_id").alias(c), F.col("text_key").alias(f"{c}_key"), F.col("text").alias(f"{c}_text"))
-    pairs = open_links.join(text("a"), ["a", "a_key"]).join(text("b"), ["b", "b_key"]).select("a", "a_key", "b", "b_key", "a_text", "b_text")
-    links = work.put(links.unionAll(pairs.mapInArrow(_checked_on_texts(shingle, least), link)), "similar")
-    work.drop("sketches", "groups", "buckets", "candidates", "said", "asked", "texts")
+    both = tried.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "a_key", "b", "b_key", "a_sketch", "b_sketch")
+    said = work.put(both.mapInArrow(_checked(least), SAID), "said")
+    links = _decided(said, ids, work, "similar", shingle, least)
+    rest = _rest(links, tried, found, keys, work, least, max(2, most // 4))
+    if rest is not None:
+        links = links.unionAll(_decided(rest, ids, work, "rest", shingle, least))
+    work.drop("sketches", "groups", "buckets", "candidates", "said")
     return links
 
 
