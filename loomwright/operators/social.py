@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.text import split_tags
 from loomwright.functions.windows import numbered, ranked
+from loomwright.session import Workspace
 
 #: What an interaction adds to an article's heat of the day; an unlike takes nothing away.
 HEAT = {"VIEW": 1, "LIKE": 3}
@@ -219,8 +220,12 @@ def notification_fanout(comments: DataFrame, comment_likes: DataFrame, follows:
 
 def top_tags_per_user(likes: DataFrame, favorites: DataFrame, meta: DataFrame, n: int = 5) -> DataFrame:
     """(user_id, tag, uses, place): the user's most frequent tags; ties by the tag."""
+    return _top_tags(interacted(likes, favorites), meta, n)
+
+
+def _top_tags(seen: DataFrame, meta: DataFrame, n: int = 5) -> DataFrame:
     tags = meta.select("article_id", F.explode(F.transform(split_tags(F.col("tags")), F.lower)).alias("tag"))
-    counts = interacted(likes, favorites).join(tags, "article_id").groupBy("user_id", "tag").agg(F.count(F.lit(1)).alias("uses"))
+    counts = seen.join(tags, "article_id").groupBy("user_id", "tag").agg(F.count(F.lit(1)).alias("uses"))
     place = numbered(W.partitionBy("user_id").orderBy(F.desc("uses"), "tag"))
     return counts.withColumn("place", place).where(F.col("place") <= n)
 
@@ -230,20 +235,27 @@ def recommend(likes: DataFrame, favorites: DataFrame, meta: DataFrame, article:
     filled up from the day's leaderboard.
 
     A user's best n unseen articles of a tag lie within the tag's first n plus as many as the user has
-    seen. A tag's articles are ranked by ranges, so a hot tag is many tasks' work. Its list is cut at n plus
-    the most that anybody has seen, and stands in blocks of ranks of doubling size: a user meets only
-    the blocks up to its own reach, not the heaviest reader's.
+    seen among these: seen ranks count while fewer than n unseen ones stand before them. A tag's articles are
+    ranked by ranges, so a hot tag is many tasks' work. Its list is cut at n plus the most that anybody has seen,
+    and stands in blocks of ranks of doubling size: a user meets only the blocks up to its own reach. What users
+    have seen is written once, and so is the list, so that Spark knows its size.
     """
-    seen = interacted(likes, favorites)
+    work = Workspace(likes.sparkSession, "recommend")
+    seen = work.put(interacted(likes, favorites), "seen")
     own = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("own"))
     most_seen = own.agg(F.coalesce(F.max("own"), F.lit(0)).alias("most_seen"))
     tagged = meta.select("article_id", "view_count", F.explode(F.array_distinct(F.transform(split_tags(F.col("tags")), F.lower))).alias("tag"))
     in_tag = ranked(tagged, ["tag"], [F.desc("view_count"), F.desc("article_id")], "in_tag")
     best = in_tag.join(F.broadcast(most_seen)).where(F.col("in_tag") <= F.col("most_seen") + n)
-    wanted = top_tags_per_user(likes, favorites, meta).select("user_id", "tag")
+    best = work.put(best.select("tag", "in_tag", "article_id", "view_count"), "best")
+    wanted = work.put(_top_tags(seen, meta).select("user_id", "tag"), "wanted")
+    met = seen.join(best.select("article_id", "tag", "in_tag"), "article_id").join(wanted, ["user_id", "tag"])
+    before = F.col("in_tag") - numbered(W.partitionBy("user_id", "tag").orderBy("in_tag"))
+    passed = met.withColumn("unseen_before", before).where(F.col("unseen_before") < n).groupBy("user_id", "tag").agg(F.count(F.lit(1)).alias("passed"))
     block = lambda rank: F.floor(F.log2(rank) + 1e-9).cast("int")
-    reach = wanted.join(own, "user_id").withColumn("block", F.explode(F.sequence(F.lit(0), block(F.col("own") + n))))
-    near = reach.join(best.withColumn("block", block(F.col("in_tag"))), ["tag", "block"]).where(F.col("in_tag") <= F.col("own") + n)
+    reach = wanted.join(passed, ["user_id", "tag"], "left").withColumn("upto", F.coalesce("passed", F.lit(0)) + n)
+    reach = reach.withColumn("block", F.explode(F.sequence(F.lit(0), block(F.col("upto")))))
+    near = reach.join(best.withColumn("block", block(F.col("in_tag"))), ["tag", "block"]).where(F.col("in_tag") <= F.col("upto"))
     pool = exclude_seen(near.select("user_id", "article_id", "view_count").distinct(), seen)
     mine = W.partitionBy("user_id")
     first = pool.withColumn("place", numbered(mine.orderBy(F.desc("view_count"), F.desc("article_id")))).where(F.col("place") <= n)
