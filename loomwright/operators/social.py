@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.text import split_tags
 from loomwright.functions.windows import numbered, ranked
-from loomwright.session import Workspace
+from loomwright.session import Workspace, parts_for
 
 #: What an interaction adds to an article's heat of the day; an unlike takes nothing away.
 HEAT = {"VIEW": 1, "LIKE": 3}
@@ -77,8 +77,10 @@ def exclude_seen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def interacted(likes: DataFrame, favorites: DataFrame) -> DataFrame:
+    """Pairs of either table, each once. They are dealt by their own number of partitions: tasks that make the two tables
+    don't hold the pairs as well, and a task's pairs don't grow with the input."""
     pair = ["user_id", "article_id"]
-    return likes.select(*pair).union(favorites.select(*pair)).distinct()
+    return likes.select(*pair).union(favorites.select(*pair)).repartition(parts_for(likes, favorites), *pair).distinct()
 
 
 def edge_counts(likes: DataFrame, favorites: DataFrame) -> DataFrame:

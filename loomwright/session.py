@@ -72,5 +72,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Bytes of input files for each partition of ``parts_for``.
+PART_BYTES = 16 << 20
+
+
+def parts_for(*dfs: DataFrame) -> int:
+    """Shuffle partitions as the session has them, or more: one for each PART_BYTES in the folders of the tables' files,
+    so that a task's rows don't grow with the input."""
+    spark = dfs[0].sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders = {path.rpartition("/")[0] for df in dfs for path in df.inputFiles()}
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in sorted(folders)]
+    size = sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in paths)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{os.fspath(folder).rstrip('/')}/{name}.parquet")

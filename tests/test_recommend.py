@@ -2,6 +2,7 @@
 
 import random
 
+from loomwright import session
 from loomwright.operators import social as S
 
 
@@ -27,3 +28,16 @@ def test_readers_meet_few_articles_of_a_tag(spark, monkeypatch):
     assert {u: [a for _, a in sorted(own)] for u, own in got.items()} == want
     met = {r["user_id"]: r["count"] for r in offered[0].groupBy("user_id").count().collect()}
     assert met[1] <= 30 and met[3] <= 3 * 60 and met[2] <= 3 * 310  # 600 for the first before
+
+
+def test_partitions_of_pairs_grow_with_the_input(spark, tmp_path, monkeypatch):
+    pairs = spark.range(4000).selectExpr("id % 900 AS user_id", "id % 70 AS article_id")
+    pairs.repartition(2).write.parquet(str(tmp_path / "pairs"))
+    read = spark.read.parquet(str(tmp_path / "pairs"))
+    plain = session.parts_for(read)
+    assert plain == int(spark.conf.get("spark.sql.shuffle.partitions")) == session.parts_for(pairs)
+    monkeypatch.setattr(session, "PART_BYTES", 500)
+    assert session.parts_for(read) > plain
+    seen = S.interacted(read, read)
+    assert seen.rdd.getNumPartitions() == session.parts_for(read, read)
+    assert sorted(tuple(r) for r in seen.collect()) == sorted({(i % 900, i % 70) for i in range(4000)})
