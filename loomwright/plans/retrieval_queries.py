@@ -64,11 +64,7 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 query("cosine_similarity", "memory_query memory_record", f"""
     SELECT q.query_id, m.id AS memory_id, round({cosine('q.embedding', 'm.embedding')}, 6) AS score
-    FROM memory_query q JOIN memory_record m ON m.user_id = q.user_id""")(
-    lambda q, m: q.select("query_id", "user_id", F.col("embedding").alias("a"), R.norm(F.col("embedding")).alias("na"))
-    .join(m.select("user_id", F.col("id").alias("memory_id"), F.col("embedding").alias("b"), R.norm(F.col("embedding")).alias("nb")), "user_id")
-    .select("query_id", "memory_id", F.round(R.cosine_similarity(*map(F.col, ("a", "b", "na", "nb"))), 6).alias("score"))
-)
+    FROM memory_query q JOIN memory_record m ON m.user_id = q.user_id""")(R.all_scores)
 TOP8 = f"SELECT query_id, memory_id, round(score, 6) AS score, place FROM ({best(VECTOR, '8')})"
 query("vector_topk", "memory_query memory_record", TOP8)(lambda q, m: rounded(R.vector_topk(q, m, 8), "score"))
 query("vector_topk_blocked", "memory_query memory_record", TOP8)(lambda q, m: rounded(R.vector_topk_blocked(q, m, 8), "score"))
